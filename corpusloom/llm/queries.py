@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate
+from corpusloom.llm import decontaminate, toxicity
 from corpusloom.llm.shared import load
 
 
@@ -12,6 +12,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled_rows(docs, load(spark, sf_dir, "labels")))
+    return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {}
