@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, toxicity
+from corpusloom.llm import decontaminate, langid, toxicity
 from corpusloom.llm.shared import load
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.filter(~langid.held_out()))
+    return langid.identify(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -18,6 +24,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {}
