@@ -39,14 +39,20 @@ MEMBER[0x80:] = True
 
 @dataclass
 class Block:
-    """Benchmark windows: the words from each start, zero-padded to the window, how many count, and whose they are."""
+    """Distinct benchmark windows (words padded with zeros, and how many count), and the items that hold each.
+
+    ``first`` delimits a window's uses: use u is window ``place[u]`` of item ``item[u]``.
+    ``group`` numbers the sets of items, so that windows of the same items count as one.
+    """
 
     suffix: np.ndarray
     need: np.ndarray
+    first: np.ndarray
     item: np.ndarray
     place: np.ndarray
     names: list[str]
-    ids: list
+    group: np.ndarray
+    members: list[np.ndarray]
 
     def starts(self) -> dict[int, np.ndarray]:
         """Sorted hashes of the first words of the windows, by how many words a window has."""
@@ -67,9 +73,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def make_block(ids: list, texts: list, window: int) -> Block:
-    rows, need, item, place, names, kept = [], [], [], [], [], []
-    column = pa.array(texts, pa.large_string())
-    for row, end, data, offsets in tb.slices(column, 8 << 20):
+    rows, need, item, place, names = [], [], [], [], []
+    for row, end, data, offsets in tb.slices(pa.array(texts, pa.large_string())):
         hashes, _, _, first = word_hashes(data, offsets)
         for i in range(end - row):
             own = hashes[first[i] : first[i + 1]]
@@ -81,13 +86,21 @@ def make_block(ids: list, texts: list, window: int) -> Block:
             padded[:, :n] = at
             rows.append(padded)
             need.append(np.full(len(at), n))
-            item.append(np.full(len(at), len(kept)))
+            item.append(np.full(len(at), len(names)))
             place.append(np.arange(len(at)))
-            kept.append(ids[row + i])
             names.append(str(ids[row + i]))
     if not rows:
-        return Block(np.zeros((0, window), np.uint64), *[np.zeros(0, np.int64)] * 3, [], [])
-    return Block(np.concatenate(rows), np.concatenate(need), np.concatenate(item), np.concatenate(place), names, kept)
+        empty = np.zeros(0, np.int64)
+        return Block(np.zeros((0, window), np.uint64), empty, np.zeros(1, np.int64), empty, empty, [], empty, [])
+    table = np.column_stack([np.concatenate(rows), np.concatenate(need).astype(np.uint64)])
+    distinct, number = np.unique(table, axis=0, return_inverse=True)
+    number = number.reshape(-1)
+    order = np.argsort(number, kind="stable")
+    held, spots = np.concatenate(item)[order], np.concatenate(place)[order]
+    first = np.searchsorted(number[order], np.arange(len(distinct) + 1))
+    sets: dict[tuple, int] = {}
+    group = np.array([sets.setdefault(tuple(np.unique(held[first[k] : first[k + 1]]).tolist()), len(sets)) for k in range(len(distinct))])
+    return Block(distinct[:, :window].copy(), distinct[:, window].astype(np.int64), first, held, spots, names, group, [np.array(x) for x in sets])
 
 
 def blocks_of(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> list:
@@ -194,21 +207,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         cache: dict = {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text"))
-            for row, end, data, offsets in tb.slices(texts, 4 << 20):
+            for row, end, data, offsets in tb.slices(texts, 1 << 20):
                 hashes, _, _, first = word_hashes(data, offsets)
-                docs_n = end - row
+                count = end - row
                 delta = np.zeros(len(hashes) + 1, dtype=np.int64)
-                found: list[set] = [set() for _ in range(docs_n)]
+                found: list[set] = [set() for _ in range(count)]
                 for block, test, at in shard_hits(blocks, hashes, first, window, cache):
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + block.need[test], -1)
+                    delta += np.bincount(at, minlength=len(delta)) - np.bincount(at + block.need[test], minlength=len(delta))
                     doc = np.searchsorted(first, at, "right") - 1
-                    for d, i in np.unique(np.stack([doc, block.item[test]]), axis=1).T.tolist():
-                        found[d].add(block.names[i])
+                    width = len(block.members)
+                    for pair in np.unique(doc * width + block.group[test]).tolist():
+                        found[pair // width].update(block.names[i] for i in block.members[pair % width].tolist())
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(delta[:-1]) > 0)])
                 n_hit = hit[first[1:]] - hit[first[:-1]]
                 lists = [sorted(x) for x in found]
-                head = [batch.column(batch.schema.get_field_index(c)).slice(row, docs_n) for c in names]
+                head = [batch.column(batch.schema.get_field_index(c)).slice(row, count) for c in names]
                 yield pa.RecordBatch.from_arrays(
                     [*head, pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()),
                      pa.array([len(x) for x in lists], pa.int64()),
@@ -228,20 +241,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         cache: dict = {}
         for batch in batches:
             ids = batch.column(0)
-            for row, _, data, offsets in tb.slices(batch.column(1), 4 << 20):
+            for row, _, data, offsets in tb.slices(batch.column(1), 1 << 20):
                 hashes, _, _, first = word_hashes(data, offsets)
                 for block, test, at in shard_hits(blocks, hashes, first, window, cache):
+                    uses = np.diff(block.first)[test]
+                    use = np.repeat(block.first[test], uses) + np.arange(uses.sum()) - np.repeat(np.cumsum(uses) - uses, uses)
+                    test, at = np.repeat(test, uses), np.repeat(at, uses)
                     doc = np.searchsorted(first, at, "right") - 1
-                    item, shift = block.item[test], at - block.place[test]
+                    item, place = block.item[use], block.place[use]
+                    shift = at - place
                     order = np.lexsort([at, shift, item, doc])
-                    doc, item, shift, at, test = doc[order], item[order], shift[order], at[order], test[order]
+                    doc, item, shift, at, test, place = doc[order], item[order], shift[order], at[order], test[order], place[order]
                     fresh = np.ones(len(at), dtype=bool)
                     fresh[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(shift) != 0) | (np.diff(at) != 1)
                     begin = np.flatnonzero(fresh)
                     length = np.diff(np.append(begin, len(at))) - 1 + block.need[test[begin]]
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(row + doc[begin])), pa.array([block.names[i] for i in item[begin]], pa.string()),
-                         pa.array(block.place[test[begin]], pa.int64()), pa.array(at[begin] - first[doc[begin]], pa.int64()), pa.array(length, pa.int64())],
+                         pa.array(place[begin], pa.int64()), pa.array(at[begin] - first[doc[begin]], pa.int64()), pa.array(length, pa.int64())],
                         names=["doc_id", "item_id", "item_word", "doc_word", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, item_word long, doc_word long, n_words long")
