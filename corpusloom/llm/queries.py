@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, langid, toxicity
+from corpusloom.llm import decontaminate, langid, packing, toxicity
 from corpusloom.llm.shared import load
 
 
@@ -18,12 +18,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(load(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_rows(docs, load(spark, sf_dir, "labels")))
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {}
