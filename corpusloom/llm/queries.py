@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, langid, packing, toxicity
+from corpusloom.llm import decontaminate, langid, packing, toxicity, warc
 from corpusloom.llm.shared import load
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(load(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     profiles = langid.learn(docs.filter(~langid.held_out()))
@@ -28,6 +33,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {}
