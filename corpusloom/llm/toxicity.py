@@ -8,8 +8,8 @@ get context: inside quotation marks or not, and how many other hits stand within
 CONTEXT words. A logistic model on these features gives the score, so a quoted term
 can weigh less than abuse.
 
-Bounds: the model is fitted on at most SAMPLE_ROWS labelled rows (the smallest by a
-hash of doc_id), the lexicon has at most LEXICON entries; scoring covers every byte
+Bounds: the model is fitted on at most SAMPLE_ROWS labels (the smallest by a hash of
+doc_id), the lexicon has at most LEXICON entries; scoring covers every byte
 of every text and needs no shuffle.
 
 Defined cases: null and empty texts have no hits and get the score that the model
@@ -276,15 +276,14 @@ def featured(rows: DataFrame, automaton: Automaton) -> DataFrame:
     return rows.select("label", "text").mapInArrow(compute, "label int, x array<double>")
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on (doc_id, text, label) rows, at most sample_rows of them.
+def train(labelled: DataFrame) -> Model:
+    """Fits on (doc_id, text, label) rows, which labelled_rows() bounds.
 
     The lexicon is learned on two thirds of the sample and the weights on the rest, so
     that the weights are not those of entries seen while they were chosen.
     """
     sample = (labelled.filter("label is not null and doc_id is not null")
-              .select("text", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
-              .orderBy("__h", "text").limit(sample_rows)).persist()
+              .select("text", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))).persist()
     try:
         row = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
         rate = row.t / row.n if row.n else 0.0
@@ -328,10 +327,14 @@ def fold(column: str = "doc_id", parts: int = 5) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts of the training folds."""
-    known = labels.filter("toxic is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("label")).filter(fold("__id") != 0)
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, label) of at most sample_rows labels of the training folds, the smallest by a hash of doc_id.
+
+    The labels are chosen before any text is read, and are few enough to broadcast.
+    """
+    known = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").alias("label")).filter(fold("__id") != 0)
+    chosen = known.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id", "label").limit(sample_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "label")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
