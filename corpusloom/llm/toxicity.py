@@ -40,6 +40,7 @@ STEM_LENGTHS = (4, 5, 6)
 STEM_WORDS = 4
 MIN_FUZZY = 5
 CONTEXT = 12
+FUZZY_TRUST = 0.8
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 
 MEMBER = np.zeros(256, dtype=bool)
@@ -207,7 +208,10 @@ def quote_places(data: np.ndarray) -> np.ndarray:
 
 
 def features(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text: logs of exact and fuzzy hits outside and inside quotation, densest window, hits a word, no words."""
+    """Per text: logs of hits outside and inside quotation, of fuzzy hits in each, densest window, hits a word, no words.
+
+    A fuzzy hit counts as FUZZY_TRUST of a hit; its own columns let training move away from that.
+    """
     low = tb.LOWER[data]
     starts, ends, first = tb.words(low, offsets, MEMBER)
     n = len(offsets) - 1
@@ -225,9 +229,12 @@ def features(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.
     before = marks[starts[at]] - marks[offsets[doc]]
     after = marks[offsets[doc + 1]] - marks[ends[at]]
     quoted = (before % 2 == 1) & (after > 0)
-    for column, chosen in enumerate((exact[at] & ~quoted, exact[at] & quoted, fuzzy[at] & ~quoted, fuzzy[at] & quoted)):
+    trust = np.where(exact[at], 1.0, FUZZY_TRUST)
+    for column, chosen in enumerate((~quoted, quoted)):
+        out[:, column] = np.log1p(np.bincount(doc[chosen], weights=trust[chosen], minlength=n))
+    for column, chosen in enumerate((fuzzy[at] & ~quoted, fuzzy[at] & quoted), 2):
         out[:, column] = np.log1p(np.bincount(doc[chosen], minlength=n))
-    weight = np.where(exact[at], 1.0, 0.5) * np.where(quoted, 0.5, 1.0)
+    weight = trust * np.where(quoted, 0.5, 1.0)
     total = np.concatenate([[0.0], np.cumsum(weight)])
     key = at + doc * np.int64(4 * CONTEXT)  # windows of two texts never meet
     near = total[np.searchsorted(key, key + CONTEXT, "right")] - total[np.searchsorted(key, key - CONTEXT, "left")]
