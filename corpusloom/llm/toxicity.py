@@ -39,6 +39,7 @@ MIN_SHARE = 0.005
 STEM_LENGTHS = (4, 5, 6)
 STEM_WORDS = 4
 MIN_FUZZY = 5
+FUZZY_SHARE = 0.2
 CONTEXT = 12
 FUZZY_TRUST = 0.8
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
@@ -52,8 +53,11 @@ QUOTES = ("“", "”", "«", "»", "„")
 FEATURES = 7
 
 
-def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str], list[str]]:
-    """(words, stems) that mark label 1 among (text, label) rows; distinct texts count once."""
+def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str], list[str], set[str]]:
+    """Words and stems that mark label 1 among (text, label) rows, and the words sure enough to be matched misspelled.
+
+    Distinct texts count once; a word is sure if it has FUZZY_SHARE of the support of the best one.
+    """
     base = texts.filter("text is not null").select("text", F.col("label").cast("int").alias("label")).distinct()
     need = max(MIN_SUPPORT, int(MIN_SHARE * (base.agg(F.sum("label")).first()[0] or 0)))
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,9 +78,9 @@ def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str],
     for s in sorted(found_stems, key=len):
         if not any(s.startswith(c) for c in chosen):
             chosen.append(s)
-    found = [r.w for r in word_terms.orderBy(F.desc("t"), "w").limit(4 * lexicon).collect()]
-    plain = [w for w in found if not any(w.startswith(c) for c in chosen)][: max(0, lexicon - len(chosen))]
-    return plain, chosen
+    found = word_terms.orderBy(F.desc("t"), "w").limit(4 * lexicon).collect()
+    plain = [r.w for r in found if not any(r.w.startswith(c) for c in chosen)][: max(0, lexicon - len(chosen))]
+    return plain, chosen, {r.w for r in found if r.t >= FUZZY_SHARE * found[0].t}
 
 
 @dataclass
@@ -107,19 +111,23 @@ def trie_of(entries: list[tuple[bytes, bool]]) -> tuple[list[dict[int, int]], li
     return children, ends
 
 
-def build_automaton(words: list[str], stems: list[str], min_fuzzy: int = MIN_FUZZY) -> Automaton:
-    """Determinises trie x Levenshtein(1). A state is a set of (node, edits); stems absorb what follows them."""
+def build_automaton(words: list[str], stems: list[str], sure: set[str] | None = None, min_fuzzy: int = MIN_FUZZY) -> Automaton:
+    """Determinises trie x Levenshtein(1). A state is a set of (node, edits); stems absorb what follows them.
+
+    Edits are allowed in the ``sure`` words (all if None) of min_fuzzy bytes or more.
+    """
+    inexact = {w.encode() for w in (words if sure is None else sure) if len(w.encode()) >= min_fuzzy}
     entries = [(w.encode(), False) for w in words] + [(s.encode(), True) for s in stems]
     children, ends = trie_of(entries)
     far = [0] * len(children)  # nodes above some end that is long enough for an edit
     for text, stem in entries:
-        if len(text) >= min_fuzzy and not stem:
+        if text in inexact and not stem:
             node = 0
             far[0] = 1
             for byte in text:
                 node = children[node][byte]
                 far[node] = 1
-    long_end = {n for text, stem in entries if len(text) >= min_fuzzy and not stem for n in [_walk(children, text)]}
+    long_end = {n for text, stem in entries if text in inexact and not stem for n in [_walk(children, text)]}
     alphabet = sorted({b for text, _ in entries for b in text})
     classes = np.zeros(256, dtype=np.int32)
     for k, byte in enumerate(alphabet):
@@ -294,8 +302,8 @@ def train(labelled: DataFrame) -> Model:
     try:
         row = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
         rate = row.t / row.n if row.n else 0.0
-        words, stems = learned_terms(sample.filter("pmod(__h, 3) > 0"))
-        automaton = build_automaton(words, stems)
+        words, stems, sure = learned_terms(sample.filter("pmod(__h, 3) > 0"))
+        automaton = build_automaton(words, stems, sure)
         if row.t in (0, row.n) or not (words or stems):
             return Model(automaton, np.zeros(FEATURES), float("nan"), rate, words, stems)
         fitted = featured(sample.filter("pmod(__h, 3) = 0"), automaton).collect()
