@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, fingerprints, langid, packing, toxicity, warc
+from corpusloom.llm import decontaminate, fingerprints, langid, packing, secrets, toxicity, warc
 from corpusloom.llm.shared import load
 
 
@@ -27,6 +27,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(load(spark, sf_dir, "documents")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(load(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return fingerprints.edited_fingerprints(docs, fingerprints.rarity_table(docs))
@@ -38,6 +42,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op8_fingerprints": op8_fingerprints, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {}
