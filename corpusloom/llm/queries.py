@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, fingerprints, langid, packing, secrets, toxicity, warc
+from corpusloom.llm import decontaminate, fingerprints, langid, packing, secrets, toxicity, urlfilter, warc
 from corpusloom.llm.shared import load
 
 
@@ -19,6 +20,13 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    judged = urlfilter.evaluate(urlfilter.dated_captures(pages), urlfilter.derived_entries(pages))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return judged.select("page_id", "url", stamp("fetched_at"), "host", "list_domain", stamp("valid_from"), "blocked")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -42,6 +50,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op10_toxicity": op10_toxicity}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_urlfilter": urlfilter.ORACLE}
