@@ -4,7 +4,7 @@ Writing. Each row becomes a record; rows with equal payloads of at least ``min_b
 share one response, that of the smallest page_id, and the others are revisit records
 that refer to it and carry no payload. Spark's text writer puts the records into
 files, with the blank lines that end a record as its separator, so any store Spark can
-write to holds them.
+write to holds them. Offsets are those of the uncompressed bytes.
 
 Reading. A file, of at most RECORDS_PER_FILE records as written here, is one row of
 Spark's binary reader. Every place where the magic stands is a candidate record, and its header says where its successor begins; magic inside a
@@ -24,6 +24,7 @@ ignored. Payloads may hold the magic, header lines, line ends and any Unicode te
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -79,8 +80,8 @@ def with_digests(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(add, "page_id long, url string, html string, digest string")
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Writes the rows as WARC files below ``path``. Payloads are not shuffled: only digests are grouped."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
+    """Writes the rows as WARC files below ``path``, each compressed as a whole (``none``: plain)."""
     marked = with_digests(pages)
     groups = (marked.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("__keeper"), F.count("*").alias("__n"))
               .filter("__n > 1 and __keeper is not null").select(F.col("digest").alias("__digest"), "__keeper"))
@@ -93,7 +94,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                 out.append(record(page_id, url, html, own, keeper if keeper is not None and keeper != page_id else None))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    joined.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    joined.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
@@ -124,6 +125,8 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = content.as_py() or b""
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 rows = []
                 for at, after, f, body in candidates(data):
                     payload = data[body : after - 4]
