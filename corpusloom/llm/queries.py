@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, fingerprints, langid, packing, secrets, toxicity, urlfilter, warc
+from corpusloom.llm import decontaminate, fingerprints, jaccard, langid, packing, secrets, toxicity, urlfilter, warc
 from corpusloom.llm.shared import load
 
 
@@ -44,12 +44,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(docs, fingerprints.rarity_table(docs))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(load(spark, sf_dir, "documents"), size=4, threshold=85)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_rows(docs, load(spark, sf_dir, "labels")))
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op4_urlfilter": urlfilter.ORACLE}

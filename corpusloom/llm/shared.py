@@ -37,7 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a table from written(); nothing may read it any more."""
+    remove(df.sparkSession, df.written_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
