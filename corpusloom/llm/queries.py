@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, fingerprints, jaccard, langid, packing, secrets, toxicity, urlfilter, warc
+from corpusloom.llm import decontaminate, fingerprints, jaccard, langid, packing, secrets, substrings, toxicity, urlfilter, warc
 from corpusloom.llm.shared import load
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.summary(load(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(load(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -54,6 +58,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
 
 ORACLES: dict[str, str] = {"op4_urlfilter": urlfilter.ORACLE}
