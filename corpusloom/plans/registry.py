@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics
+from corpusloom.plans import analytics, search
 
-MODULES = [analytics]
+MODULES = [analytics, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["top_authors"](spark, sf_dir)
+    return queries()["multi_query_rrf"](spark, sf_dir)

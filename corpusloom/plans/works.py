@@ -41,3 +41,22 @@ def works_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("venue"), "p_name", "p_type",
         F.when(F.col("p_partkey") % 3 == 0, "arxiv").when(F.col("p_partkey") % 3 == 1, "openalex")
         .otherwise("arxiv,openalex").alias("source"), "p_size", "p_retailprice")
+
+#: DuckDB twin of works_docs.
+DOCS_SQL = """
+docs AS (
+  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS abstract, lang AS tag, source,
+         strftime(DATE '2015-01-01' + CAST(doc_id * 7 % 3650 AS INT), '%Y-%m-%d') AS published_date, n_chars AS citations,
+         lower(concat(split_part(text, chr(10), 1), ' ', text, ' ', lang)) AS body
+  FROM documents)
+"""
+
+
+def works_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bibliographic record per document; the tables hold no dates, so doc_id gives one."""
+    docs = load(spark, sf_dir, "documents")
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    return docs.select(
+        F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("tag"), "source",
+        F.date_format(F.expr("date_add(date '2015-01-01', cast(doc_id * 7 % 3650 as int))"), "yyyy-MM-dd").alias("published_date"),
+        F.col("n_chars").alias("citations"), F.lower(F.concat(title, F.lit(" "), "text", F.lit(" "), "lang")).alias("body"))
