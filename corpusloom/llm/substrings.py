@@ -93,18 +93,29 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
 
 
 def segment_rows(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(anchor, context, key, at): at is the first window shifted by 20 bits and the number of windows."""
+    """(anchor, context, key, at, done): at is the first window shifted by 20 bits and the number of windows.
+
+    Of equal segments of one slice only the earliest is dealt by its anchor; the others are
+    done, since they repeat it, and are dealt by their place, so copies do not meet in a task.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for begin, _, data, offsets in tb.slices(batch.column(1), 1 << 20):
                 row, first, count, anchors, context = segments(data, offsets, length, anchor)
+                own = keys[begin + row]
+                same = tb.mix(anchors) ^ context
+                order = np.lexsort([first, own, same])
+                again = order[1:][same[order[1:]] == same[order[:-1]]]
+                done = np.zeros(len(own), dtype=bool)
+                done[again] = True
+                anchors[again] = tb.mix(own[again].view(np.uint64) * np.uint64(tb.BASE) + first[again].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys[begin + row]), pa.array((first << 20) | count)],
-                    names=["anchor", "context", "key", "at"])
+                    [pa.array(anchors.view(np.int64)), pa.array(context.view(np.int64)), pa.array(own), pa.array((first << 20) | count), pa.array(done)],
+                    names=["anchor", "context", "key", "at", "done"])
 
-    return keyed.select("__key", "text").mapInArrow(make, "anchor long, context long, key long, at long")
+    return keyed.select("__key", "text").mapInArrow(make, "anchor long, context long, key long, at long, done boolean")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
@@ -119,7 +130,13 @@ def judged(rows: DataFrame, parts: int) -> DataFrame:
         columns = gathered(batches)
         if not columns:
             return
-        anchors, context, key, at = columns
+        anchors, context, key, at, done = columns
+        if done.any():
+            own = np.flatnonzero(done)
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(at[own]), pa.nulls(len(own), pa.int64())], names=["key", "at", "anchor"])
+            anchors, context, key, at = anchors[~done], context[~done], key[~done], at[~done]
+        if not len(anchors):
+            return
         order = np.lexsort([at, key, context, anchors])
         anchors, context, key, at = anchors[order], context[order], key[order], at[order]
         new_anchor = np.append(True, anchors[1:] != anchors[:-1])
