@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics, search
+from corpusloom.plans import analytics, records, search
 
-MODULES = [analytics, search]
+MODULES = [analytics, search, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
