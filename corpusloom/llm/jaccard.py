@@ -184,7 +184,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([keys[first[i] : first[i + 1]].tobytes() for i in own.tolist()], pa.binary())], names=["class_id", "keys"])
 
     rows = docs.select("doc_id", "text").join(names, F.col("doc_id") == F.col("__id")).select("text", "__class")
-    return rows.mapInArrow(make, "class_id long, keys binary").groupBy("class_id").agg(F.first("keys").alias("keys"))
+    return rows.mapInArrow(make, "class_id long, keys binary")
 
 
 def within_sizes(threshold: int, a: str = "n_a", b: str = "n_b"):
@@ -226,6 +226,13 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(keep, "a long, b long")
 
 
+def verified_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """verified() with the sets of the classes in the pairs, and no others."""
+    named = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id"))).distinct()
+    wanted = classes.join(named, "class_id", "left_semi").select("doc_id", "class_id")
+    return verified(pairs, written(whole_sets(docs, wanted, size), "jaccard-sets"), threshold)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(class_id, component) of every linked class: least label of the neighbours, then labels of labels, until nothing moves."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "jaccard-links")
@@ -248,15 +255,14 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     classes = written(rows.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("histogram").alias("histogram")), "jaccard-classes")
     # one shuffle by token serves the distinct, the group and the join
     token_key = columns_of(docs, size, threshold, counts).repartition("token").groupBy("token", "class_id").agg(F.first("n").alias("n"))
-    held = token_key.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low <> high").select(F.col("token").alias("t"), "low")
+    # n is kept on both sides, so that both read the same shuffle
+    held = token_key.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("n").alias("most")).filter("low <> high and most > 0").select(F.col("token").alias("t"), "low")
     shared = written(token_key.join(held, F.col("token") == F.col("t")).select("token", "class_id", "n", "low"), "jaccard-columns")
     sizes = classes.select(F.col("class_id").alias("c"), F.col("n").alias("n_b"))
     stars = shared.filter("class_id <> low").select(F.col("low").alias("a"), F.col("class_id").alias("b"), F.col("n").alias("n_a")).distinct()
     stars = stars.join(sizes, stars.a == sizes.c).filter(within_sizes(threshold)).select("a", "b")
     likely = written(bounded(stars, classes, threshold), "jaccard-stars")
-    wanted = classes.join(shared.select("class_id").distinct(), "class_id", "left_semi").select("doc_id", "class_id")
-    sets = written(whole_sets(docs, wanted, size), "jaccard-sets")
-    links = written(verified(likely, sets, threshold), "jaccard-star-links")
+    links = written(verified_pairs(docs, likely, classes, size, threshold), "jaccard-star-links")
     known = components(links)
     placed = shared.join(known, "class_id", "left").select("token", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
@@ -264,9 +270,12 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     other = placed.select(F.col("token").alias("t2"), F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("cb"))
     mine = placed.select("token", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("ca"))
     cross = mine.join(other, (F.col("token") == F.col("t2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & within_sizes(threshold)).select("a", "b").distinct()
-    more = verified(written(bounded(cross, classes, threshold), "jaccard-cross"), sets, threshold)
-    final = components(links.union(more))
-    for done in (sets, shared, placed, likely):
+    possible = written(bounded(cross, classes, threshold), "jaccard-cross")
+    if not possible.isEmpty():
+        links = written(links.union(verified_pairs(docs, possible, classes, size, threshold)), "jaccard-all-links")
+        known = components(links)
+    final = known
+    for done in (shared, placed, likely, possible):
         release(done)
     named = classes.join(final, "class_id", "left").select("class_id", "doc_id", "n_copies", F.coalesce("component", "class_id").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
