@@ -49,7 +49,7 @@ SOURCE_CONFIDENCE = {"arxiv": 0.85, "semantic_scholar": 0.95, "openalex": 0.9}
 
 def source_confidence(source: Column, table: dict[str, float] | None = None, default: float = 0.5) -> Column:
     known = F.create_map(*[F.lit(x) for pair in (table or SOURCE_CONFIDENCE).items() for x in pair])
-    parts = F.filter(F.transform(F.split(F.lower(source), ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.lower(source), ","), lambda x: F.trim(x)), lambda s: s != "")
     return F.coalesce(F.array_max(F.transform(parts, lambda s: F.coalesce(known[s], F.lit(default)))), F.lit(default))
 
 

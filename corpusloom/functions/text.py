@@ -106,7 +106,7 @@ def initials(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Split after . ! ? and white space."""
-    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def strip_code_fences(c: Column | str) -> Column:

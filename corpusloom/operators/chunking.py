@@ -15,7 +15,7 @@ PRIORITY = ("method", "architecture", "model", "transformer", "attention", "expe
 
 def paragraphs(text: Column, min_chars: int = 160) -> Column:
     """Paragraphs of min_chars or more; the whole text if there is none."""
-    long = F.filter(F.transform(F.split(text, "\n\n"), F.trim), lambda p: F.length(p) >= min_chars)
+    long = F.filter(F.transform(F.split(text, "\n\n"), lambda x: F.trim(x)), lambda p: F.length(p) >= min_chars)
     return F.when(F.size(long) > 0, long).when(F.trim(text) != "", F.array(F.trim(text))).otherwise(F.array().cast("array<string>"))
 
 

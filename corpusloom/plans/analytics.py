@@ -87,7 +87,7 @@ def venue_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.top_counts(works_star(spark, sf_dir).select(F.explode(F.transform(F.split("source", ","), F.trim)).alias("source")).filter("source <> ''"), "source", 8)
+    return b.top_counts(works_star(spark, sf_dir).select(F.explode(F.transform(F.split("source", ","), lambda x: F.trim(x))).alias("source")).filter("source <> ''"), "source", 8)
 
 
 def top_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def search_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets in order: best 500, source, years, least citations; then newest first."""
     best = scored_star(spark, sf_dir).orderBy(F.desc("composite"), "id").limit(500)
     year = text.publication_year("published_date")
-    kept = best.filter(F.array_contains(F.transform(F.split("source", ","), F.trim), "openalex") & (F.coalesce(year, F.lit(0)) >= 1990) & (F.coalesce(year, F.lit(9999)) <= 2001) & (F.col("citations") >= 3))
+    kept = best.filter(F.array_contains(F.transform(F.split("source", ","), lambda x: F.trim(x)), "openalex") & (F.coalesce(year, F.lit(0)) >= 1990) & (F.coalesce(year, F.lit(9999)) <= 2001) & (F.col("citations") >= 3))
     return kept.select("id", "title", "citations", "published_date", "composite")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics, graphs, records, search
+from corpusloom.plans import analytics, documents, graphs, records, search
 
-MODULES = [analytics, search, records, graphs]
+MODULES = [analytics, search, records, graphs, documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
