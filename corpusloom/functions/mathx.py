@@ -26,8 +26,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def recency(date: Column, as_of: str) -> Column:
     """exp(-0.000379 days), 0 without a date."""
-    days = F.greatest(F.datediff(F.lit(as_of).cast("date"), F.try_to_date(date)), F.lit(0))
-    return F.coalesce(F.exp(-0.000379 * days), F.lit(0.0))
+    day = F.try_to_date(date)
+    days = F.greatest(F.datediff(F.lit(as_of).cast("date"), day), F.lit(0))  # greatest() skips nulls
+    return F.when(day.isNotNull(), F.exp(-0.000379 * days)).otherwise(0.0)
 
 
 def citation_raw(cites: Column) -> Column:

@@ -1 +1 @@
-"""streaming of corpusloom."""
+"""Stateful operators as Structured Streaming queries over event tables."""
