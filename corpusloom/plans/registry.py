@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics, documents, graphs, records, relational, search, streams
+from corpusloom.plans import analytics, documents, graphs, records, relational, relevance, search, streams
 
-MODULES = [analytics, search, records, graphs, documents, relational, streams]
+MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
