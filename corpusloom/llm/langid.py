@@ -31,6 +31,7 @@ from corpusloom.llm import textbytes as tb
 
 PROFILE = 300
 TRAIN_ROWS = 1500
+SALTS = 64
 CLASSES = 64
 GRAMS = CLASSES**3
 
@@ -113,10 +114,15 @@ def parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 def learn(labelled: DataFrame, size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Language to its profile as ranks by gram (``size`` where absent), from (doc_id, text, lang) rows."""
-    nearest = Window.partitionBy("lang").orderBy("__h", "text")
-    sample = (labelled.filter("lang is not null and text is not null")
-              .select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
-              .withColumn("__n", F.row_number().over(nearest)).filter(F.col("__n") <= train_rows).select("lang", "text"))
+    rows = labelled.filter("lang is not null and text is not null and doc_id is not null")
+    marked = rows.select("lang", F.col("doc_id").alias("__id"), F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
+    # chosen without the texts, in two rounds: a language's rows never meet in one task
+    some = Window.partitionBy("lang", F.pmod("__h", F.lit(SALTS))).orderBy("__h", "__id")
+    least = marked.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= train_rows)
+    nearest = Window.partitionBy("lang").orderBy("__h", "__id")
+    chosen = least.withColumn("__n", F.row_number().over(nearest)).filter(F.col("__n") <= train_rows).select(F.col("lang").alias("__lang"), "__id")
+    # train_rows rows a language are few enough to broadcast
+    sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
