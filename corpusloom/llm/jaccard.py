@@ -5,14 +5,15 @@ class's shingles are ordered from rare to frequent, and only as many columns as
 partner within the threshold cannot all miss enter the product (n - ceil(t n) + 1 of
 them). The product is taken block by block:
 
-1. Columns of one class are dropped. Each other column links its classes to its
-   smallest one, which covers groups of any size without their pairs.
+1. Columns of one class are dropped. Each other column pairs its classes with one of
+   them, its centre, which covers groups of any size without all their pairs.
 2. Pairs outside the sizes that the threshold allows are discarded, then those whose
    overlap is bounded too low by a histogram of the sets (the sum over its cells of the
    smaller count is never under the overlap).
 3. The overlap of the remaining pairs is accumulated over whole sets and compared with
    the threshold; links give components.
-4. The same for all pairs of a column that are of different components by now. Pairs
+4. The same with other centres for columns whose classes are of different components,
+   and last for all pairs of a column that are of different components by then. Pairs
    within a component need no look, so copies and near copies are not expanded, and
    no link between components is lost.
 
@@ -44,6 +45,9 @@ THRESHOLD = 80
 CELLS = 1 << 18
 CHUNK = 1 << 12
 SALTS = 32
+#: Random orders that centres are taken from in a round, and rounds before all open pairs are compared.
+ORDERS = 8
+ROUNDS = 2
 
 MEMBER = np.ones(256, dtype=bool)
 MEMBER[[32, 9, 10, 11, 12, 13]] = False
@@ -226,11 +230,37 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(keep, "a long, b long")
 
 
-def verified_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
-    """verified() with the sets of the classes in the pairs, and no others."""
-    named = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id"))).distinct()
-    wanted = classes.join(named, "class_id", "left_semi").select("doc_id", "class_id")
-    return verified(pairs, written(whole_sets(docs, wanted, size), "jaccard-sets"), threshold)
+class Sets:
+    """Whole sets of classes, fetched when a pair first needs them and kept for later pairs."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, threshold: int) -> None:
+        self.docs, self.classes, self.size, self.threshold = docs, classes, size, threshold
+        self.parts: list[DataFrame] = []
+
+    def have(self) -> DataFrame:
+        out = self.parts[0]
+        for more in self.parts[1:]:
+            out = out.union(more)
+        return out
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """verified() with the sets of the classes in the pairs."""
+        named = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id"))).distinct()
+        if self.parts:
+            named = named.join(self.have().select("class_id"), "class_id", "left_anti")
+        wanted = written(self.classes.join(named, "class_id", "left_semi").select("doc_id", "class_id"), "jaccard-wanted")
+        if not self.parts or not wanted.isEmpty():
+            self.parts.append(written(whole_sets(self.docs, wanted, self.size), "jaccard-sets"))
+        return written(verified(pairs, self.have(), self.threshold), "jaccard-links")
+
+    def release(self) -> None:
+        for part in self.parts:
+            release(part)
+
+
+def centre(salt: int):
+    """One class of a column, chosen by one of ORDERS random orders: copies that share their columns get few centres, spread over the group."""
+    return F.min_by("class_id", F.xxhash64("class_id", F.pmod("token", F.lit(ORDERS)), F.lit(salt)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,26 +286,40 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     # one shuffle by token serves the distinct, the group and the join
     token_key = columns_of(docs, size, threshold, counts).repartition("token").groupBy("token", "class_id").agg(F.first("n").alias("n"))
     # n is kept on both sides, so that both read the same shuffle
-    held = token_key.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("n").alias("most")).filter("low <> high and most > 0").select(F.col("token").alias("t"), "low")
-    shared = written(token_key.join(held, F.col("token") == F.col("t")).select("token", "class_id", "n", "low"), "jaccard-columns")
+    held = token_key.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("n").alias("most"), centre(0).alias("centre")).filter("low <> high and most > 0").select(F.col("token").alias("t"), "centre")
+    shared = written(token_key.join(held, F.col("token") == F.col("t")).select("token", "class_id", "n", "centre"), "jaccard-columns")
     sizes = classes.select(F.col("class_id").alias("c"), F.col("n").alias("n_b"))
-    stars = shared.filter("class_id <> low").select(F.col("low").alias("a"), F.col("class_id").alias("b"), F.col("n").alias("n_a")).distinct()
-    stars = stars.join(sizes, stars.a == sizes.c).filter(within_sizes(threshold)).select("a", "b")
-    likely = written(bounded(stars, classes, threshold), "jaccard-stars")
-    links = written(verified_pairs(docs, likely, classes, size, threshold), "jaccard-star-links")
+    sets = Sets(docs, classes, size, threshold)
+
+    def starred(rows: DataFrame) -> DataFrame:
+        pairs = rows.filter("class_id <> centre").select(F.col("centre").alias("a"), F.col("class_id").alias("b"), F.col("n").alias("n_a")).distinct()
+        pairs = pairs.join(sizes, pairs.a == sizes.c).filter(within_sizes(threshold)).select("a", "b")
+        return sets.links(written(bounded(pairs, classes, threshold), "jaccard-stars"))
+
+    def still_open(known: DataFrame) -> DataFrame:
+        """The columns whose classes are of different components."""
+        placed = shared.join(known, "class_id", "left").select("token", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+        tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+        return written(placed.join(tokens, "token", "left_semi"), "jaccard-open")
+
+    links = starred(shared)
     known = components(links)
-    placed = shared.join(known, "class_id", "left").select("token", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-    placed = written(placed.join(open_tokens, "token", "left_semi"), "jaccard-open")
+    placed = still_open(known)
+    for salt in range(1, ROUNDS):
+        chosen = placed.groupBy("token").agg(centre(salt).alias("centre"), F.min_by("component", F.xxhash64("class_id", F.pmod("token", F.lit(ORDERS)), F.lit(salt))).alias("cc"))
+        links = written(links.union(starred(placed.join(chosen, "token").filter("component <> cc"))), "jaccard-all-links")
+        known = components(links)
+        release(placed)
+        placed = still_open(known)
     other = placed.select(F.col("token").alias("t2"), F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("cb"))
     mine = placed.select("token", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("ca"))
     cross = mine.join(other, (F.col("token") == F.col("t2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & within_sizes(threshold)).select("a", "b").distinct()
     possible = written(bounded(cross, classes, threshold), "jaccard-cross")
     if not possible.isEmpty():
-        links = written(links.union(verified_pairs(docs, possible, classes, size, threshold)), "jaccard-all-links")
-        known = components(links)
+        known = components(written(links.union(sets.links(possible)), "jaccard-all-links"))
     final = known
-    for done in (shared, placed, likely, possible):
+    sets.release()
+    for done in (shared, placed, possible):
         release(done)
     named = classes.join(final, "class_id", "left").select("class_id", "doc_id", "n_copies", F.coalesce("component", "class_id").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
