@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     have = context.getCheckpointDir()
     if have:
         return have
-    if not context.master.startswith("local["):
+    if context.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
     return context.getCheckpointDir()
