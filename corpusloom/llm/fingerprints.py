@@ -1,11 +1,13 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters.
 
-A candidate feature is the window of WINDOW bytes at each word start (a window moves
-with its text, so an edit elsewhere leaves it alone). Its entropy over bytes, in
+A candidate feature is the window of WINDOW bytes at each byte. Its entropy over bytes, in
 thousandths of the most possible, is ranked by rarity: the fewer windows of the whole
 corpus have that entropy, the more improbable it is. A window is selected when it is the
 most improbable of at least VOTES of the NEIGHBOURS-long runs of candidates around it
-(all candidates of a text with fewer). Selected windows are hashed and set HASHES bits
+(all candidates of a text with fewer); among equal ranks a hash of the window decides, and
+a window that wins a run and recurs in the next NEIGHBOURS - 1 places, as in text with a
+short period, needs no more votes. If none is selected, the winners of all runs are.
+Selected windows are hashed and set HASHES bits
 each in filters of 2,048 bits; a filter takes FILL distinct features and the next one
 chains on. Likeness is the overlap of set bits between the filters of the shorter chain
 and their best partners, normalised between what chance gives and the most possible.
@@ -46,41 +48,51 @@ LEAST = 100
 #: Share of the way from chance to the most possible overlap that still counts as 0.
 CUT = 0.3
 
+#: c log2 c of every count in 2**-32, and what the c-th equal byte adds to it.
 _C = np.arange(WINDOW + 1, dtype=np.float64)
-COUNT_TERM = np.where(_C > 0, _C * np.log2(np.maximum(_C, 1)), 0.0)
+COUNT_SUM = np.rint(2.0**32 * _C * np.log2(np.maximum(_C, 1))).astype(np.int64)
+COUNT_STEP = np.diff(COUNT_SUM, prepend=0)
+#: Windows whose counts are made at a time, few enough for the processor's cache.
+BLOCK = 1 << 16
+
+
+def entropy_levels(data: np.ndarray) -> np.ndarray:
+    """Entropy of data[s : s + WINDOW), in thousandths of log2(WINDOW), for every s.
+
+    A step to the next window takes out one byte and puts in one, so the sum of c log c
+    changes by what the counts of these two bytes say; the counts come from comparisons of
+    the data with itself moved by 1 to WINDOW - 1. Sums are integers: a window's level does
+    not depend on where it stands.
+    """
+    n = max(0, len(data) - WINDOW + 1)
+    out = np.zeros(n, dtype=np.int16)
+    for at in range(0, n, BLOCK):
+        part = data[at : at + BLOCK + WINDOW - 1]
+        size = len(part)
+        ahead, behind = np.ones(size, dtype=np.uint8), np.ones(size, dtype=np.uint8)
+        same = np.empty(size, dtype=bool)
+        for j in range(1, WINDOW):
+            equal = np.equal(part[:-j], part[j:], out=same[: size - j]).view(np.uint8)
+            ahead[:-j] += equal
+            behind[j:] += equal
+        sums = np.empty(size - WINDOW + 1, dtype=np.int64)
+        sums[0] = COUNT_SUM[np.bincount(part[:WINDOW])].sum()
+        sums[1:] = COUNT_STEP[behind[WINDOW:]] - COUNT_STEP[ahead[: size - WINDOW]]
+        np.cumsum(sums, out=sums)
+        out[at : at + len(sums)] = np.rint(1000 - sums * (1000 / COUNT_SUM[WINDOW]))
+    return out
 
 
 def window_entropy(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Entropy of data[s : s + WINDOW), in thousandths of log2(WINDOW)."""
-    out = np.zeros(len(starts), dtype=np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(data, WINDOW) if len(data) >= WINDOW else None
-    for at in range(0, len(starts), 1 << 15):
-        rows = np.sort(view[starts[at : at + (1 << 15)]], axis=1)
-        edge = np.ones((len(rows), WINDOW + 1), dtype=bool)
-        np.not_equal(rows[:, 1:], rows[:, :-1], out=edge[:, 1:WINDOW])
-        spots = np.flatnonzero(edge.ravel())
-        length = np.diff(spots)
-        row = spots[:-1] // (WINDOW + 1)
-        real = spots[:-1] % (WINDOW + 1) != WINDOW
-        total = np.bincount(row[real], weights=COUNT_TERM[length[real]], minlength=len(rows))
-        bits = np.log2(WINDOW) - total / WINDOW
-        out[at : at + len(rows)] = np.rint(1000 * bits / np.log2(WINDOW))
-    return out
+    return entropy_levels(data)[starts]
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the full windows at word starts, and each text's first among them."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    begin[edges] = inside[edges]
-    starts = np.flatnonzero(begin)
-    end = offsets[1:][np.searchsorted(offsets, starts, "right") - 1]
-    starts = starts[starts + WINDOW <= end]
-    return starts, np.searchsorted(starts, offsets)
+def candidates(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the full windows at every byte, and each text's first among them."""
+    sizes = np.maximum(0, np.diff(offsets) - WINDOW + 1)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], sizes), first
 
 
 def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -95,30 +107,38 @@ def sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64((1 << 40) - 1)).astype(np.int64)
 
 
-def selected(rank: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which candidates win enough runs within their own text."""
+def selected(rank: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which candidates win enough runs within their own text; equal ranks are told apart by the windows' hashes."""
     sizes = np.diff(first)
     chosen = np.repeat(sizes < NEIGHBOURS, sizes)
     if len(rank) >= NEIGHBOURS:
-        winner = sliding_argmin(rank, NEIGHBOURS)
+        winner = sliding_argmin((rank << 14) | (hashes >> np.uint64(50)).astype(np.int64), NEIGHBOURS)
         text = np.repeat(np.arange(len(sizes)), sizes)
         whole = text[: len(winner)] == text[NEIGHBOURS - 1 :]
         votes = np.bincount(winner[whole], minlength=len(rank))
         chosen |= votes >= VOTES
+        few = (votes > 0) & (votes < VOTES)
+        for d in range(1, NEIGHBOURS):
+            again = np.flatnonzero(hashes[:-d] == hashes[d:])
+            chosen[again[few[again] & (text[again] == text[again + d])]] = True
+        kept = np.concatenate([[0], np.cumsum(chosen)])
+        bare = kept[first[1:]] == kept[first[:-1]]
+        chosen |= few & np.repeat(bare, sizes)
     return chosen
 
 
 def feature_lists(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the selected windows in order, and each text's first among them."""
-    starts, first = candidates(data, offsets)
-    keep = selected(rarity[window_entropy(data, starts)], first)
-    starts = starts[keep]
+    starts, first = candidates(offsets)
+    prefix = tb.prefix_hash(data)
+    hashes = tb.span_hash(prefix, starts, starts + WINDOW)
+    keep = selected(rarity[window_entropy(data, starts)], hashes, first)
+    starts, hashes = starts[keep], hashes[keep]
     lone = (np.diff(first) == 0) & (np.diff(offsets) > 0)
     begin = np.concatenate([starts, offsets[:-1][lone]])
-    end = np.concatenate([starts + WINDOW, offsets[1:][lone]])
+    hashes = np.concatenate([hashes, tb.span_hash(prefix, offsets[:-1][lone], offsets[1:][lone])])
     order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], end[order]
-    return tb.span_hash(tb.prefix_hash(data), begin, end), np.searchsorted(begin, offsets)
+    return hashes[order], np.searchsorted(begin[order], offsets)
 
 
 class Digest:
@@ -172,7 +192,7 @@ def rarity_table(docs: DataFrame) -> np.ndarray:
         sums = np.zeros(LEVELS, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in tb.slices(batch.column(0), 1 << 20):
-                starts, _ = candidates(data, offsets)
+                starts, _ = candidates(offsets)
                 sums += np.bincount(window_entropy(data, starts), minlength=LEVELS)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(sums[seen])], names=["level", "n"])

@@ -52,3 +52,23 @@ def test_edited_equals_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, fingerprint string")
     assert fp.edited_fingerprints(docs, fp.rarity_table(docs)).count() == 0
+
+
+def test_texts_without_blanks_are_read_to_their_end():
+    draw = np.random.default_rng(4)
+    table = np.arange(fp.LEVELS)
+    head = "".join(chr(0x4E00 + c) for c in draw.integers(0, 3000, 400))
+    tails = ["".join(chr(0x4E00 + c) for c in draw.integers(0, 3000, 400)) for _ in range(2)]
+    a, b = fp.digests([head + t for t in tails], table)
+    assert a.text() != b.text() and 0.2 < fp.likeness(a, b) < 0.9
+    plain, edited = fp.digests([head, head[:200] + tails[0][:200]], table)
+    assert fp.likeness(plain, edited) < 1
+    for text in ("é" * 200, "x " * 400, "ab" * 40, "q" * 79, "".join(chr(97 + c) for c in draw.integers(0, 26, 80))):
+        assert fp.digests([text], table)[0].count > 0
+
+
+def test_entropy_of_a_window_does_not_depend_on_its_place():
+    data = np.random.default_rng(5).integers(97, 105, 2 * fp.BLOCK + 500).astype(np.uint8)
+    whole = fp.entropy_levels(data)
+    for at in (0, 17, fp.BLOCK - 3, fp.BLOCK, 2 * fp.BLOCK + 400):
+        assert np.array_equal(whole[at : at + 37], fp.entropy_levels(data[at : at + 100])[:37])
