@@ -2,8 +2,9 @@
 
 Training learns lexicon entries from labelled rows: whole words, and stems that
 begin several different words. The entries form a trie; the trie is intersected with
-Levenshtein automata (one edit for entries of MIN_FUZZY bytes or more) and the
-product is made deterministic, so that every word of every text is read once. Hits
+Levenshtein automata (one edit for words and stems of MIN_FUZZY bytes or more) and the
+product is made deterministic, so that every word of every text is read once. A
+misspelling that the training rows hold with a precision below MIN_PRECISION is no hit. Hits
 get context: inside quotation marks or not, and how many other hits stand within
 CONTEXT words. A logistic model on these features gives the score, so a quoted term
 can weigh less than abuse.
@@ -39,7 +40,6 @@ MIN_SHARE = 0.005
 STEM_LENGTHS = (4, 5, 6)
 STEM_WORDS = 4
 MIN_FUZZY = 5
-FUZZY_SHARE = 0.2
 CONTEXT = 12
 FUZZY_TRUST = 0.8
 WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
@@ -53,10 +53,10 @@ QUOTES = ("“", "”", "«", "»", "„")
 FEATURES = 7
 
 
-def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str], list[str], set[str]]:
-    """Words and stems that mark label 1 among (text, label) rows, and the words sure enough to be matched misspelled.
+def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str], list[str]]:
+    """Words and stems that mark label 1 among (text, label) rows; distinct texts count once.
 
-    Distinct texts count once; a word is sure if it has FUZZY_SHARE of the support of the best one.
+    Words stay beside the stems that cover them, and stems beside shorter ones that are too short for edits.
     """
     base = texts.filter("text is not null").select("text", F.col("label").cast("int").alias("label")).distinct()
     need = max(MIN_SUPPORT, int(MIN_SHARE * (base.agg(F.sum("label")).first()[0] or 0)))
@@ -76,11 +76,10 @@ def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str],
     found_stems = [r.s for r in stem_terms.orderBy(F.desc("t"), "s").limit(lexicon).collect()]
     chosen: list[str] = []
     for s in sorted(found_stems, key=len):
-        if not any(s.startswith(c) for c in chosen):
+        if not any(s.startswith(c) and len(c.encode()) >= MIN_FUZZY for c in chosen):
             chosen.append(s)
-    found = word_terms.orderBy(F.desc("t"), "w").limit(4 * lexicon).collect()
-    plain = [r.w for r in found if not any(r.w.startswith(c) for c in chosen)][: max(0, lexicon - len(chosen))]
-    return plain, chosen, {r.w for r in found if r.t >= FUZZY_SHARE * found[0].t}
+    plain = [r.w for r in word_terms.orderBy(F.desc("t"), "w").limit(max(0, lexicon - len(chosen))).collect()]
+    return plain, chosen
 
 
 @dataclass
@@ -111,29 +110,30 @@ def trie_of(entries: list[tuple[bytes, bool]]) -> tuple[list[dict[int, int]], li
     return children, ends
 
 
-def build_automaton(words: list[str], stems: list[str], sure: set[str] | None = None, min_fuzzy: int = MIN_FUZZY) -> Automaton:
+def build_automaton(words: list[str], stems: list[str], min_fuzzy: int = MIN_FUZZY, fuzzy_stems: bool = False) -> Automaton:
     """Determinises trie x Levenshtein(1). A state is a set of (node, edits); stems absorb what follows them.
 
-    Edits are allowed in the ``sure`` words (all if None) of min_fuzzy bytes or more.
+    Words of min_fuzzy bytes or more are matched with an edit, and with ``fuzzy_stems`` the words that begin with a stem
+    so long and an edit in it; what follows an exact stem or word is still told from these.
     """
-    inexact = {w.encode() for w in (words if sure is None else sure) if len(w.encode()) >= min_fuzzy}
     entries = [(w.encode(), False) for w in words] + [(s.encode(), True) for s in stems]
     children, ends = trie_of(entries)
     far = [0] * len(children)  # nodes above some end that is long enough for an edit
+    long_end, long_stem = set(), set()
     for text, stem in entries:
-        if text in inexact and not stem:
+        if len(text) >= min_fuzzy and (fuzzy_stems or not stem):
             node = 0
             far[0] = 1
             for byte in text:
                 node = children[node][byte]
                 far[node] = 1
-    long_end = {n for text, stem in entries if text in inexact and not stem for n in [_walk(children, text)]}
+            (long_stem if stem else long_end).add(node)
     alphabet = sorted({b for text, _ in entries for b in text})
     classes = np.zeros(256, dtype=np.int32)
     for k, byte in enumerate(alphabet):
         classes[byte] = k + 1
     width = len(alphabet) + 1
-    absorbed = -1  # a pseudo node: a stem was read
+    absorbed, edited = -1, -2  # pseudo nodes: a stem was read, or one with an edit
 
     def close(states: set[tuple[int, int]]) -> frozenset:
         out = set(states)
@@ -142,6 +142,8 @@ def build_automaton(words: list[str], stems: list[str], sure: set[str] | None =
                 out |= {(child, 1) for child in children[node].values() if far[child]}
         if any(n == absorbed or (e == 0 and ends[n] == 2) for n, e in out):
             return frozenset({(absorbed, 0)})
+        if any(e == 1 and (n == edited or n in long_stem) for n, e in out):
+            return frozenset({(edited, 1)} | {(n, e) for n, e in out if e == 0})
         return frozenset((n, e) for n, e in out if not (e == 1 and (n, 0) in out))
 
     def move(states: frozenset, byte: int | None) -> frozenset:
@@ -149,41 +151,40 @@ def build_automaton(words: list[str], stems: list[str], sure: set[str] | None =
         for node, edits in states:
             if node == absorbed:
                 return states
+            if node == edited:
+                out.add((edited, 1))
+                continue
             if byte is not None and byte in children[node]:
                 out.add((children[node][byte], edits))
             if edits == 0 and far[node]:
                 out.add((node, 1))
                 out |= {(child, 1) for child in children[node].values() if far[child]}
-        return close({(n, e) for n, e in out if e == 0 or far[n]})
+        return close({(n, e) for n, e in out if e == 0 or n == edited or far[n]})
 
     start = close({(0, 0)})
     numbers = {frozenset(): 0, start: 1}
     order = [frozenset(), start]
     table: list[list[int]] = []
+
+    def number(after: frozenset) -> int:
+        if after not in numbers:
+            numbers[after] = len(order)
+            order.append(after)
+        return numbers[after]
+
     k = 0
     while k < len(order):
-        row = []
-        for byte in [None, *alphabet]:
-            after = move(order[k], byte) if order[k] else order[0]
-            if after not in numbers:
-                numbers[after] = len(order)
-                order.append(after)
-            row.append(numbers[after])
+        row = [number(move(order[k], None) if order[k] else order[0])] * width
+        for byte in {b for n, _ in order[k] if n >= 0 for b in children[n]}:  # any other byte does what none of the alphabet does
+            row[classes[byte]] = number(move(order[k], byte))
         table.append(row)
         k += 1
     exact = np.array([int(any(n == absorbed or (e == 0 and ends[n]) for n, e in s)) for s in order], dtype=np.int8)
-    fuzzy = np.array([int(any(e == 1 and n in long_end for n, e in s)) for s in order], dtype=np.int8) & (1 - exact)
+    fuzzy = np.array([int(any(e == 1 and (n == edited or n in long_end) for n, e in s)) for s in order], dtype=np.int8) & (1 - exact)
     longest = 10**9 if stems else max([len(t) for t, _ in entries], default=0) + 1
     return Automaton(classes, np.array(table, dtype=np.int32).reshape(-1), exact, fuzzy, longest, width)
 
 
-def _walk(children: list[dict[int, int]], text: bytes) -> int:
-    node = 0
-    for byte in text:
-        node = children[node][byte]
-    return node
-
-
 def run(automaton: Automaton, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(exact, fuzzy) flags of each word; words leave as soon as no entry can be reached."""
     length = ends - starts
@@ -202,6 +203,43 @@ def run(automaton: Automaton, low: np.ndarray, starts: np.ndarray, ends: np.ndar
     return automaton.exact[final] > 0, automaton.fuzzy[final] > 0
 
 
+@dataclass
+class Matcher:
+    """An automaton and the hashes, sorted, of the misspellings that it matches but training does not bear out."""
+
+    automaton: Automaton
+    blocked: np.ndarray
+
+    def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exact, fuzzy) flags of each word."""
+        exact, fuzzy = run(self.automaton, low, starts, ends)
+        at = np.flatnonzero(fuzzy)
+        if len(at) and len(self.blocked):
+            fuzzy[at] = ~np.isin(tb.span_hash(tb.prefix_hash(low), starts[at], ends[at]), self.blocked)
+        return exact, fuzzy
+
+
+def refuted(texts: DataFrame, matcher: Matcher) -> np.ndarray:
+    """Sorted hashes of the misspellings whose precision among (text, label) rows is below MIN_PRECISION; distinct texts count once."""
+    shared = texts.sparkSession.sparkContext.broadcast(matcher)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in tb.slices(batch.column(1)):
+                low = tb.LOWER[data]
+                starts, ends, first = tb.words(low, offsets, MEMBER)
+                if not len(starts):
+                    continue
+                at = np.flatnonzero(shared.value.hits(low, starts, ends)[1])
+                pairs = np.unique(np.column_stack([np.searchsorted(first, at, "right").astype(np.uint64) - np.uint64(1), tb.span_hash(tb.prefix_hash(low), starts[at], ends[at])]), axis=0)
+                label = batch.column(0).slice(row, end - row).take(pa.array(pairs[:, 0].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([label, pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], names=["label", "h"])
+
+    base = texts.filter("text is not null").select(F.col("label").cast("int").alias("label"), "text").distinct()
+    kinds = base.mapInArrow(found, "label int, h long").groupBy("h").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
+    return np.sort(np.array([r.h for r in kinds.filter(F.col("t") < MIN_PRECISION * F.col("n")).select("h").collect()], dtype=np.int64).view(np.uint64))
+
+
 def quote_places(data: np.ndarray) -> np.ndarray:
     """Flags of the bytes where a quotation mark ends."""
     out = data == 0x22
@@ -215,7 +253,7 @@ def quote_places(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def features(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per text: logs of hits outside and inside quotation, of fuzzy hits in each, densest window, hits a word, no words.
 
     A fuzzy hit counts as FUZZY_TRUST of a hit; its own columns let training move away from that.
@@ -228,7 +266,7 @@ def features(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.
     out[:, 6] = words == 0
     if not len(starts):
         return out
-    exact, fuzzy = run(automaton, low, starts, ends)
+    exact, fuzzy = matcher.hits(low, starts, ends)
     at = np.flatnonzero(exact | fuzzy)
     if not len(at):
         return out
@@ -254,7 +292,7 @@ def features(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.
 
 @dataclass
 class Model:
-    automaton: Automaton
+    matcher: Matcher
     weights: np.ndarray
     bias: float
     base_rate: float
@@ -278,9 +316,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     return beta[:-1], float(beta[-1])
 
 
-def featured(rows: DataFrame, automaton: Automaton) -> DataFrame:
+def featured(rows: DataFrame, matcher: Matcher) -> DataFrame:
     """The rows' label and features."""
-    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+    shared = rows.sparkSession.sparkContext.broadcast(matcher)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,18 +340,20 @@ def train(labelled: DataFrame) -> Model:
     try:
         row = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
         rate = row.t / row.n if row.n else 0.0
-        words, stems, sure = learned_terms(sample.filter("pmod(__h, 3) > 0"))
-        automaton = build_automaton(words, stems, sure)
+        learning = sample.filter("pmod(__h, 3) > 0")
+        words, stems = learned_terms(learning)
+        matcher = Matcher(build_automaton(words, stems, fuzzy_stems=True), np.zeros(0, dtype=np.uint64))
         if row.t in (0, row.n) or not (words or stems):
-            return Model(automaton, np.zeros(FEATURES), float("nan"), rate, words, stems)
-        fitted = featured(sample.filter("pmod(__h, 3) = 0"), automaton).collect()
+            return Model(matcher, np.zeros(FEATURES), float("nan"), rate, words, stems)
+        matcher.blocked = refuted(learning, matcher)
+        fitted = featured(sample.filter("pmod(__h, 3) = 0"), matcher).collect()
     finally:
         sample.unpersist()
     if len({r.label for r in fitted}) < 2:
-        return Model(automaton, np.zeros(FEATURES), float("nan"), rate, words, stems)
+        return Model(matcher, np.zeros(FEATURES), float("nan"), rate, words, stems)
     x, y = np.array([r.x for r in fitted]), np.array([r.label for r in fitted], dtype=float)
     weights, bias = logistic(x, y)
-    return Model(automaton, weights, bias, rate, words, stems)
+    return Model(matcher, weights, bias, rate, words, stems)
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -330,7 +370,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
                 if np.isnan(m.bias):
                     score = np.full(end - row, m.base_rate)
                 else:
-                    score = 1 / (1 + np.exp(-np.clip(features(m.automaton, data, offsets) @ m.weights + m.bias, -30, 30)))
+                    score = 1 / (1 + np.exp(-np.clip(features(m.matcher, data, offsets) @ m.weights + m.bias, -30, 30)))
                 head = [batch.column(batch.schema.get_field_index(c)).slice(row, end - row) for c in names]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 

@@ -74,3 +74,28 @@ def test_no_labels_and_clashing_columns(spark):
     assert [r.score for r in toxicity.scored(docs, model).collect()] == [0.0, 0.0]
     assert toxicity.keep_clean(docs, model).columns == docs.columns
     assert toxicity.keep_clean(docs.limit(0), model).count() == 0
+
+
+def test_stems_and_rare_terms_are_matched_misspelled(spark):
+    draw = random.Random(3)
+    fill = ["stone", "river", "green", "walk", "light", "paper", "quiet", "table"]
+    cues = ["grubwort", "grubwort", "grubwort", "grubwort", "grubwort", "grubwort", "grubwort", "grubwort", "grubwort", "zanthorpe"]
+    ends = ["ing", "ed", "er", "ish", "ly"]
+    docs, labels = [], []
+    for i in range(1500):
+        text = [draw.choice(fill) for _ in range(30)]
+        bad = i % 3 == 0
+        if bad:
+            text[draw.randrange(30)] = draw.choice(cues) if draw.random() < 0.5 else "snivel" + draw.choice(ends)
+        elif i % 3 == 1:
+            text[draw.randrange(30)] = "grubworm"
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(bad)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(toxicity.labelled_rows(frame, spark.createDataFrame(labels, "doc_id long, toxic int")))
+    tried = ["zanthorpe", "zanthorqe", "snivelling", "snivvel", "znivelish", "snevelerling", "grubworrt", "grubworm", "stone"]
+    data = np.frombuffer(" ".join(tried).encode(), np.uint8)
+    starts, ends_, _ = toxicity.tb.words(data, np.array([0, len(data)]), toxicity.MEMBER)
+    exact, fuzzy = model.matcher.hits(data, starts, ends_)
+    assert exact.tolist() == [True, False, True, True, False, False, False, False, False]
+    assert fuzzy.tolist() == [False, True, False, False, True, True, True, False, False]
