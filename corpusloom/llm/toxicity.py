@@ -10,8 +10,8 @@ CONTEXT words. A logistic model on these features gives the score, so a quoted t
 can weigh less than abuse.
 
 Bounds: the model is fitted on at most SAMPLE_ROWS labels (the smallest by a hash of
-doc_id), the lexicon has at most LEXICON entries; scoring covers every byte
-of every text and needs no shuffle.
+doc_id); the lexicon keeps every term of the same support and precision at any size, in as
+many automata as it takes; scoring covers every byte of every text and needs no shuffle.
 
 Defined cases: null and empty texts have no hits and get the score that the model
 gives to a text without hits; with no labels, or labels of one kind only, every score
@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm import textbytes as tb
 
 SAMPLE_ROWS = 20_000
-LEXICON = 192
+#: Entries that one automaton holds; a larger lexicon takes several.
+ENTRIES = 512
 MIN_SUPPORT = 3
 MIN_PRECISION = 0.8
-#: Least share of the texts with label 1 that hold an entry.
-MIN_SHARE = 0.005
 STEM_LENGTHS = (4, 5, 6)
 STEM_WORDS = 4
 MIN_FUZZY = 5
@@ -53,17 +52,16 @@ QUOTES = ("“", "”", "«", "»", "„")
 FEATURES = 7
 
 
-def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str], list[str]]:
+def learned_terms(texts: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems that mark label 1 among (text, label) rows; distinct texts count once.
 
     Words stay beside the stems that cover them, and stems beside shorter ones that are too short for edits.
     """
     base = texts.filter("text is not null").select("text", F.col("label").cast("int").alias("label")).distinct()
-    need = max(MIN_SUPPORT, int(MIN_SHARE * (base.agg(F.sum("label")).first()[0] or 0)))
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = base.select("label", F.array_distinct(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))).alias("words"))
     begins = F.flatten(F.array(*[F.expr(f"transform(filter(words, w -> length(w) >= {k}), w -> substring(w, 1, {k}))") for k in STEM_LENGTHS]))
-    chosen_rows = (F.col("t") >= need) & (F.col("t") >= MIN_PRECISION * F.col("n"))
+    chosen_rows = (F.col("t") >= MIN_SUPPORT) & (F.col("t") >= MIN_PRECISION * F.col("n"))
 
     def counted(column: Column, name: str) -> DataFrame:
         rows = words.select("label", F.explode(column).alias(name))
@@ -73,13 +71,12 @@ def learned_terms(texts: DataFrame, lexicon: int = LEXICON) -> tuple[list[str],
     found_in = words.filter("label = 1").select(F.explode("words").alias("w")).distinct()
     kinds = found_in.select(F.explode(F.array(*[F.when(F.length("w") >= k, F.substring("w", 1, k)) for k in STEM_LENGTHS])).alias("s")).groupBy("s").agg(F.count("*").alias("kinds"))
     stem_terms = counted(F.array_distinct(begins), "s").filter(F.col("t") >= 2 * MIN_SUPPORT).join(kinds.filter(F.col("kinds") >= STEM_WORDS), "s")
-    found_stems = [r.s for r in stem_terms.orderBy(F.desc("t"), "s").limit(lexicon).collect()]
+    found_stems = [r.s for r in stem_terms.select("s").collect()]
     chosen: list[str] = []
-    for s in sorted(found_stems, key=len):
+    for s in sorted(found_stems, key=lambda s: (len(s), s)):
         if not any(s.startswith(c) and len(c.encode()) >= MIN_FUZZY for c in chosen):
             chosen.append(s)
-    plain = [r.w for r in word_terms.orderBy(F.desc("t"), "w").limit(max(0, lexicon - len(chosen))).collect()]
-    return plain, chosen
+    return sorted(r.w for r in word_terms.select("w").collect()), chosen
 
 
 @dataclass
@@ -203,16 +200,28 @@ def run(automaton: Automaton, low: np.ndarray, starts: np.ndarray, ends: np.ndar
     return automaton.exact[final] > 0, automaton.fuzzy[final] > 0
 
 
+def build_automata(words: list[str], stems: list[str], size: int = ENTRIES) -> list[Automaton]:
+    """Automata over at most ``size`` entries each, neighbours in the alphabet together, with edits for all of MIN_FUZZY bytes or more."""
+    entries = sorted([(w, False) for w in words] + [(s, True) for s in stems])
+    parts = [entries[i : i + size] for i in range(0, len(entries), size)]
+    return [build_automaton([t for t, stem in part if not stem], [t for t, stem in part if stem], fuzzy_stems=True) for part in parts]
+
+
 @dataclass
 class Matcher:
-    """An automaton and the hashes, sorted, of the misspellings that it matches but training does not bear out."""
+    """Automata of all entries and the hashes, sorted, of the misspellings that they match but training does not bear out."""
 
-    automaton: Automaton
+    automata: list[Automaton]
     blocked: np.ndarray
 
     def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(exact, fuzzy) flags of each word."""
-        exact, fuzzy = run(self.automaton, low, starts, ends)
+        exact, fuzzy = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
+        for automaton in self.automata:
+            e, f = run(automaton, low, starts, ends)
+            exact |= e
+            fuzzy |= f
+        fuzzy &= ~exact
         at = np.flatnonzero(fuzzy)
         if len(at) and len(self.blocked):
             fuzzy[at] = ~np.isin(tb.span_hash(tb.prefix_hash(low), starts[at], ends[at]), self.blocked)
@@ -342,7 +351,7 @@ def train(labelled: DataFrame) -> Model:
         rate = row.t / row.n if row.n else 0.0
         learning = sample.filter("pmod(__h, 3) > 0")
         words, stems = learned_terms(learning)
-        matcher = Matcher(build_automaton(words, stems, fuzzy_stems=True), np.zeros(0, dtype=np.uint64))
+        matcher = Matcher(build_automata(words, stems), np.zeros(0, dtype=np.uint64))
         if row.t in (0, row.n) or not (words or stems):
             return Model(matcher, np.zeros(FEATURES), float("nan"), rate, words, stems)
         matcher.blocked = refuted(learning, matcher)

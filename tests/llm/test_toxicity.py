@@ -99,3 +99,16 @@ def test_stems_and_rare_terms_are_matched_misspelled(spark):
     exact, fuzzy = model.matcher.hits(data, starts, ends_)
     assert exact.tolist() == [True, False, True, True, False, False, False, False, False]
     assert fuzzy.tolist() == [False, True, False, False, True, True, True, False, False]
+
+
+def test_lexicon_keeps_every_term(spark):
+    names = ["".join(random.Random(k).choices("bcdfgklmnprstvz", k=9)) for k in range(700)]
+    rows = [(f"{w} walk{i}", 1) for w in names for i in range(3)] + [(f"walk{i} river", 0) for i in range(40)]
+    words, stems = toxicity.learned_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert set(names) <= set(words)
+    matcher = toxicity.Matcher(toxicity.build_automata(words, stems), np.zeros(0, np.uint64))
+    assert len(matcher.automata) > 1
+    data = np.frombuffer(" ".join([*names, *[w[:4] + "x" + w[5:] for w in names]]).encode(), np.uint8)
+    starts, ends, _ = toxicity.tb.words(data, np.array([0, len(data)]), toxicity.MEMBER)
+    exact, fuzzy = matcher.hits(data, starts, ends)
+    assert exact[:700].all() and (exact | fuzzy)[700:].all()
