@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.llm import textbytes as tb
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,5 +59,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def keep_rows(docs: DataFrame, prepare: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """The rows of docs, with all columns, for which the function that ``prepare`` makes in a task says so.
+
+    It gets the UTF-8 bytes and offsets of a run of texts (nulls are empty). A text goes to Python once, as its column.
+    """
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = prepare()
+        for batch in batches:
+            flags = [judge(data, offsets) for _, _, data, offsets in tb.slices(batch.column(place), 1 << 20)]
+            if flags:
+                yield batch.filter(pa.array(np.concatenate(flags)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
