@@ -5,26 +5,33 @@ class's shingles are ordered from rare to frequent, and only as many columns as
 partner within the threshold cannot all miss enter the product (n - ceil(t n) + 1 of
 them). The product is taken block by block:
 
-1. Columns of one class are dropped. Each other column pairs its classes with one of
-   them, its centre, which covers groups of any size without all their pairs.
-2. Pairs outside the sizes that the threshold allows are discarded, then those whose
-   overlap is bounded too low by a histogram of the sets (the sum over its cells of the
-   smaller count is never under the overlap).
-3. The overlap of the remaining pairs is accumulated over whole sets and compared with
-   the threshold; links give components.
-4. The same with other centres for columns whose classes are of different components,
-   and last for all pairs of a column that are of different components by then. Pairs
-   within a component need no look, so copies and near copies are not expanded, and
-   no link between components is lost.
+1. Columns of one class are dropped. Each other column links its classes with one of
+   them, its centre, if their sizes, a histogram of their sets (the sum over its cells of
+   the smaller count is never under the overlap) and at last their whole sets allow it.
+   ROUNDS rounds with other centres give components, and pairs within a component need no
+   further look, so copies and near copies are not expanded.
+2. Columns whose classes are still of different components are split by set size, so that
+   a column holds classes of two neighbouring sizes only: other pairs are below the bound
+   that the sizes give. A column is dropped where another holds all its classes.
+3. A column of more than TILE cells is split into tiles of classes, and each pair of tiles
+   is a block of the product, dealt to a task with the whole sets of its classes. The task
+   accumulates the overlap counts of the block (a dense product for its frequent n-grams, a
+   sum over the pairs of an n-gram for the others, or the counts of the pairs alone where
+   few are open), discards what is below the threshold, and emits a spanning forest of the
+   links that it found: no candidate pair is ever a row, and no link between components is
+   lost.
 
 Shingle frequency, which sets only the order, is counted over all documents in a
 table of CELLS cells; that table is all that is broadcast. Class and shingle ids are
 64-bit hashes; equal texts always meet.
 
 Defined cases: null, empty and wordless texts have no shingle, link with nothing and
-are their own component; fewer words than a shingle are one shingle; repeated rows and
-doc_ids are documents of one class; a null doc_id is never the smallest; very long
-texts are read whole; other columns are ignored (``deduplicated`` keeps them).
+are their own component; fewer words than a shingle are one shingle; rows of one set are
+one class, whatever their doc_ids, so a null doc_id links what it is similar to; a null
+doc_id is never the smallest, and a component of nulls only has a null component_id; very
+long texts are read whole; other columns are ignored. ``deduplicated`` keeps one row of a
+component, that with the least doc_id (nulls last), of equal ones that with the least hash
+of the text, of repeated rows any; rows without shingles all stay, with all columns.
 """
 
 from __future__ import annotations
@@ -33,11 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textbytes as tb
-from corpusloom.llm.shared import release, written
+from corpusloom.llm.shared import release, shuffle_partitions, written
 
 SHINGLE = 5
 #: Least similarity in hundredths.
@@ -45,9 +52,16 @@ THRESHOLD = 80
 CELLS = 1 << 18
 CHUNK = 1 << 12
 SALTS = 32
-#: Random orders that centres are taken from in a round, and rounds before all open pairs are compared.
+#: Random orders that centres are taken from in a round, and rounds before the open columns are multiplied.
 ORDERS = 8
 ROUNDS = 2
+#: Cells of a tile; a class counts as ROW_CELLS at least, so a tile has at most TILE / ROW_CELLS classes or so.
+TILE = 1 << 20
+ROW_CELLS = 512
+#: Open pairs of a block above which its whole product is made.
+FEW_PAIRS = 20_000
+#: Cells of the histograms that bound the overlaps within a block.
+BOUNDS = 128
 
 MEMBER = np.ones(256, dtype=bool)
 MEMBER[[32, 9, 10, 11, 12, 13]] = False
@@ -131,19 +145,25 @@ def set_id(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
     return tb.mix((total[first[1:]] - total[first[:-1]]) + np.diff(first).astype(np.uint64) * np.uint64(tb.BASE)).view(np.int64)
 
 
+def text_key() -> Column:
+    """Hash of a text, which with the doc_id names a row; rows without any word get a number of their own, which meets nothing."""
+    return F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
+
+
 def set_rows(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, class_id and histogram of every document."""
+    """doc_id, text_key, n, class_id and histogram of every document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in tb.slices(batch.column(1), 1 << 20):
+            for row, end, data, offsets in tb.slices(batch.column(2), 1 << 20):
                 keys, first = shingles(data, offsets, size)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, end - row), pa.array(np.diff(first), pa.int64()), pa.array(set_id(keys, first)),
+                    [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(np.diff(first), pa.int64()), pa.array(set_id(keys, first)),
                      pa.array([histogram(keys[first[i] : first[i + 1]]) for i in range(end - row)], pa.binary())],
-                    names=["doc_id", "n", "class_id", "histogram"])
+                    names=["doc_id", "text_key", "n", "class_id", "histogram"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, histogram binary")
+    named = docs.select("doc_id", text_key().alias("text_key"), "text")
+    return named.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, class_id long, histogram binary")
 
 
 def columns_of(docs: DataFrame, size: int, threshold: int, counts: np.ndarray) -> DataFrame:
@@ -175,8 +195,8 @@ def columns_of(docs: DataFrame, size: int, threshold: int, counts: np.ndarray) -
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """class_id and sorted set (uint64 bytes) of the wanted (doc_id, class_id) rows."""
-    names = wanted.select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"))
+    """class_id and sorted set (uint64 bytes) of the wanted (class_id, doc_id, text_key) rows, each class once."""
+    names = wanted.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__wanted"), F.col("class_id").alias("__class"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +207,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 own = np.flatnonzero(ids == asked[row:end])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([keys[first[i] : first[i + 1]].tobytes() for i in own.tolist()], pa.binary())], names=["class_id", "keys"])
 
-    rows = docs.select("doc_id", "text").join(names, F.col("doc_id") == F.col("__id")).select("text", "__class")
-    return rows.mapInArrow(make, "class_id long, keys binary")
+    keyed = docs.select("doc_id", "text", text_key().alias("__key"))
+    rows = keyed.join(names, (F.col("__key") == F.col("__wanted")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    # repeated rows meet here: the join has dealt them by these columns
+    once = rows.groupBy("__key", "__id", "__class").agg(F.first("text").alias("text"))
+    return once.select("text", "__class").mapInArrow(make, "class_id long, keys binary")
 
 
 def within_sizes(threshold: int, a: str = "n_a", b: str = "n_b"):
@@ -243,14 +266,18 @@ class Sets:
             out = out.union(more)
         return out
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """verified() with the sets of the classes in the pairs."""
-        named = pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id"))).distinct()
+    def fetch(self, named: DataFrame) -> None:
+        """Makes sure that have() holds the sets of these distinct class_ids."""
         if self.parts:
             named = named.join(self.have().select("class_id"), "class_id", "left_anti")
-        wanted = written(self.classes.join(named, "class_id", "left_semi").select("doc_id", "class_id"), "jaccard-wanted")
+        wanted = written(self.classes.join(named, "class_id", "left_semi").select("class_id", "doc_id", "text_key"), "jaccard-wanted")
         if not self.parts or not wanted.isEmpty():
             self.parts.append(written(whole_sets(self.docs, wanted, self.size), "jaccard-sets"))
+        release(wanted)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """verified() with the sets of the classes in the pairs."""
+        self.fetch(pairs.select(F.col("a").alias("class_id")).union(pairs.select(F.col("b").alias("class_id"))).distinct())
         return written(verified(pairs, self.have(), self.threshold), "jaccard-links")
 
     def release(self) -> None:
@@ -265,7 +292,7 @@ def centre(salt: int):
 
 def components(links: DataFrame) -> DataFrame:
     """(class_id, component) of every linked class: least label of the neighbours, then labels of labels, until nothing moves."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "jaccard-links")
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "jaccard-both")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("class_id"), F.least("a", "m").alias("component")), "jaccard-labels")
     while True:
         near = both.join(labels, both.b == labels.class_id).groupBy("a").agg(F.min("component").alias("m"))
@@ -273,16 +300,224 @@ def components(links: DataFrame) -> DataFrame:
         top = labels.select(F.col("class_id").alias("c2"), F.col("component").alias("t"))
         moved = low.join(top, low.component == F.col("c2"), "left").select("class_id", "was", F.least("component", F.coalesce("t", "component")).alias("component"))
         moved = written(moved, "jaccard-labels")
+        release(labels)
+        labels = moved
         if moved.filter("was <> component").isEmpty():
-            return moved.select("class_id", "component")
-        labels = moved.select("class_id", "component")
+            release(both)
+            return labels
 
 
-def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, n_copies of every document row."""
+def size_edges(threshold: int) -> list[int]:
+    """Where ranges of set sizes begin: sets within the threshold are in one range or in neighbouring ones. Wider ranges than needed are kept few."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(100 * edges[-1] // min(threshold, 95) + 1)
+    return edges
+
+
+def size_range(n: np.ndarray, threshold: int) -> np.ndarray:
+    return np.searchsorted(np.array(size_edges(threshold), dtype=np.int64), n, "right")
+
+
+def size_range_column(threshold: int, column: str = "n") -> Column:
+    return F.expr(f"size(filter(array({','.join(f'{e}L' for e in size_edges(threshold))}), e -> e <= {column}))")
+
+
+def open_columns(placed: DataFrame, threshold: int) -> DataFrame:
+    """(token, cell, class_id, n, component): a column for each token and pair of neighbouring size ranges that holds
+    classes of different components, without the columns whose classes another column holds too."""
+    ranged = placed.withColumn("range", size_range_column(threshold))
+    cells = ranged.withColumn("cell", F.explode(F.array(F.col("range") - 1, F.col("range"))))
+    held = cells.groupBy("token", "cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("range").alias("low")).filter("x <> y and low = cell").select(F.col("token").alias("t"), F.col("cell").alias("c"))
+    live = cells.join(held, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).select("token", "cell", "class_id", "n", "component")
+    own = Window.partitionBy("class_id", "cell").orderBy("token")
+    ranked = written(live.withColumn("before", F.lag("token").over(own)).withColumn("first", F.first("token").over(own)), "jaccard-live")
+    # a column is within another if all its classes have the same column just before it, or first of all
+    kept = (ranked.groupBy("token", "cell").agg(F.min("before").alias("b1"), F.max("before").alias("b2"), F.count("before").alias("nb"), F.count("*").alias("k"), F.min("first").alias("f1"), F.max("first").alias("f2"), F.sum(F.greatest("n", F.lit(ROW_CELLS))).alias("cells"))
+            .filter("not (nb = k and b1 = b2) and not (f1 = f2 and f1 <> token)").select(F.col("token").alias("t"), F.col("cell").alias("c"), F.ceil(F.col("cells") / TILE).cast("int").alias("tiles")))
+    out = written(ranked.join(kept, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).select("token", "cell", "class_id", "n", "component", "tiles"), "jaccard-open-columns")
+    release(ranked)
+    return out
+
+
+def product(columns: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of a spanning forest of the links between components in each block; see block_links."""
+    parts = shuffle_partitions(columns.sparkSession)
+    own = F.pmod(F.xxhash64("class_id", "token"), F.col("tiles")).cast("int")
+    dealt = columns.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    blocks = dealt.select("token", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("class_id").alias("id"), "component")
+    rows = blocks.join(sets, F.col("id") == F.col("class_id")).select("token", "cell", "lo", "hi", "own", "id", "component", "keys")
+    rows = rows.repartition(parts, "token", "cell", "lo", "hi").sortWithinPartitions("token", "cell", "lo", "hi")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many: list[list[np.ndarray]] = []  # whole small blocks, taken together
+        size = 0
+        for block in grouped(batches):
+            if len(block[0]) > 64:
+                yield links_batch(block_links([block], threshold))
+                continue
+            many.append(block)
+            size += sum(len(k) for k in block[3])
+            if size > TILE // 2:
+                yield links_batch(block_links(many, threshold))
+                many, size = [], 0
+        if many:
+            yield links_batch(block_links(many, threshold))
+
+    return rows.mapInArrow(multiply, "a long, b long")
+
+
+def links_batch(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blocks of the sorted rows: (class ids, components, tile is the second of two, sets, cell); only one is held at a time."""
+    key, ids, component, second, keys = None, [], [], [], []
+    for batch in batches:
+        columns = [batch.column(i).to_numpy() for i in range(7)]
+        for i in range(batch.num_rows):
+            own = (columns[0][i], columns[1][i], columns[2][i], columns[3][i])
+            if own != key:
+                if len(ids) > 1:
+                    yield np.array(ids), np.array(component), np.array(second), keys, key
+                key, ids, component, second, keys = own, [], [], [], []
+            ids.append(columns[5][i])
+            component.append(columns[6][i])
+            second.append(columns[4][i] == own[3] and own[2] != own[3])
+            keys.append(np.frombuffer(batch.column(7)[i].as_py(), np.uint64))
+    if len(ids) > 1:
+        yield np.array(ids), np.array(component), np.array(second), keys, key
+
+
+def block_links(blocks: list[tuple], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links between components in the blocks, thinned to a spanning forest of them.
+
+    A block's open pairs are of different components, of sizes within the threshold (at least one in the block's
+    lower size range) and, in a block of two tiles, of different tiles.
+    """
+    ids, component = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+    second, keys = np.concatenate([b[2] for b in blocks]), [k for b in blocks for k in b[3]]
+    n = np.array([len(k) for k in keys], dtype=np.int64)
+    cell = np.concatenate([np.full(len(b[0]), b[4][1]) for b in blocks])
+    two = np.concatenate([np.full(len(b[0]), b[4][2] != b[4][3]) for b in blocks])
+    low = size_range(n, threshold) == cell
+    first = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])])
+    pairs = [open_pairs(slice(first[k], first[k + 1]), component, second, n, low, two, threshold) for k in range(len(blocks))]
+    p, q = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
+    if not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(blocks) > 1:
+        _, once = np.unique(np.column_stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]), axis=0, return_index=True)
+        p, q = p[once], q[once]
+    bounds = np.stack([np.minimum(np.bincount((k & np.uint64(BOUNDS - 1)).astype(np.int64), minlength=BOUNDS), 65535) for k in keys]).astype(np.int32)
+    stay = np.concatenate([(100 + threshold) * np.minimum(bounds[p[i : i + 4096]], bounds[q[i : i + 4096]]).sum(axis=1, dtype=np.int64) >= threshold * (n[p[i : i + 4096]] + n[q[i : i + 4096]]) for i in range(0, len(p), 4096)])
+    stay |= (bounds.max(axis=1) == 65535)[p] | (bounds.max(axis=1) == 65535)[q]  # a cell is full: no bound
+    p, q = p[stay], q[stay]
+    overlap = pair_overlaps(keys, n, p, q) if len(p) <= FEW_PAIRS or len(blocks) > 1 else block_overlaps(keys, n)[p, q]
+    link = 100 * overlap >= threshold * (n[p] + n[q] - overlap)
+    return forest(ids, component, p[link], q[link])
+
+
+def open_pairs(rows: slice, component: np.ndarray, second: np.ndarray, n: np.ndarray, low: np.ndarray, two: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    c, s, m, w = component[rows], second[rows], n[rows], low[rows]
+    open_ = np.triu(c[:, None] != c[None, :], 1)
+    open_ &= w[:, None] | w[None, :]
+    if two[rows.start]:
+        open_ &= s[:, None] != s[None, :]
+    p, q = np.nonzero(open_)
+    ok = 100 * np.minimum(m[p], m[q]) >= threshold * np.maximum(m[p], m[q])
+    return p[ok] + rows.start, q[ok] + rows.start
+
+
+def pair_overlaps(keys: list[np.ndarray], n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Overlap of each pair of sets: the members of the smaller are looked up in the other."""
+    _, code = np.unique(np.concatenate(keys), return_inverse=True)
+    code = code.reshape(-1).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    width = int(code.max()) + 1 if len(code) else 1
+    placed = code + np.repeat(np.arange(len(n)), n) * width  # ascending, as each set is sorted
+    swap = n[p] > n[q]
+    small, large = np.where(swap, q, p), np.where(swap, p, q)
+    out = np.zeros(len(p), dtype=np.int64)
+    sizes = n[small]
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < len(p):  # about a million members at a time
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + (1 << 20), "right")))
+        take, count = small[begin:end], sizes[begin:end]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        wanted = code[np.repeat(first[take], count) + inside] + np.repeat(large[begin:end], count) * width
+        spot = np.minimum(np.searchsorted(placed, wanted), len(placed) - 1)
+        hit = np.concatenate([[0], np.cumsum(placed[spot] == wanted)])
+        out[begin:end] = hit[np.cumsum(count)] - hit[np.cumsum(count) - count]
+        begin = end
+    return out
+
+
+def block_overlaps(keys: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """The product of the block's incidence with its transpose: overlap counts of all pairs of rows."""
+    rows = len(n)
+    _, code, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    code, row = code.reshape(-1), np.repeat(np.arange(rows), n)
+    out = np.zeros((rows, rows), dtype=np.float32)  # counts below 2**24 are exact
+    frequent = np.flatnonzero(times * 16 >= rows)
+    number = np.full(len(times), -1, dtype=np.int64)
+    number[frequent] = np.arange(len(frequent))
+    for at in range(0, len(frequent), 1024):
+        mine = (number[code] >= at) & (number[code] < at + 1024)
+        dense = np.zeros((rows, min(1024, len(frequent) - at)), dtype=np.float32)
+        dense[row[mine], number[code[mine]] - at] = 1
+        out += dense @ dense.T
+    rare = (number[code] < 0) & (times[code] > 1)
+    order = np.argsort(code[rare], kind="stable")
+    held, kind = row[rare][order], code[rare][order]
+    if len(held):
+        count = times[kind]  # every member of an n-gram's column meets the whole column
+        begin = np.searchsorted(kind, kind, "left")
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(held):
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 22), "right")) - 1)
+            own = count[at:end]
+            partner = held[np.repeat(begin[at:end], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+            np.add.at(out.reshape(-1), np.repeat(held[at:end], own) * rows + partner, 1)
+            at = end
+    return out.astype(np.int64)
+
+
+def forest(ids: np.ndarray, component: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links (rows p and q) those that join components not yet joined."""
+    if not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kinds, place = np.unique(component, return_inverse=True)
+    place = place.reshape(-1)
+    low, high = np.minimum(place[p], place[q]), np.maximum(place[p], place[q])
+    _, once = np.unique(low * np.int64(len(kinds)) + high, return_index=True)
+    top = list(range(len(kinds)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    kept = []
+    for k in once.tolist():
+        a, b = find(int(low[k])), find(int(high[k]))
+        if a != b:
+            top[b] = a
+            kept.append(k)
+    return ids[p[kept]], ids[q[kept]]
+
+
+def row_groups(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """doc_id, text_key, n, class_id, n_copies and least (struct of no_id, doc_id, text_key: the component's first row) of every document row; the last three are null without shingles."""
     counts = frequencies(docs, size)
     rows = written(set_rows(docs, size), "jaccard-rows")
-    classes = written(rows.filter("n > 0").groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("histogram").alias("histogram")), "jaccard-classes")
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = rows.filter("n > 0").groupBy("class_id").agg(F.min(name).alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+    classes = written(classes.select("class_id", "least", F.col("least.doc_id").alias("doc_id"), F.col("least.text_key").alias("text_key"), "n_copies", "n", "histogram"), "jaccard-classes")
     # one shuffle by token serves the distinct, the group and the join
     token_key = columns_of(docs, size, threshold, counts).repartition("token").groupBy("token", "class_id").agg(F.first("n").alias("n"))
     # n is kept on both sides, so that both read the same shuffle
@@ -291,46 +526,69 @@ def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int =
     sizes = classes.select(F.col("class_id").alias("c"), F.col("n").alias("n_b"))
     sets = Sets(docs, classes, size, threshold)
 
-    def starred(rows: DataFrame) -> DataFrame:
-        pairs = rows.filter("class_id <> centre").select(F.col("centre").alias("a"), F.col("class_id").alias("b"), F.col("n").alias("n_a")).distinct()
+    def starred(incidence: DataFrame) -> DataFrame:
+        pairs = incidence.filter("class_id <> centre").select(F.col("centre").alias("a"), F.col("class_id").alias("b"), F.col("n").alias("n_a")).distinct()
         pairs = pairs.join(sizes, pairs.a == sizes.c).filter(within_sizes(threshold)).select("a", "b")
-        return sets.links(written(bounded(pairs, classes, threshold), "jaccard-stars"))
+        near = written(bounded(pairs, classes, threshold), "jaccard-stars")
+        out = sets.links(near)
+        release(near)
+        return out
 
     def still_open(known: DataFrame) -> DataFrame:
         """The columns whose classes are of different components."""
-        placed = shared.join(known, "class_id", "left").select("token", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+        placed = shared.join(known.select("class_id", "component"), "class_id", "left").select("token", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
         tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
         return written(placed.join(tokens, "token", "left_semi"), "jaccard-open")
 
     links = starred(shared)
     known = components(links)
     placed = still_open(known)
+    done = [shared]
     for salt in range(1, ROUNDS):
         chosen = placed.groupBy("token").agg(centre(salt).alias("centre"), F.min_by("component", F.xxhash64("class_id", F.pmod("token", F.lit(ORDERS)), F.lit(salt))).alias("cc"))
-        links = written(links.union(starred(placed.join(chosen, "token").filter("component <> cc"))), "jaccard-all-links")
+        more = starred(placed.join(chosen, "token").filter("component <> cc"))
+        done += [links, more, known, placed]
+        links = written(links.union(more), "jaccard-all-links")
         known = components(links)
-        release(placed)
         placed = still_open(known)
-    other = placed.select(F.col("token").alias("t2"), F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("cb"))
-    mine = placed.select("token", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("ca"))
-    cross = mine.join(other, (F.col("token") == F.col("t2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & within_sizes(threshold)).select("a", "b").distinct()
-    possible = written(bounded(cross, classes, threshold), "jaccard-cross")
-    if not possible.isEmpty():
-        known = components(written(links.union(sets.links(possible)), "jaccard-all-links"))
-    final = known
+    columns = open_columns(placed, threshold)
+    done += [links, known, placed, columns]
+    if not columns.isEmpty():
+        sets.fetch(columns.select("class_id").distinct())
+        more = written(product(columns, sets.have(), threshold), "jaccard-product")
+        known = components(links.union(more))
+        done += [more, known]
+    named = classes.join(known.select("class_id", "component"), "class_id", "left").select("class_id", "least", "n_copies", F.coalesce("component", "class_id").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("least"))
+    answer = written(named.drop("least").join(first, "component").select("class_id", "least", "n_copies"), "jaccard-answer")
+    for table in (*done, classes):
+        release(table)
     sets.release()
-    for done in (shared, placed, possible):
-        release(done)
-    named = classes.join(final, "class_id", "left").select("class_id", "doc_id", "n_copies", F.coalesce("component", "class_id").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = named.join(least, "component").select("class_id", "component_id", "n_copies")
-    return rows.join(answer, "class_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    return rows.join(answer, "class_id", "left").select("doc_id", "text_key", "n", "class_id", "n_copies", "least")
+
+
+def similarity_components(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_copies of every document row."""
+    return row_groups(docs, size, threshold).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "class_id", F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each component (its smallest doc_id), with all columns; rows without a doc_id or shingles stay."""
-    answer = similarity_components(docs, size, threshold)
-    gone = answer.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    """One row of each component, with all columns; rows without shingles stay."""
+    groups = row_groups(docs, size, threshold).filter("n > 0").groupBy("doc_id", "text_key").agg(F.first("least").alias("least"), F.count("*").alias("times"))
+    stays = (F.col("text_key") == F.col("least.text_key")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    fate = written(groups.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__wanted"), stays.alias("stays"), "times").filter("not stays or times > 1"), "jaccard-fate")
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    keyed = plain.withColumn("__doc", doc_id).withColumn("text", text).withColumn("__key", text_key()).drop("text")
+
+    def met(names: DataFrame):
+        return keyed.join(names, (F.col("__key") == F.col("__wanted")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_anti")
+
+    out = met(fate)
+    repeated = fate.filter("stays")
+    if not repeated.isEmpty():
+        again = keyed.join(repeated, (F.col("__key") == F.col("__wanted")) & F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
+        out = out.unionByName(again.dropDuplicates(["__doc", "__key"]))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
