@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textbytes as tb
+from corpusloom.llm.shared import keep_rows
 
 SAMPLE_ROWS = 20_000
 #: Entries that one automaton holds; a larger lexicon takes several.
@@ -365,6 +366,13 @@ def train(labelled: DataFrame) -> Model:
     return Model(matcher, weights, bias, rate, words, stems)
 
 
+def scores(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The score of each text."""
+    if np.isnan(m.bias):
+        return np.full(len(offsets) - 1, m.base_rate)
+    return 1 / (1 + np.exp(-np.clip(features(m.matcher, data, offsets) @ m.weights + m.bias, -30, 30)))
+
+
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, score and predicted for every document; reads nothing but the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -376,10 +384,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
         m = shared.value
         for batch in batches:
             for row, end, data, offsets in tb.slices(batch.column(batch.schema.get_field_index("__text"))):
-                if np.isnan(m.bias):
-                    score = np.full(end - row, m.base_rate)
-                else:
-                    score = 1 / (1 + np.exp(-np.clip(features(m.matcher, data, offsets) @ m.weights + m.bias, -30, 30)))
+                score = scores(m, data, offsets)
                 head = [batch.column(batch.schema.get_field_index(c)).slice(row, end - row) for c in names]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
@@ -403,6 +408,5 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
-    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    judged = scored(wrapped, model, keep=("__row",))
-    return judged.filter(F.col("score") < threshold).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda: lambda data, offsets: scores(shared.value, data, offsets) < threshold)
