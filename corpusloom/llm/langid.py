@@ -1,21 +1,24 @@
 """Language identification by rank-order profiles.
 
-Texts are lower-cased and every letter is mapped to one of 64 classes (a-z keep their
-own; other letters share 37 classes by code point; anything else separates words). A
-text's n-grams of 1 to 3 classes, blanks around words included, are counted over the
-whole text; its PROFILE most frequent ones, in order of count and then of gram, are
-its rank-order profile. The distance to a language is the out-of-place sum: for each
-gram the difference of its ranks, or the profile's length if the language's profile
-lacks it. The nearest language wins; equal distances go to the first in sorted order.
-The score is 1 - nearest / second nearest distance (1 if only one is known and
-nearest is 0, else 1 - nearest / worst).
+Texts are lower-cased; letters make words and anything else separates them. A text's
+n-grams of 1 to 3 letters, with one blank before and after each word for those of 2 and 3,
+are counted over the whole text; its PROFILE most frequent ones, in order of count and then
+of their code points, are its rank-order profile. The distance to a language is the
+out-of-place sum: for each n-gram the difference of its ranks, or the profile's length if
+the language's profile lacks it. The nearest language wins; equal distances go to the first
+in sorted order. The score is 1 - nearest / second nearest distance (1 if only one is known
+and nearest is 0, else 1 - nearest / worst).
+
+An n-gram's key is its code points of 21 bits each, NONE after the last of a shorter one: 63
+bits, exact for every script and every plane.
 
 Bounds: a language profile is learned from at most TRAIN_ROWS texts (the smallest by a
-hash of doc_id), with all their grams; only those profiles reach the driver.
+hash of doc_id), with all their n-grams; one row a language, its count or its profile, is
+all that reaches the driver.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, as is every
 text when nothing could be learned; null lang is not learned from; repeated rows are
-judged one by one; other columns are ignored.
+judged one by one; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,52 +34,66 @@ from corpusloom.llm import textbytes as tb
 
 PROFILE = 300
 TRAIN_ROWS = 1500
-SALTS = 64
-CLASSES = 64
-GRAMS = CLASSES**3
+#: Of a language's rows so many times TRAIN_ROWS are looked at on average before the smallest hashes are taken.
+SPARE = 4
+BITS = 21
+NONE = (1 << BITS) - 1
 
+_LETTERS: list[np.ndarray] = []
 
-def class_table() -> np.ndarray:
-    """Class of each code point up to U+FFFF: 1 to 26 for a-z, 27 to 63 for other letters, 0 for the rest."""
-    table = np.zeros(1 << 16, dtype=np.uint8)
-    for code in range(1 << 16):
-        if 0xD800 <= code < 0xE000:
-            continue
-        if chr(code).isalpha():
-            table[code] = code - 96 if 97 <= code <= 122 else 27 + code % 37
-    return table
 
-
-_TABLE: list[np.ndarray] = []
+def letter_table() -> np.ndarray:
+    """Which code points of all planes are letters."""
+    if not _LETTERS:
+        _LETTERS.append(np.array([chr(code).isalpha() for code in range(0x110000)]))
+    return _LETTERS[0]
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter classes of the texts, a blank before and after each, and where each begins."""
-    if not _TABLE:
-        _TABLE.append(class_table())
+    """Code points of the lower-cased texts, 0 for what is no letter; a 0 stands before each text and after the last. And where each begins."""
     low = [" " + t.lower() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in low])])
     points = np.frombuffer(("".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = _TABLE[0][np.minimum(points, 0xFFFF)]
-    return out, offsets
-
-
-def gram_keys(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """row << 18 | gram for every n-gram; a gram may begin or end with the blank at a word's edge."""
-    n = len(classes) - 1
-    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) << np.uint64(18)
-    c = classes.astype(np.uint32)
-    a, b = c[:n], c[1 : n + 1]
-    third = np.append(c[2 : n + 1], np.uint32(0))
+    return np.where(letter_table()[points], points, np.uint32(0)), offsets
+
+
+def local_grams(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row * kinds**3 + gram of local letters) for every n-gram, the local letters in order (the first is the blank, after the last comes NONE), kinds."""
+    letters, local = np.unique(points, return_inverse=True)
+    if not len(letters) or letters[0] != 0:
+        raise ValueError("a blank stands before each text")
+    kinds = len(letters) + 1
+    none = np.uint64(kinds - 1)
+    c = local.reshape(-1).astype(np.uint64)
+    n = len(points) - 1
+    a, b = c[:n], c[1 : n + 1].copy()
+    third = np.append(c[2:], np.uint64(0))
     last = np.zeros(n, dtype=bool)
     last[offsets[1:] - 1] = True
-    b = np.where(last, 0, b)
-    third = np.where(last | np.append(last[1:], True), 0, third)
-    one = a > 0
-    two = (a > 0) | (b > 0)
-    three = b > 0
-    keys = [row[one] | a[one], row[two] | (a[two] * CLASSES + b[two] + CLASSES), row[three] | ((a[three] * CLASSES + b[three]) * CLASSES + third[three])]
-    return np.concatenate(keys)
+    b[last] = 0
+    third[last | np.append(last[1:], True)] = 0
+    k = np.uint64(kinds)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets)) * (k * k * k)
+    one, two, three = a > 0, (a > 0) | (b > 0), b > 0
+    keys = [row[one] + (a[one] * k + none) * k + none, row[two] + (a[two] * k + b[two]) * k + none, row[three] + (a[three] * k + b[three]) * k + third[three]]
+    return np.concatenate(keys), letters, kinds
+
+
+def code_of(gram: np.ndarray, letters: np.ndarray, kinds: int) -> np.ndarray:
+    """The 63-bit keys of grams of local letters, as signed integers; the order stays."""
+    points = np.append(letters.astype(np.int64), NONE)
+    gram = gram.astype(np.int64)
+    return points[gram // (kinds * kinds)] << (2 * BITS) | points[gram // kinds % kinds] << BITS | points[gram % kinds]
+
+
+def gram_text(code: int) -> str:
+    """The n-gram of a key, a blank where a word begins or ends."""
+    return "".join(chr(p) if p else " " for p in (code >> 2 * BITS, code >> BITS & NONE, code & NONE) if p != NONE)
+
+
+def gram_code(gram: str) -> int:
+    points = [0 if c == " " else ord(c) for c in gram] + [NONE] * (3 - len(gram))
+    return points[0] << 2 * BITS | points[1] << BITS | points[2]
 
 
 def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,19 +102,35 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[fresh], np.diff(np.append(fresh, len(keys)))
 
 
+def gram_counts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows from there, key, count) of the texts' n-grams, for runs of rows; in order of row and key."""
+    points, offsets = coded(texts)
+    kinds = len(np.unique(points)) + 2
+    if len(texts) > 1 and kinds**3 * len(texts) >= 1 << 63:
+        half = len(texts) // 2
+        yield from gram_counts(texts[:half])
+        for begin, row, code, count in gram_counts(texts[half:]):
+            yield begin + half, row, code, count
+        return
+    keys, letters, kinds = local_grams(points, offsets)
+    keys, counts = counted(keys)
+    cube = np.uint64(kinds**3)
+    yield 0, (keys // cube).astype(np.int64), code_of(keys % cube, letters, kinds), counts
+
+
 def ranked(texts: list[str], size: int = PROFILE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram, rank) of each text's profile, and which texts have a letter."""
-    classes, offsets = coded(texts)
-    keys, counts = counted(gram_keys(classes, offsets))
-    row = (keys >> np.uint64(18)).astype(np.int64)
-    gram = (keys & np.uint64(GRAMS - 1)).astype(np.int64)
-    order = np.lexsort([gram, -counts, row])
-    row, gram = row[order], gram[order]
-    first = np.searchsorted(row, np.arange(len(texts)))
-    rank = np.arange(len(row)) - first[row] if len(row) else row
-    keep = rank < size
-    letters = np.diff(np.append(first, len(row))) > 0
-    return row[keep], gram[keep], rank[keep], letters
+    found = []
+    letters = np.zeros(len(texts), dtype=bool)
+    for begin, row, gram, counts in gram_counts(texts):
+        order = np.argsort(row * (1 << 40) - counts, kind="stable")  # the keys are in order already
+        row, gram = row[order], gram[order]
+        first = np.searchsorted(row, row)
+        rank = np.arange(len(row)) - first
+        letters[begin + row] = True
+        keep = rank < size
+        found.append((begin + row[keep], gram[keep], rank[keep]))
+    return (*(np.concatenate([f[i] for f in found]) for i in range(3)), letters)
 
 
 def parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -112,15 +145,15 @@ def parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def learn(labelled: DataFrame, size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
-    """Language to its profile as ranks by gram (``size`` where absent), from (doc_id, text, lang) rows."""
+def learn(labelled: DataFrame, size: int = PROFILE, train_rows: int = TRAIN_ROWS) -> dict[str, list[str]]:
+    """Language to its profile, the n-grams in order of rank, from (doc_id, text, lang) rows."""
     rows = labelled.filter("lang is not null and text is not null and doc_id is not null")
     marked = rows.select("lang", F.col("doc_id").alias("__id"), F.xxhash64(F.col("doc_id").cast("string")).alias("__h"))
-    # chosen without the texts, in two rounds: a language's rows never meet in one task
-    some = Window.partitionBy("lang", F.pmod("__h", F.lit(SALTS))).orderBy("__h", "__id")
-    least = marked.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= train_rows)
+    sizes = marked.groupBy("lang").agg(F.count("*").alias("__rows"))  # one row a language, as the profiles have
+    share = F.lit(2.0**64) * SPARE * train_rows / F.col("__rows") - F.lit(2.0**63)
+    few = marked.join(F.broadcast(sizes), "lang").filter(F.col("__h").cast("double") <= share)
     nearest = Window.partitionBy("lang").orderBy("__h", "__id")
-    chosen = least.withColumn("__n", F.row_number().over(nearest)).filter(F.col("__n") <= train_rows).select(F.col("lang").alias("__lang"), "__id")
+    chosen = few.withColumn("__n", F.row_number().over(nearest)).filter(F.col("__n") <= train_rows).select(F.col("lang").alias("__lang"), "__id")
     # train_rows rows a language are few enough to broadcast
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
@@ -128,29 +161,44 @@ def learn(labelled: DataFrame, size: int = PROFILE, train_rows: int = TRAIN_ROWS
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for start, end in parts(texts):
-                classes, offsets = coded(texts[start:end])
-                keys = gram_keys(classes, offsets)
                 names = sorted(set(langs[start:end]))
-                number = np.array([names.index(x) for x in langs[start:end]], dtype=np.uint64)
-                keys = number[(keys >> np.uint64(18)).astype(np.int64)] << np.uint64(18) | (keys & np.uint64(GRAMS - 1))
-                keys, counts = counted(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[k] for k in (keys >> np.uint64(18)).tolist()], pa.string()), pa.array((keys & np.uint64(GRAMS - 1)).astype(np.int32)), pa.array(counts, pa.int64())],
-                    names=["lang", "gram", "n"])
-
-    sums = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                number = np.array([names.index(x) for x in langs[start:end]])
+                for begin, row, gram, counts in gram_counts(texts[start:end]):
+                    order = np.lexsort([gram, number[begin + row]])
+                    lang, gram, counts = number[begin + row][order], gram[order], counts[order]
+                    fresh = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+                    if len(fresh):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([names[k] for k in lang[fresh].tolist()], pa.string()), pa.array(gram[fresh], pa.int64()), pa.array(np.add.reduceat(counts, fresh), pa.int64())],
+                            names=["lang", "gram", "n"])
+
+    sums = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    out: dict[str, np.ndarray] = {}
-    for r in sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size).collect():
-        out.setdefault(r.lang, np.full(GRAMS, size, dtype=np.int16))[r.gram] = r["rank"] - 1
-    return dict(sorted(out.items()))
+    top = sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size)
+    out: dict[str, list[str]] = {}
+    for r in sorted(top.collect(), key=lambda r: (r.lang, r["rank"])):
+        out.setdefault(r.lang, []).append(gram_text(r.gram))
+    return out
+
+
+def rank_table(profiles: dict[str, list[str]], size: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the keys of all their n-grams in order, and their ranks by language and key (``size`` where absent, as in the last column, for any other key)."""
+    names = sorted(profiles)
+    codes = np.unique(np.array([gram_code(g) for name in names for g in profiles[name]], dtype=np.int64))
+    ranks = np.full((len(names), len(codes) + 1), size, dtype=np.int64)
+    for k, name in enumerate(names):
+        ranks[k, np.searchsorted(codes, np.array([gram_code(g) for g in profiles[name]], dtype=np.int64))] = np.arange(len(profiles[name]))
+    return names, codes, ranks
 
 
-def judge(texts: list[str], names: list[str], ranks: np.ndarray, size: int = PROFILE) -> tuple[list[str], np.ndarray]:
+def judge(texts: list[str], table: tuple[list[str], np.ndarray, np.ndarray], size: int = PROFILE) -> tuple[list[str], np.ndarray]:
+    names, codes, ranks = table
     row, gram, rank, letters = ranked(texts, size)
+    place = np.minimum(np.searchsorted(codes, gram), len(codes) - 1)
+    place = np.where(codes[place] == gram, place, len(codes))
     distance = np.zeros((len(names), len(texts)))
     for k in range(len(names)):
-        known = ranks[k][gram].astype(np.int64)
+        known = ranks[k][place]
         apart = np.where(known == size, size, np.abs(known - rank))
         distance[k] = np.bincount(row, weights=apart, minlength=len(texts))
     best = distance.argmin(axis=0)
@@ -163,10 +211,9 @@ def judge(texts: list[str], names: list[str], ranks: np.ndarray, size: int = PRO
     return [names[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], np.clip(score, 0, 1)
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[str]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred and score; reads nothing but the text and shuffles nothing."""
-    names = list(profiles)
-    shared = docs.sparkSession.sparkContext.broadcast(np.stack(list(profiles.values())) if names else np.zeros((0, GRAMS), np.int16))
+    shared = docs.sparkSession.sparkContext.broadcast(rank_table(profiles, PROFILE))
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     fields = [f for f in kept.schema.fields if f.name != "__text"]
     heads = [f.name for f in fields]
@@ -176,8 +223,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: tuple[str,
             texts = batch.column(batch.schema.get_field_index("__text")).fill_null("")
             for row, end, _, _ in tb.slices(texts, 1 << 20):
                 own = texts.slice(row, end - row).to_pylist()
-                if names:
-                    langs, score = judge(own, names, shared.value)
+                if shared.value[0]:
+                    langs, score = judge(own, shared.value)
                 else:
                     langs, score = ["und"] * len(own), np.zeros(len(own))
                 head = [batch.column(batch.schema.get_field_index(c)).slice(row, end - row) for c in heads]
