@@ -8,13 +8,15 @@ them). The product is taken block by block:
 1. Columns of one class are dropped. Each other column links its classes with one of
    them, its centre, if their sizes, a histogram of their sets (the sum over its cells of
    the smaller count is never under the overlap) and at last their whole sets allow it.
-   ROUNDS rounds with other centres give components, and pairs within a component need no
-   further look, so copies and near copies are not expanded.
+   Links give components, and pairs within a component need no further look, so copies and
+   near copies are not expanded.
 2. Columns whose classes are still of different components are split by set size, so that
    a column holds classes of two neighbouring sizes only: other pairs are below the bound
    that the sizes give. A column is dropped where another holds all its classes.
 3. A column of more than TILE cells is split into tiles of classes, and each pair of tiles
-   is a block of the product, dealt to a task with the whole sets of its classes. The task
+   is a block, dealt to a task. First with the histograms of its classes: those without any
+   open pair that these allow leave the column. Then as a block of the product, with the
+   whole sets of the classes that are left. The task
    accumulates the overlap counts of the block (a dense product for its frequent n-grams, a
    sum over the pairs of an n-gram for the others, or the counts of the pairs alone where
    few are open), discards what is below the threshold, and emits a spanning forest of the
@@ -37,6 +39,7 @@ of the text, of repeated rows any; rows without shingles all stay, with all colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +55,13 @@ THRESHOLD = 80
 CELLS = 1 << 18
 CHUNK = 1 << 12
 SALTS = 32
-#: Random orders that centres are taken from in a round, and rounds before the open columns are multiplied.
+#: Random orders that centres are taken from.
 ORDERS = 8
-ROUNDS = 2
 #: Cells of a tile; a class counts as ROW_CELLS at least, so a tile has at most TILE / ROW_CELLS classes or so.
 TILE = 1 << 20
 ROW_CELLS = 512
 #: Open pairs of a block above which its whole product is made.
 FEW_PAIRS = 20_000
-#: Cells of the histograms that bound the overlaps within a block.
-BOUNDS = 128
 
 MEMBER = np.ones(256, dtype=bool)
 MEMBER[[32, 9, 10, 11, 12, 13]] = False
@@ -285,7 +285,7 @@ class Sets:
             release(part)
 
 
-def centre(salt: int):
+def centre(salt: int = 0) -> Column:
     """One class of a column, chosen by one of ORDERS random orders: copies that share their columns get few centres, spread over the group."""
     return F.min_by("class_id", F.xxhash64("class_id", F.pmod("token", F.lit(ORDERS)), F.lit(salt)))
 
@@ -324,112 +324,168 @@ def size_range_column(threshold: int, column: str = "n") -> Column:
 
 
 def open_columns(placed: DataFrame, threshold: int) -> DataFrame:
-    """(token, cell, class_id, n, component): a column for each token and pair of neighbouring size ranges that holds
-    classes of different components, without the columns whose classes another column holds too."""
+    """(token, cell, class_id, n, component): a column for each token and pair of neighbouring size ranges that holds classes of different components."""
     ranged = placed.withColumn("range", size_range_column(threshold))
     cells = ranged.withColumn("cell", F.explode(F.array(F.col("range") - 1, F.col("range"))))
     held = cells.groupBy("token", "cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("range").alias("low")).filter("x <> y and low = cell").select(F.col("token").alias("t"), F.col("cell").alias("c"))
-    live = cells.join(held, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).select("token", "cell", "class_id", "n", "component")
+    return cells.join(held, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).select("token", "cell", "class_id", "n", "component")
+
+
+def pruned(columns: DataFrame) -> DataFrame:
+    """The columns without those whose classes another column holds too, and ``tiles``, the number of tiles that each is split into.
+
+    A column is within another if all its classes have the same column just before it, or first of all.
+    """
     own = Window.partitionBy("class_id", "cell").orderBy("token")
-    ranked = written(live.withColumn("before", F.lag("token").over(own)).withColumn("first", F.first("token").over(own)), "jaccard-live")
-    # a column is within another if all its classes have the same column just before it, or first of all
-    kept = (ranked.groupBy("token", "cell").agg(F.min("before").alias("b1"), F.max("before").alias("b2"), F.count("before").alias("nb"), F.count("*").alias("k"), F.min("first").alias("f1"), F.max("first").alias("f2"), F.sum(F.greatest("n", F.lit(ROW_CELLS))).alias("cells"))
-            .filter("not (nb = k and b1 = b2) and not (f1 = f2 and f1 <> token)").select(F.col("token").alias("t"), F.col("cell").alias("c"), F.ceil(F.col("cells") / TILE).cast("int").alias("tiles")))
-    out = written(ranked.join(kept, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).select("token", "cell", "class_id", "n", "component", "tiles"), "jaccard-open-columns")
+    ranked = written(columns.withColumn("before", F.lag("token").over(own)).withColumn("first", F.first("token").over(own)), "jaccard-ranked")
+    sums = ranked.groupBy("token", "cell").agg(F.min("before").alias("b1"), F.max("before").alias("b2"), F.count("before").alias("nb"), F.count("*").alias("k"), F.min("first").alias("f1"), F.max("first").alias("f2"), F.sum(F.greatest("n", F.lit(ROW_CELLS))).alias("cells"))
+    kept = sums.filter("k > 1 and not (nb = k and b1 = b2) and not (f1 = f2 and f1 <> token)").select(F.col("token").alias("t"), F.col("cell").alias("c"), F.ceil(F.col("cells") / TILE).cast("int").alias("tiles"))
+    out = written(ranked.join(kept, (F.col("token") == F.col("t")) & (F.col("cell") == F.col("c"))).select("token", "cell", "class_id", "n", "component", "tiles"), "jaccard-columns")
     release(ranked)
     return out
 
 
-def product(columns: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of a spanning forest of the links between components in each block; see block_links."""
+def dealt(columns: DataFrame, held: DataFrame, value: str) -> DataFrame:
+    """Rows (token, cell, lo, hi, own, id, component, n, value) of every pair of tiles lo <= hi of a column, dealt to tasks and sorted; ``held`` has the value by class_id."""
     parts = shuffle_partitions(columns.sparkSession)
     own = F.pmod(F.xxhash64("class_id", "token"), F.col("tiles")).cast("int")
-    dealt = columns.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    blocks = dealt.select("token", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("class_id").alias("id"), "component")
-    rows = blocks.join(sets, F.col("id") == F.col("class_id")).select("token", "cell", "lo", "hi", "own", "id", "component", "keys")
-    rows = rows.repartition(parts, "token", "cell", "lo", "hi").sortWithinPartitions("token", "cell", "lo", "hi")
+    rows = columns.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    blocks = rows.select("token", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("class_id").alias("id"), "component", "n")
+    return blocks.join(held.select("class_id", value), F.col("id") == F.col("class_id")).select("token", "cell", "lo", "hi", "own", "id", "component", "n", value).repartition(parts, "token", "cell", "lo", "hi").sortWithinPartitions("token", "cell", "lo", "hi")
+
+
+def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The rows of the columns whose class has, in its column, an open pair that the histograms do not exclude."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in grouped(batches):
+            p, q = open_pairs(block, threshold)
+            if not len(p):
+                continue
+            held = [np.frombuffer(v, "<u4" if n > 65535 else "<u2") for v, n in zip(block.values, block.n.tolist(), strict=True)]
+            cells = min(map(len, held))
+            table = np.stack([h.reshape(-1, cells).sum(axis=0, dtype=np.int64) for h in held])
+            stay = np.zeros(len(block.ids), dtype=bool)
+            step = max(1, (1 << 21) // cells)
+            for i in range(0, len(p), step):
+                a, b = p[i : i + step], q[i : i + step]
+                ok = (100 + threshold) * np.minimum(table[a], table[b]).sum(axis=1) >= threshold * (block.n[a] + block.n[b])
+                stay[a[ok]] = True
+                stay[b[ok]] = True
+            own = np.flatnonzero(stay)
+            if len(own):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), block.key[0])), pa.array(np.full(len(own), block.key[1], dtype=np.int32)), pa.array(block.ids[own]), pa.array(block.n[own]), pa.array(block.component[own])],
+                    names=["token", "cell", "class_id", "n", "component"])
+
+    found = dealt(columns, classes, "histogram").mapInArrow(screen, "token long, cell int, class_id long, n long, component long")
+    return found.distinct()
+
+
+def product(columns: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of a spanning forest of the links between components in each block; see block_links."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many: list[list[np.ndarray]] = []  # whole small blocks, taken together
+        many: list[Block] = []  # whole small blocks, taken together
         size = 0
         for block in grouped(batches):
-            if len(block[0]) > 64:
+            block.values = [np.frombuffer(v, np.uint64) for v in block.values]
+            if len(block.ids) > 64:
                 yield links_batch(block_links([block], threshold))
                 continue
             many.append(block)
-            size += sum(len(k) for k in block[3])
+            size += int(block.n.sum())
             if size > TILE // 2:
                 yield links_batch(block_links(many, threshold))
                 many, size = [], 0
         if many:
             yield links_batch(block_links(many, threshold))
 
-    return rows.mapInArrow(multiply, "a long, b long")
+    return dealt(columns, sets, "keys").mapInArrow(multiply, "a long, b long")
 
 
-def links_batch(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
+@dataclass
+class Block:
+    """Rows of one pair of tiles: class ids, components, set sizes, whether a row is of the second of two tiles, and a value each; key is (token, cell, lo, hi)."""
 
+    key: tuple
+    ids: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    second: np.ndarray
+    values: list
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Blocks of the sorted rows: (class ids, components, tile is the second of two, sets, cell); only one is held at a time."""
-    key, ids, component, second, keys = None, [], [], [], []
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The blocks of the rows that dealt() gives, of two rows or more; one is held at a time."""
+    parts: list[pa.RecordBatch] = []
+    key = None
     for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(7)]
-        for i in range(batch.num_rows):
-            own = (columns[0][i], columns[1][i], columns[2][i], columns[3][i])
+        table = [batch.column(i).to_numpy() for i in range(4)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in table], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+        bounds = np.concatenate([[0], edge, [batch.num_rows]])
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if low == high:
+                continue
+            own = tuple(int(c[low]) for c in table)
             if own != key:
-                if len(ids) > 1:
-                    yield np.array(ids), np.array(component), np.array(second), keys, key
-                key, ids, component, second, keys = own, [], [], [], []
-            ids.append(columns[5][i])
-            component.append(columns[6][i])
-            second.append(columns[4][i] == own[3] and own[2] != own[3])
-            keys.append(np.frombuffer(batch.column(7)[i].as_py(), np.uint64))
-    if len(ids) > 1:
-        yield np.array(ids), np.array(component), np.array(second), keys, key
-
-
-def block_links(blocks: list[tuple], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links between components in the blocks, thinned to a spanning forest of them.
-
-    A block's open pairs are of different components, of sizes within the threshold (at least one in the block's
-    lower size range) and, in a block of two tiles, of different tiles.
-    """
-    ids, component = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-    second, keys = np.concatenate([b[2] for b in blocks]), [k for b in blocks for k in b[3]]
-    n = np.array([len(k) for k in keys], dtype=np.int64)
-    cell = np.concatenate([np.full(len(b[0]), b[4][1]) for b in blocks])
-    two = np.concatenate([np.full(len(b[0]), b[4][2] != b[4][3]) for b in blocks])
-    low = size_range(n, threshold) == cell
-    first = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])])
-    pairs = [open_pairs(slice(first[k], first[k + 1]), component, second, n, low, two, threshold) for k in range(len(blocks))]
+                if sum(p.num_rows for p in parts) > 1:
+                    yield block_of(key, parts)
+                key, parts = own, []
+            parts.append(batch.slice(low, high - low))
+    if sum(p.num_rows for p in parts) > 1:
+        yield block_of(key, parts)
+
+
+def block_of(key: tuple, parts: list[pa.RecordBatch]) -> Block:
+    own, ids, component, n = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (4, 5, 6, 7))
+    return Block(key, ids, component, n, (own == key[3]) & (key[2] != key[3]), [v for p in parts for v in p.column(8).to_pylist()])
+
+
+def links_batch(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
+
+
+def open_pairs(block: Block, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of different components, of sizes within the threshold, at least one in the block's lower size range and, in a block of two tiles, of different tiles."""
+    low = size_range(block.n, threshold) == block.key[1]
+    rows = np.argsort(block.n, kind="stable")
+    size = block.n[rows]
+    # of a row's later partners only those near in size are looked at
+    last = np.searchsorted(size, 100 * size // threshold, "right")
+    count = np.maximum(0, last - np.arange(len(rows)) - 1)
+    p = np.repeat(np.arange(len(rows)), count)
+    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+    p, q = rows[p], rows[q]
+    ok = (block.component[p] != block.component[q]) & (low[p] | low[q])
+    if block.key[2] != block.key[3]:
+        ok &= block.second[p] != block.second[q]
+    return p[ok], q[ok]
+
+
+def block_links(blocks: list[Block], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links between components in the blocks, thinned to a spanning forest of them."""
+    ids, component, n = (np.concatenate([getattr(b, k) for b in blocks]) for k in ("ids", "component", "n"))
+    keys = [k for b in blocks for k in b.values]
+    pairs, first = [], 0
+    for b in blocks:
+        p, q = open_pairs(b, threshold)
+        pairs.append((p + first, q + first))
+        first += len(b.ids)
     p, q = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
     if not len(p):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(blocks) > 1:
         _, once = np.unique(np.column_stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]), axis=0, return_index=True)
         p, q = p[once], q[once]
-    bounds = np.stack([np.minimum(np.bincount((k & np.uint64(BOUNDS - 1)).astype(np.int64), minlength=BOUNDS), 65535) for k in keys]).astype(np.int32)
-    stay = np.concatenate([(100 + threshold) * np.minimum(bounds[p[i : i + 4096]], bounds[q[i : i + 4096]]).sum(axis=1, dtype=np.int64) >= threshold * (n[p[i : i + 4096]] + n[q[i : i + 4096]]) for i in range(0, len(p), 4096)])
-    stay |= (bounds.max(axis=1) == 65535)[p] | (bounds.max(axis=1) == 65535)[q]  # a cell is full: no bound
-    p, q = p[stay], q[stay]
-    overlap = pair_overlaps(keys, n, p, q) if len(p) <= FEW_PAIRS or len(blocks) > 1 else block_overlaps(keys, n)[p, q]
+    if len(p) <= FEW_PAIRS or len(blocks) > 1:
+        overlap = pair_overlaps(keys, n, p, q)
+    else:
+        overlap = block_overlaps(keys, n)[p, q].astype(np.int64)
     link = 100 * overlap >= threshold * (n[p] + n[q] - overlap)
     return forest(ids, component, p[link], q[link])
 
 
-def open_pairs(rows: slice, component: np.ndarray, second: np.ndarray, n: np.ndarray, low: np.ndarray, two: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    c, s, m, w = component[rows], second[rows], n[rows], low[rows]
-    open_ = np.triu(c[:, None] != c[None, :], 1)
-    open_ &= w[:, None] | w[None, :]
-    if two[rows.start]:
-        open_ &= s[:, None] != s[None, :]
-    p, q = np.nonzero(open_)
-    ok = 100 * np.minimum(m[p], m[q]) >= threshold * np.maximum(m[p], m[q])
-    return p[ok] + rows.start, q[ok] + rows.start
-
-
 def pair_overlaps(keys: list[np.ndarray], n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Overlap of each pair of sets: the members of the smaller are looked up in the other."""
     _, code = np.unique(np.concatenate(keys), return_inverse=True)
@@ -483,7 +539,7 @@ def block_overlaps(keys: list[np.ndarray], n: np.ndarray) -> np.ndarray:
             partner = held[np.repeat(begin[at:end], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
             np.add.at(out.reshape(-1), np.repeat(held[at:end], own) * rows + partner, 1)
             at = end
-    return out.astype(np.int64)
+    return out
 
 
 def forest(ids: np.ndarray, component: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -521,7 +577,7 @@ def row_groups(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     # one shuffle by token serves the distinct, the group and the join
     token_key = columns_of(docs, size, threshold, counts).repartition("token").groupBy("token", "class_id").agg(F.first("n").alias("n"))
     # n is kept on both sides, so that both read the same shuffle
-    held = token_key.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("n").alias("most"), centre(0).alias("centre")).filter("low <> high and most > 0").select(F.col("token").alias("t"), "centre")
+    held = token_key.groupBy("token").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("n").alias("most"), centre().alias("centre")).filter("low <> high and most > 0").select(F.col("token").alias("t"), "centre")
     shared = written(token_key.join(held, F.col("token") == F.col("t")).select("token", "class_id", "n", "centre"), "jaccard-columns")
     sizes = classes.select(F.col("class_id").alias("c"), F.col("n").alias("n_b"))
     sets = Sets(docs, classes, size, threshold)
@@ -543,21 +599,15 @@ def row_groups(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     links = starred(shared)
     known = components(links)
     placed = still_open(known)
-    done = [shared]
-    for salt in range(1, ROUNDS):
-        chosen = placed.groupBy("token").agg(centre(salt).alias("centre"), F.min_by("component", F.xxhash64("class_id", F.pmod("token", F.lit(ORDERS)), F.lit(salt))).alias("cc"))
-        more = starred(placed.join(chosen, "token").filter("component <> cc"))
-        done += [links, more, known, placed]
-        links = written(links.union(more), "jaccard-all-links")
-        known = components(links)
-        placed = still_open(known)
-    columns = open_columns(placed, threshold)
-    done += [links, known, placed, columns]
+    done = [shared, links, known, placed]
+    columns = pruned(open_columns(placed, threshold))
+    done.append(columns)
     if not columns.isEmpty():
-        sets.fetch(columns.select("class_id").distinct())
-        more = written(product(columns, sets.have(), threshold), "jaccard-product")
+        left = pruned(screened(columns, classes, threshold))
+        sets.fetch(left.select("class_id").distinct())
+        more = written(product(left, sets.have(), threshold), "jaccard-product")
         known = components(links.union(more))
-        done += [more, known]
+        done += [left, more, known]
     named = classes.join(known.select("class_id", "component"), "class_id", "left").select("class_id", "least", "n_copies", F.coalesce("component", "class_id").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("least"))
     answer = written(named.drop("least").join(first, "component").select("class_id", "least", "n_copies"), "jaccard-answer")
