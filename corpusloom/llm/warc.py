@@ -6,8 +6,8 @@ that refer to it and carry no payload. Spark's text writer puts the records into
 files, with the blank lines that end a record as its separator, so any store Spark can
 write to holds them. Offsets are those of the uncompressed bytes.
 
-Reading. A file, of at most RECORDS_PER_FILE records as written here, is one row of
-Spark's binary reader. Every place where the magic stands is a candidate record, and its header says where its successor begins; magic inside a
+Reading. A file, of about FILE_BYTES at most as written here, is one row of Spark's binary
+reader (which takes files up to 2 GB). Every place where the magic stands is a candidate record, and its header says where its successor begins; magic inside a
 payload gives candidates too. Tasks emit (place, successor); then, for each block of
 BLOCK bytes of a file, chains inside the block are contracted by pointer jumping: a
 candidate points to the first place of its chain beyond the block. Blocks of a file then meet by their
@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import remove, shared_path, written
+from corpusloom.llm.shared import release, remove, shared_path, written
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 5000
+#: Bytes of a written file, about; a record is never cut, so a larger one is a file of its own.
+FILE_BYTES = 64 << 20
+SMALL = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -81,7 +83,11 @@ def with_digests(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
-    """Writes the rows as WARC files below ``path``, each compressed as a whole (``none``: plain)."""
+    """Writes the rows as WARC files of about FILE_BYTES at most below ``path``, each compressed as a whole (``none``: plain).
+
+    Spark's writer rotates by records, so payloads are written by size class (powers of 4 above SMALL), each with its
+    own number of records a file.
+    """
     marked = with_digests(pages)
     groups = (marked.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("__keeper"), F.count("*").alias("__n"))
               .filter("__n > 1 and __keeper is not null").select(F.col("digest").alias("__digest"), "__keeper"))
@@ -94,7 +100,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression:
                 out.append(record(page_id, url, html, own, keeper if keeper is not None and keeper != page_id else None))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    joined.mapInArrow(render, "value string").write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
+    size = F.greatest(F.ceil(F.log(4.0, F.octet_length("html") / SMALL)), F.lit(0)).cast("int")
+    rows = joined.withColumn("__class", F.when(F.octet_length("html") <= SMALL, 0).otherwise(size))
+    sizes = pages.select(F.when(F.octet_length("html") <= SMALL, 0).otherwise(F.coalesce(size, F.lit(0))).alias("c")).distinct().collect()
+    for k in sorted(r.c for r in sizes) or [0]:
+        own = rows.filter(F.col("__class") == k) if len(sizes) > 1 else rows
+        records = max(1, FILE_BYTES // (SMALL * 4**k))
+        own.drop("__class").mapInArrow(render, "value string").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
@@ -196,15 +208,21 @@ def reachable(found: DataFrame) -> DataFrame:
     known = written(reached, "warc-reached")
     have = known.count()
     while True:
+        before = known
         further = known.join(jumps, (known.path == jumps.path) & (known.place == jumps["from"])).select(known.path, F.col("to").alias("place"))
         grown = written(known.union(further).distinct(), "warc-reached")
         now = grown.count()
+        release(before)
         known = grown
         if now == have:
             break
         have = now
+        earlier = jumps
         other = jumps.select(F.col("path").alias("p2"), F.col("from").alias("f2"), F.col("to").alias("t2"))
         jumps = written(jumps.join(other, (jumps.path == F.col("p2")) & (jumps["to"] == F.col("f2")), "left").select("path", "from", F.coalesce("t2", "to").alias("to")), "warc-jumps")
+        if hasattr(earlier, "written_path"):
+            release(earlier)
+    release(exits)
     return known
 
 
@@ -238,6 +256,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    out = written(read_archives(spark, path).drop("path", "place", "successor"), "warc-read")
+    found = read_archives(spark, path)
+    out = written(found.drop("path", "place", "successor"), "warc-read")
     remove(spark, path)
     return out
