@@ -17,7 +17,7 @@ import numpy as np
 from corpusloom.llm import textbytes as tb
 
 #: Units held by a worker before the memo starts anew.
-MEMO_UNITS = 1_500_000
+MEMO_UNITS = 400_000
 #: ASCII white space other than blank and newline, and the bytes that begin any wider one.
 ODD = np.zeros(256, dtype=bool)
 ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
@@ -27,7 +27,8 @@ WIDE = ("\u0085", " ", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", "
 class UnitTokenizer:
     """Encodes slices of texts; keeps a sorted array of unit hashes beside their ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, other_encoder: bool = False) -> None:
+        """``other_encoder``: units by the quicker encoder of the same vocabulary, if its file stands beside; ids are equal."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,7 +38,7 @@ class UnitTokenizer:
         plain = spec.get("normalizer") is None and spec.get("post_processor") is None
         stage = spec.get("pre_tokenizer") or {}
         self.by_unit = plain and stage.get("type") == "ByteLevel" and not stage.get("add_prefix_space") and stage.get("use_regex", True)
-        self.fast = self._ranks(path) if self.by_unit else None
+        self.fast = self._ranks(path) if self.by_unit and other_encoder else None
         self.clear()
 
     def _ranks(self, path: str):
