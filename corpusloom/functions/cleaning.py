@@ -7,31 +7,41 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Headings at which a paper's body ends, and abbreviations with their full forms (longest first).
-STOP_HEADINGS = ("references", "bibliography", "acknowledgments", "acknowledgements", "appendix")
-ABBREVIATIONS = (("LSTM", "Long Short-Term Memory"), ("BERT", "Bidirectional Encoder Representations from Transformers"), ("CNN", "Convolutional Neural Network"), ("RNN", "Recurrent Neural Network"), ("NLP", "Natural Language Processing"))
+# Headings at which a paper's body ends, headings of sections, and short forms with their full forms.
+STOP_HEADINGS = ("references", "bibliography", "acknowledgment", "acknowledgements", "appendix", "supplementary material", "author contributions", "ethics statement", "data availability", "conflict of interest", "funding")
+SECTION_HEADINGS = ("Abstract", "Introduction", "Background", "Related Work", "Preliminaries", "Methodology", "Methods", "Approach", "Model Architecture", "Model", "Architecture", "Implementation", "Training", "Datasets",
+                    "Benchmarks", "Experimental Setup", "Setup", "Experiments", "Results", "Evaluation", "Analysis", "Ablation", "Discussion", "Limitations", "Future Work", "Conclusion", "Contributions", "Key Findings",
+                    "Findings", "Proposed Method")
+ENTITIES = (("llms", "Large Language Models"), ("llm", "Large Language Model"), ("kg", "Knowledge Graph"), ("kgs", "Knowledge Graphs"), ("nlp", "Natural Language Processing"), ("gnn", "Graph Neural Network"),
+            ("transformer", "Transformer Architecture"), ("cnn", "Convolutional Neural Network"), ("rnn", "Recurrent Neural Network"))
 MATH = r"[=+*/^<>\\∑∫√≤≥±×]"
 
 
+# What is taken out of a paper's text, in order.
+CLEAN = ((r"\x00", ""), (r"\r\n?", "\n"), (r"(?U)(\w)-\n(\w)", "$1$2"), (r"\[(?:\s*\d+\s*(?:[-–]\s*\d+\s*)?)(?:\s*,\s*\d+\s*(?:[-–]\s*\d+\s*)?)*\]", ""), (r"\(\s*\d{4}\s*\)", ""), (r"[•▪■►◆▶●◦]", ""),
+         (r"-{3,}|={3,}|_{3,}|\*{3,}", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
+
+
 def chain(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
 
 
 def clean_text(c: Column) -> Column:
-    """NULs, line ends, hyphen joins, citations, bullets, rules and runs of space. Apply the nfkc function first where forms matter."""
-    return F.trim(chain(c, ((r"\x00", ""), (r"\r\n?", "\n"), (r"(\w)-\n(\w)", "$1$2"), (r"\[\d+(?:\s*[,;-]\s*\d+)*\]", ""), (r"(?m)^\s*[•▪◦*]\s+", ""), (r"(?m)^[-=_]{4,}$", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"))))
+    """NULs, line ends, hyphen joins, numbered citations, years alone in brackets, bullets, rules and runs of space. Apply the nfkc function first where forms matter."""
+    return F.regexp_replace(chain(c, CLEAN), r"^\s+|\s+$", "")
 
 
 def body_lines(c: Column) -> Column:
-    """Text before the first line that is a stop heading."""
+    """Text before the first line of under 60 characters that is a stop heading, numbered or not."""
     lines = F.split(c, "\n")
-    heads = F.transform(lines, lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^[0-9. ]+|[:.]$", "").isin(*STOP_HEADINGS))
+    heads = F.transform(lines, lambda x: (F.length(F.trim(x)) < 60) & F.trim(x).rlike(r"(?i)^(\d+\.?\s*)?(" + "|".join(STOP_HEADINGS) + ")$"))
     first = F.array_position(heads, True).cast("int")
     return F.array_join(F.when(first > 0, F.slice(lines, 1, F.greatest(first - 1, F.lit(0)))).otherwise(lines), "\n")
 
 
 def expand_abbreviations(c: Column) -> Column:
-    return reduce(lambda x, p: F.regexp_replace(x, rf"\b{p[0]}\b", p[1]), ABBREVIATIONS, c)
+    """Short forms written out, whatever their case, one after the other, the longest first."""
+    return reduce(lambda x, p: F.regexp_replace(x, rf"(?i)\b{p[0]}\b", p[1]), sorted(ENTITIES, key=lambda p: -len(p[0])), c)
 
 
 def distinct_lines(c: Column) -> Column:

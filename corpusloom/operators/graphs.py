@@ -10,7 +10,9 @@ from corpusloom.functions import text
 FULL_ABBR = r"^(.+?)\s*\(([A-Z][A-Z0-9\-]{1,12})\)\s*$"
 ABBR_FULL = r"^([A-Z][A-Z0-9\-]{1,12})\s*\((.+?)\)\s*$"
 # Words that seed no lookup.
-SEED_STOP = ("what", "which", "where", "when", "that", "this", "with", "from", "have", "does", "about", "between", "into", "their", "there", "these", "those", "they")
+SEED_STOP = ("what", "which", "where", "when", "how", "why", "who", "does", "did", "the", "and", "but", "for", "are", "was", "were", "with", "that", "this", "from", "have", "has", "been", "its", "they", "their",
+             "about", "into", "over", "more", "some", "than", "then", "each", "both", "also", "can", "could", "would", "should", "not", "any", "all", "other", "used", "use", "using", "give", "tell", "explain",
+             "describe", "list", "show", "find", "get", "make", "take")
 
 
 def keep_node(name: Column) -> Column:

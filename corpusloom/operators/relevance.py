@@ -13,7 +13,7 @@ from corpusloom.operators.bibliometrics import has_any
 # Venue hints, generic phrases, words that are no evidence.
 VENUES = ("cs.cl", "cs.lg", "cs.cv", "machine learning", "neurips", "iclr", "icml")
 GENERIC = ("deep learning", "neural network", "artificial intelligence")
-STOP = ("a", "an", "the", "of", "in", "on", "for", "and", "or", "with", "to", "by", "via", "using")
+STOP = ("a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "with", "by", "is", "are", "was", "be", "via", "from", "using", "based", "towards", "over")
 
 
 def count_of(flags: list[Column]) -> Column:

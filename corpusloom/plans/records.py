@@ -46,10 +46,10 @@ def title_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each title against the benchmark's first item."""
+    """Each title against the next document's, by doc_id."""
     docs = works_docs(spark, sf_dir).select("id", text.title_tokens("title").alias("a"))
-    item = load(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("t")).select(text.title_tokens("t").alias("b"))
-    return docs.crossJoin(F.broadcast(item)).select("id", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))  # one row
+    other = docs.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
+    return docs.join(other, "id").select("id", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
 def anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,17 +66,16 @@ def publication_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions in the forms that the rules know, made of conversation turns."""
+    """Questions in the forms that the rules know, each with a whole user turn."""
     turns = load(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("turn"))
-    words = F.array_join(F.slice(F.split("turn", " "), 1, 3), " ")
     forms = F.array(*[F.lit(x) for x in FORMS])
-    return turns.select("query_id", F.concat(F.element_at(forms, (F.col("query_id") % len(FORMS) + 1).cast("int")), F.lit(" "), words).alias("query"))
+    return turns.select("query_id", F.concat(F.element_at(forms, (F.col("query_id") % len(FORMS) + 1).cast("int")), F.lit(" "), F.regexp_replace(F.trim("turn"), r"\s+", " ")).alias("query"))
 
 
 FORMS = ("latest survey of transformers", "seminal graph papers on", "code and dataset for", "compare table 2 and 3", "show all figures", "explain equation 4", "what is", "proof of convergence bound",
          "quantum circuit", "how do these relate to", "statistics and data values", "plot the chart", "federated privacy deployment", '"quoted phrase"')
 QUERY_SQL = f"""qs AS (SELECT conv_id * 100 + turn AS query_id, concat([{', '.join("'" + x + "'" for x in FORMS)}][CAST((conv_id * 100 + turn) % {len(FORMS)} + 1 AS INT)], ' ',
-  array_to_string(string_split(text, ' ')[1:3], ' ')) AS query FROM conversations WHERE role = 'user')"""
+  regexp_replace(trim(text, ' '), '\\s+', ' ', 'g')) AS query FROM conversations WHERE role = 'user')"""
 
 
 def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +101,9 @@ def stage1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter("norm <> '' and rank <= cap").select("query_id", "rank", "variant")
 
 
-STOP = ("the", "and", "for", "with", "this", "that", "from", "des", "les", "und", "der", "die")
+# Words that feedback from a first search leaves out.
+STOP = ("this", "that", "with", "from", "which", "these", "paper", "propose", "method", "model", "we", "the", "and", "for", "are", "have", "been", "can", "our", "results", "based", "using", "also", "show", "used", "two", "one",
+        "new", "such", "than", "more", "their", "they", "will", "both", "were", "well", "some")
 
 
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +113,10 @@ def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms in two or more of the first 15 titles, best eight, without those asked already, at most five."""
+    """Terms in two or more of the first 15 titles (the search's own first records), best eight, without those that the benchmark asks already, at most five."""
     first = works_docs(spark, sf_dir).orderBy("id").limit(15).select("id", F.explode(F.array_distinct(text.tokens_long("title"))).alias("term"))
     best = first.groupBy("term").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "term").limit(8)
-    known = load(spark, sf_dir, "benchmark").orderBy("item_id").limit(3).select(F.explode(text.tokens_long("text")).alias("term")).distinct()
+    known = load(spark, sf_dir, "benchmark").select(F.explode(text.tokens_long("text")).alias("term")).distinct()
     return best.join(known, "term", "left_anti").orderBy(F.desc("n"), "term").limit(5)
 
 
@@ -165,10 +166,14 @@ def dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landmark_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark openings that no document title holds: a contains anti-join against a counted, small side."""
-    items = load(spark, sf_dir, "benchmark").select("item_id", text.title_spaced(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("phrase"))
-    titles = works_docs(spark, sf_dir).select(text.title_spaced("title").alias("t")).distinct()
-    held = titles.join(F.broadcast(items) if items.count() <= 10_000 else items, F.contains("t", "phrase")).select("item_id").distinct()
+    """Benchmark items whose text no document title holds as its own words: an item's n words are looked up among the runs of n words of the titles.
+
+    Only titles that hold an item's first words in a row are compared, so neither side is a nested loop.
+    """
+    items = load(spark, sf_dir, "benchmark").select("item_id", text.title_spaced("text").alias("phrase")).withColumn("lead", F.array_join(F.slice(F.split("phrase", " "), 1, 2), " "))
+    words = works_docs(spark, sf_dir).select(text.title_spaced("title").alias("t")).distinct().withColumn("w", F.split("t", " "))
+    leads = words.select("t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, 2), " ")))).alias("lead"))
+    held = leads.join(items, "lead").filter(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))).select("item_id").distinct()
     return items.join(held, "item_id", "left_anti").select("item_id", "phrase")
 
 
@@ -204,8 +209,8 @@ ORACLES = {
     "arxiv_extract": f"""WITH {IDS_SQL} SELECT id, regexp_replace(lower(regexp_extract(replace(link, ' ', ''), '(?i)(?:arxiv\\.org/(?:abs|pdf)/|arXiv:)\\s*([0-9]{{4}}\\.[0-9]{{4,5}}(?:v\\d+)?)', 1)), 'v\\d+$', '') AS arxiv_id,
         trim(string_split(list_last(string_split(trim(work), '/')), '?')[1]) AS openalex_id FROM ids""",
     "title_norms": f"WITH {DOCS_SQL} SELECT id, {SPACED.format(c='title')} AS spaced, trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g')) AS deleted FROM docs",
-    "title_jaccard": f"""WITH {DOCS_SQL}, x AS (SELECT id, {TOK.format(c='title')} AS a FROM docs), y AS (SELECT {TOK.format(c='text')} AS b FROM benchmark ORDER BY item_id LIMIT 1)
-        SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM x, y""",
+    "title_jaccard": f"""WITH {DOCS_SQL}, x AS (SELECT id, {TOK.format(c='title')} AS a FROM docs), y AS (SELECT id - 1 AS id, a AS b FROM x)
+        SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM x JOIN y USING (id)""",
     "anchor_strength": f"""WITH {DOCS_SQL}, x AS (SELECT id, {SPACED.format(c='title')} AS t FROM docs), y AS (SELECT *, array_to_string(string_split(t, ' ')[1:4], ' ') AS p, array_to_string(string_split(t, ' ')[2:5], ' ') AS i FROM x)
         SELECT id, {ANCHOR.format(p='p')} AS prefix_strength, {ANCHOR.format(p='i')} AS inner_strength FROM y""",
     "publication_year": f"WITH {DOCS_SQL} SELECT id, CAST(substr(published_date, 1, 4) AS INT) AS year, CAST(NULL AS INT) AS bad_year FROM docs",
@@ -225,7 +230,7 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM d) SELECT query_id, rank, variant FROM r WHERE norm <> '' AND rank <= cap""",
     "prf_terms": f"WITH {DOCS_SQL}, w AS (SELECT unnest(regexp_extract_all(body, '[a-z]{{4,}}')) AS term FROM docs) SELECT term, count(*) AS n FROM w WHERE term NOT IN ({', '.join(repr(x) for x in STOP)}) GROUP BY term ORDER BY n DESC, term LIMIT 15",
     "feedback_terms": f"""WITH {DOCS_SQL}, f AS (SELECT id, unnest(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 2))) AS term FROM (SELECT * FROM docs ORDER BY id LIMIT 15)),
-        g AS (SELECT term, count(*) AS n FROM f GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 8), k AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2)) AS term FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3))
+        g AS (SELECT term, count(*) AS n FROM f GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 8), k AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2)) AS term FROM benchmark)
         SELECT term, n FROM g WHERE term NOT IN (SELECT term FROM k) ORDER BY n DESC, term LIMIT 5""",
     "field_filter": f"""WITH p AS (SELECT p_partkey AS id, ['cs.lg', 'q-bio.nc', 'stat.ml', NULL, 'math.co'][CAST(p_partkey % 5 + 1 AS INT)] AS cat,
           array_to_string(list_filter([CASE WHEN p_size % 4 = 0 THEN 'computer science' END, CASE WHEN p_size % 7 = 0 THEN 'cell biology' END, CASE WHEN p_size % 3 = 0 THEN lower(p_name) END], lambda x: x IS NOT NULL), chr(10)) AS tags, p_partkey % 3 AS s FROM part)
@@ -238,6 +243,6 @@ ORACLES = {
     "dedup_exact": f"WITH {DOCS_SQL}, r AS (SELECT id, nullif({SPACED.format(c='title')}, '') AS nt FROM docs), m AS (SELECT min(id) OVER (PARTITION BY nt) AS a, id AS b FROM r WHERE nt IS NOT NULL) SELECT a, b FROM m WHERE a <> b",
     "dedup_components": f"WITH RECURSIVE {DEDUP} SELECT id, cluster FROM c",
     "dedup_merge": f"""WITH RECURSIVE {DEDUP} SELECT cluster, count(*) AS members, max(citations) AS citations, max(length(abstract)) AS abstract_size, string_agg(DISTINCT source, ',' ORDER BY source) AS source FROM r JOIN c USING (id) GROUP BY cluster""",
-    "landmark_anti": f"""WITH {DOCS_SQL}, i AS (SELECT item_id, {SPACED.format(c="array_to_string(string_split(text, ' ')[1:2], ' ')")} AS phrase FROM benchmark), t AS (SELECT DISTINCT {SPACED.format(c='title')} AS t FROM docs)
-        SELECT item_id, phrase FROM i WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t, phrase))""",
+    "landmark_anti": f"""WITH {DOCS_SQL}, i AS (SELECT item_id, {SPACED.format(c="text")} AS phrase FROM benchmark), t AS (SELECT DISTINCT {SPACED.format(c='title')} AS t FROM docs)
+        SELECT item_id, phrase FROM i WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(' ' || t || ' ', ' ' || phrase || ' '))""",
 }
