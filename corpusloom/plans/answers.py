@@ -9,6 +9,8 @@ from corpusloom.operators import answers as a
 from corpusloom.operators import evidence as e
 from corpusloom.operators import querying as q
 from corpusloom.operators.bibliometrics import ranked_prefix
+from corpusloom.operators.expansion import TERM_STOP, query_terms
+from corpusloom.operators.retrieval import held_terms
 from corpusloom.plans.documents import CLAIM_SQL, TURNS_SQL, claims, turns
 from corpusloom.plans.records import QUERY_SQL, query_texts
 from corpusloom.plans.works import DOCS_SQL, works_docs
@@ -77,14 +79,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages by the words of a question that they hold, two more for a pair of words side by side; three best."""
-    asked = query_texts(spark, sf_dir).filter("query_id % 100 = 0").select("query_id", F.slice(F.array_distinct(F.filter(F.split(F.lower("query"), " "), lambda w: F.length(w) > 3)), 1, 4).alias("words"))
-    docs = works_docs(spark, sf_dir).select("id", "body")
-    small = F.broadcast(asked) if asked.count() <= 1000 else asked
-    hits = docs.join(small, F.exists("words", lambda w: F.contains(F.col("body"), w)))
-    pair = F.contains("body", F.array_join(F.slice("words", 1, 2), " "))
-    scored = hits.select("query_id", "id", (F.size(F.filter("words", lambda w: F.contains(F.col("body"), w))) + F.when(pair, 2).otherwise(0)).alias("score"))
-    return ranked_prefix(scored, ["query_id"], [F.desc("score"), F.col("id")], 3)
+    """Pages by the terms of a question that they hold, two more for the first two side by side; three best for every question."""
+    asked = query_texts(spark, sf_dir).select("query_id", query_terms(F.col("query")).alias("words"))
+    return held_terms(works_docs(spark, sf_dir).select("id", "body"), asked, 3)
 
 
 QUERIES = {"validate_response": validate_response, "decomposition": decomposition, "lexical_search": lexical_search, "context_blocks": context_blocks, "key_pages": key_pages, "merged_pages": merged_pages,
@@ -123,9 +120,13 @@ def _oracles() -> dict[str, str]:
             x AS (SELECT *, {shared(VOCABULARY[0])} AS a, {shared(VOCABULARY[1])} AS b, {shared(VOCABULARY[2])} AS c FROM w), l AS (SELECT *, CASE WHEN s = 0 THEN CASE WHEN n < 3 THEN 2 ELSE 3 END WHEN s = 1 THEN 2 ELSE 1 END AS v FROM x)
             SELECT id, CASE WHEN raw = lower('{VOCABULARY[1]}') THEN '{VOCABULARY[1]}' WHEN greatest(a, b, c) < 2 THEN 'Not enough evidence' WHEN a = greatest(a, b, c) THEN '{VOCABULARY[0]}' WHEN b = greatest(a, b, c) THEN '{VOCABULARY[1]}' ELSE '{VOCABULARY[2]}' END AS verdict,
             CASE WHEN v = 3 THEN 'High' WHEN v = 2 AND n >= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM l""",
-        "page_fallback": f"""WITH {DOCS_SQL}, {QUERY_SQL}, k AS (SELECT query_id, list_filter(string_split(lower(query), ' '), lambda w: length(w) > 3) AS raw FROM qs WHERE query_id % 100 = 0),
-            u AS (SELECT query_id, list_filter(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN list_position(raw, raw[i]) = i THEN raw[i] END), lambda x: x IS NOT NULL)[1:4] AS ws FROM k),
-            h AS (SELECT query_id, id, len(list_filter(ws, lambda w: contains(body, w))) AS n, contains(body, array_to_string(ws[1:2], ' ')) AS p FROM docs, u), s AS (SELECT query_id, id, n + CASE WHEN p THEN 2 ELSE 0 END AS score FROM h WHERE n > 0)
+        "merged_pages": f"""WITH RECURSIVE {DOCS_SQL}, p AS (SELECT id, list_filter(list_transform(string_split(abstract, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM docs),
+            f AS (SELECT id, ps, 0 AS i, 0 AS n, '' AS buf FROM p UNION ALL SELECT id, ps, i + 1, CASE WHEN buf <> '' AND length(buf) + length(ps[i + 1]) >= 4000 AND length(trim(buf, ' ')) >= 150 THEN n + 1 ELSE n END,
+              CASE WHEN buf <> '' AND length(buf) + length(ps[i + 1]) < 4000 THEN buf || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END FROM f WHERE i < len(ps))
+            SELECT id, CAST(CASE WHEN length(trim(buf, ' ')) >= 150 THEN n + 1 ELSE n END AS INTEGER) AS n_chunks FROM f WHERE i = len(ps)""",
+        "page_fallback": f"""WITH {DOCS_SQL}, {QUERY_SQL}, k AS (SELECT query_id, list_filter(regexp_extract_all(lower(query), '[a-z][a-z0-9\\-]{{1,}}'), lambda t: t NOT IN ({', '.join("'" + w + "'" for w in TERM_STOP)})) AS raw FROM qs),
+            u AS (SELECT query_id, list_filter(raw, lambda w, i: list_position(raw, w) = i)[1:10] AS ws FROM k),
+            h AS (SELECT query_id, id, len(list_filter(ws, lambda w: contains(body, w))) AS n, len(ws) > 1 AND contains(body, array_to_string(ws[1:2], ' ')) AS p FROM docs, u), s AS (SELECT query_id, id, n + CASE WHEN p THEN 2 ELSE 0 END AS score FROM h WHERE n > 0)
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3""",
     }
 

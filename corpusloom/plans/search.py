@@ -9,13 +9,10 @@ from corpusloom.functions import text
 from corpusloom.operators import retrieval as r
 from corpusloom.sources.tables import load
 
-WORDS = 8
-
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and the first eight words of every benchmark item."""
-    items = load(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, WORDS), " ").alias("query"))
+    """query_id and the whole text of every benchmark item."""
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +45,8 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: each item asks two variants (first and last half of its words); each is BM25-ranked, then fused by item."""
-    base = asked(spark, sf_dir)
-    halves = base.select("query_id", F.posexplode(F.array(F.slice(F.split("query", " "), 1, WORDS // 2), F.slice(F.split("query", " "), WORDS // 2 + 1, WORDS // 2))).alias("v", "words"))
+    base = asked(spark, sf_dir).withColumn("w", F.split("query", " ")).withColumn("half", F.floor(F.size("w") / 2).cast("int"))
+    halves = base.select("query_id", F.posexplode(F.array(F.slice("w", F.lit(1), F.col("half")), F.slice("w", F.col("half") + 1, F.size("w")))).alias("v", "words"))
     variants = halves.select((F.col("query_id") * 2 + F.col("v")).alias("query_id"), F.explode(text.tokens_long(F.array_join("words", " "))).alias("term"))
     best = r.topk(r.bm25(doc_terms(spark, sf_dir), variants.groupBy("query_id", "term").agg(F.count("*").alias("qf"))), 10)
     return r.rrf([best.withColumn("query_id", F.floor(F.col("query_id") / 2).cast("long"))], 5)
@@ -68,9 +65,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 50 is asked of all vectors: exact inner products."""
+    """Every vector whose id is divisible by 20 is asked of all vectors: exact inner products."""
     base = vectors(spark, sf_dir)
-    queries = base.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = base.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return r.vector_topk(base.select("id", "embedding"), queries, 5)
 
 
@@ -94,7 +91,7 @@ terms AS (SELECT id, term, count(*) AS tf FROM tok WHERE length(term) > 2 GROUP
 dl AS (SELECT id, sum(tf) AS dl FROM terms GROUP BY id),
 tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
-base AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark)"""
+base AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
 QT = """qt AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM {src}) WHERE length(term) > 2 GROUP BY ALL)"""
 BM = """bm AS (SELECT query_id, id, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (avgdl + 1e-9)) + 1e-9)), 6) AS score
   FROM qt JOIN terms USING (term) JOIN df USING (term) JOIN dl USING (id), tot GROUP BY ALL),
@@ -107,7 +104,7 @@ qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY query_id),
 ti AS (SELECT query_id, id, round(least(greatest(sum(w * qw) / (any_value(norm) * any_value(qnorm)), 0), 1), 6) AS score FROM dw JOIN qw USING (term) JOIN dn USING (id) JOIN qn USING (query_id) GROUP BY query_id, id),
 tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ti) WHERE rank <= 10)"""
 ONE = f"WITH {TERMS}, {QT.format(src='base')}, {BM}"
-VEC = """q AS (SELECT vec_id AS query_id, embedding AS query, label AS query_label FROM embeddings WHERE vec_id % 50 = 0),
+VEC = """q AS (SELECT vec_id AS query_id, embedding AS query, label AS query_label FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, query_label, vec_id AS id, label, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(query[i] AS DOUBLE))), 6) AS score FROM embeddings, q),
 vk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5)"""
 
@@ -118,8 +115,8 @@ ORACLES = {
         FROM bk WINDOW p AS (PARTITION BY query_id)""",
     "rrf_fuse": f"""{ONE}, {TI}, u AS (SELECT query_id, id, rank FROM bk UNION ALL SELECT query_id, id, rank FROM tk), f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""",
-    "multi_query_rrf": f"""WITH {TERMS}, variants AS (SELECT query_id * 2 AS query_id, array_to_string(string_split(query, ' ')[1:4], ' ') AS query FROM base
-        UNION ALL SELECT query_id * 2 + 1, array_to_string(string_split(query, ' ')[5:8], ' ') FROM base), {QT.format(src='variants')}, {BM},
+    "multi_query_rrf": f"""WITH {TERMS}, variants AS (SELECT query_id * 2 AS query_id, array_to_string(string_split(query, ' ')[1:len(string_split(query, ' ')) // 2], ' ') AS query FROM base
+        UNION ALL SELECT query_id * 2 + 1, array_to_string(string_split(query, ' ')[len(string_split(query, ' ')) // 2 + 1:], ' ') FROM base), {QT.format(src='variants')}, {BM},
         f AS (SELECT query_id // 2 AS query_id, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM bk GROUP BY ALL)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""",
     "hybrid_blend": f"""{ONE}, {TI}, p AS (SELECT bk.query_id, bk.id, bk.score AS a, coalesce(ti.score, 0) AS c FROM bk LEFT JOIN ti ON bk.query_id = ti.query_id AND bk.id = ti.id),

@@ -50,5 +50,11 @@ ORACLES = {
     "stream_session": """WITH m AS (SELECT user_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))
         SELECT user_id, CAST(sum(fresh) AS BIGINT) AS sessions, count(*) AS events FROM m GROUP BY user_id""",
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
+    "rate_limit_state": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, CAST(trunc(value) AS BIGINT) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        r AS (SELECT user_id, k, event_id, n <= 60 * 0.9 AS allowed, CASE WHEN n <= 60 * 0.9 THEN [{'t': t, 'n': n}] ELSE [] END AS log FROM e WHERE k = 1
+          UNION ALL SELECT user_id, k, event_id, allowed, CASE WHEN allowed THEN list_append(live, {'t': t, 'n': n}) ELSE live END FROM
+            (SELECT *, len(live) + 1 <= 3 * 0.9 AND coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) + n <= 60 * 0.9 AS allowed FROM
+              (SELECT e.user_id, e.k, e.event_id, e.t, e.n, list_filter(r.log, lambda x: x.t >= e.t - 60000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))
+        SELECT event_id, user_id, allowed FROM r""",
     "stream_static_join": "SELECT event_id, user_id, c_mktsegment AS segment FROM events JOIN customer ON user_id = c_custkey",
 }
