@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.cleaning import SECTION_HEADINGS
+
 # Words that make a chunk worth reading first.
 PRIORITY = ("method", "architecture", "model", "transformer", "attention", "experiment", "results", "evaluation", "dataset", "benchmark", "training", "loss", "approach", "encoder", "decoder",
             "proposed", "compared", "achieves", "outperforms", "baseline", "metric", "accuracy", "f1", "bleu", "ablation", "limitation", "hyperparameter", "contribution")
@@ -120,3 +122,60 @@ def semantic(docs: DataFrame, most: int = 3400, split_at: int = 2600, least_alik
 
 def by_boundary(docs: DataFrame, size: int = 8000, overlap: int = 500, cap: int | None = None) -> DataFrame:
     return _per_document(docs, lambda t: [c for _, _, c in boundary_chunks(t, size, overlap, cap)])
+
+
+def by_heading(docs: DataFrame) -> DataFrame:
+    """(id, section, heading, body): the lines from each heading to the next; text before the first is section 0. Sections without text are left out.
+
+    A heading is one of the known section names, or a line of 60 characters at most that ends without a mark.
+    """
+    known = "(?i)^(" + "|".join(h.replace(" ", r"\s+") for h in SECTION_HEADINGS) + ")$"
+    line = F.trim("line")
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    marked = lines.withColumn("head", line.rlike(known) | (F.length(line).between(1, 60) & ~line.rlike("[.!?:;,]$")))
+    so_far = Window.partitionBy("id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = marked.withColumn("section", F.sum(F.col("head").cast("int")).over(so_far).cast("int"))
+    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("ln", "line"))))
+    grouped = numbered.groupBy("id", "section").agg(F.max(F.when(F.col("head"), line)).alias("heading"), F.array_join(F.transform(body, lambda s: s["line"]), "\n").alias("body"))
+    return grouped.withColumn("body", F.trim("body")).filter("body <> ''")
+
+
+def with_tail(chunks: DataFrame, words: int) -> DataFrame:
+    """(id, chunk_no, chunk) with the last words of the chunk before in front."""
+    before = F.lag("chunk").over(Window.partitionBy("id").orderBy("chunk_no"))
+    tail = F.array_join(F.slice(F.reverse(F.split(before, " ")), 1, words), " ")
+    held = F.array_join(F.reverse(F.split(tail, " ")), " ")
+    return chunks.select("id", "chunk_no", F.when(before.isNull(), F.col("chunk")).otherwise(F.concat(held, F.lit("\n\n"), F.col("chunk"))).alias("chunk"))
+
+
+def context_of(lines: Column, at: Column, around: int) -> Column:
+    """The line at a place (from 1) and the lines around it, joined."""
+    low = F.greatest(at - around, F.lit(1))
+    return F.array_join(F.slice(lines, low, at + around - low + 1), " ")
+
+
+def embedding_text(kind: Column, number: Column, body: Column, context: Column) -> Column:
+    """What is embedded of an element, by kind."""
+    named = F.concat(F.initcap(kind), F.lit(" "), number.cast("string"), F.lit("\nContext: "), F.substring(context, 1, 300))
+    return F.when(kind == "text", F.concat(F.lit("Text\n"), F.substring(body, 1, 480))).otherwise(named)
+
+
+def elements(docs: DataFrame, least: int = 100, around: int = 2) -> DataFrame:
+    """(id, kind, number, chunk_id, context, embedding_text): each text's table, by its first line with a bar, and the text itself if it has ``least`` characters."""
+    lines = F.split("text", "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("|"))), True).cast("int")
+    tables = docs.withColumn("at", at).filter("at > 0").select("id", F.lit("table").alias("kind"), F.lit(1).alias("number"), F.col("text").alias("body"), context_of(lines, F.col("at"), around).alias("context"))
+    texts = docs.filter(F.length(F.trim("text")) >= least).select("id", F.lit("text").alias("kind"), F.lit(0).alias("number"), F.col("text").alias("body"), F.substring("text", 1, 500).alias("context"))
+    every = tables.unionByName(texts)
+    key = F.substring(F.md5(F.concat_ws("_", "id", "kind", "number")), 1, 16)
+    return every.select("id", "kind", "number", key.alias("chunk_id"), "context", embedding_text(F.col("kind"), F.col("number"), F.col("body"), F.col("context")).alias("embedding_text"))
+
+
+def first_chunks(parts: list[tuple[int, DataFrame]], most: int) -> DataFrame:
+    """(id, rank, strategy, chunk): chunks of several strategies in order, equal texts of a document once, ``most`` a document."""
+    every = None
+    for number, part in parts:
+        own = part.select("id", F.struct(F.lit(number).alias("strategy"), F.col("pos").alias("pos")).alias("at"), "chunk")
+        every = own if every is None else every.unionByName(own)
+    once = every.groupBy("id", "chunk").agg(F.min("at").alias("at"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("at"))).filter(F.col("rank") <= most).select("id", "rank", "at.strategy", "chunk")

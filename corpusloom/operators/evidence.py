@@ -27,6 +27,9 @@ NEGATION = (r"\b(does not|do not|not mention|not provide|not release|not report|
 SPECIFIC = (r"(?i)\b(dataset|benchmark|baseline|ablation|accuracy|f1[- ]score|bleu|rouge|perplexity|auc|exact match|memory footprint|latency|throughput|learning rate|batch size|epoch|optimizer|checkpoint|"
             r"github|open-source|train split|test split|validation split|held-out|evaluation protocol|does not report|does not mention|no code|no checkpoint|not release|not evaluat|limited to|only evaluates|only compares)\b")
 GENERIC_OPENERS = ("the paper", "this paper", "the study", "the research", "the authors", "in this", "this work")
+# Names that tie a denial to a metric.
+DATASET_WORDS = ("glue", "squad", "mnli", "qqp", "sst", "wikitext", "wmt", "iwslt", "bleu", "rouge", "accuracy", "f1", "auc", "map")
+DENIALS = ("not evaluated", "not tested", "has not been evaluated", "has not been tested")
 SECTION_PRIORITY = {"results": 0, "abstract": 1, "conclusion": 2, "methodology": 3, "introduction": 4}
 
 
@@ -90,3 +93,23 @@ def quality(response: Column, query: Column) -> dict[str, Column]:
 
 def numbers(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)))
+
+
+def without_contradictions(items: DataFrame, key: str) -> DataFrame:
+    """(key, pos, item) rows without the denials of testing that a metric of the same paper contradicts: both name one dataset or metric word, or the denial is of text classification and a metric of a task in it."""
+    low = F.lower("item")
+    metric = low.rlike(r"\b\d[\d.]*\s*(%|f1|accuracy|bleu|rouge|auc|map)(?!\w)") | (low.rlike("[0-9]") & has_any(low, DATASET_WORDS))
+    marked = items.withColumn("denied", has_any(low, DENIALS)).withColumn("words", F.filter(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in DATASET_WORDS]), lambda w: w.isNotNull())).withColumn("metric", metric)
+    known = marked.filter("metric").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("known"))
+    classes = F.array(*[F.lit(w) for w in ("glue", "mnli", "qqp", "sst")])
+    joined = marked.join(known, key, "left")
+    against = F.arrays_overlap("words", "known") | (F.contains(low, F.lit("text classification")) & F.arrays_overlap(F.col("known"), classes))
+    return joined.filter(~(F.col("denied") & F.coalesce(against, F.lit(False)))).select(*items.columns)
+
+
+def compressed(sentences: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, evidence): the first specific sentence, else the first, cut at a word if it is longer than ``most``."""
+    order = F.struct((~F.col("sentence").rlike(SPECIFIC)).alias("plain"), "pos")
+    best = sentences.groupBy(key).agg(F.min_by("sentence", order).alias("s"))
+    cut = F.concat(F.regexp_replace(F.substring("s", 1, most - 3), " [^ ]*$", ""), F.lit("…"))
+    return best.select(key, F.when(F.length("s") > most, cut).otherwise(F.col("s")).alias("evidence"))

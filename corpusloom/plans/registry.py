@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics, answers, documents, graphs, records, relational, relevance, search, streams
+from corpusloom.plans import analytics, answers, documents, graphs, questions, records, relational, relevance, search, streams, views
 
-MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams, answers]
+MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams, answers, questions, views]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
