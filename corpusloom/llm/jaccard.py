@@ -161,6 +161,7 @@ def set_rows(docs: DataFrame, size: int) -> DataFrame:
                     [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(np.diff(first), pa.int64()), pa.array(set_id(keys, first)),
                      pa.array([histogram(keys[first[i] : first[i + 1]]) for i in range(end - row)], pa.binary())],
                     names=["doc_id", "text_key", "n", "class_id", "histogram"])
+        tb.trim()
 
     named = docs.select("doc_id", text_key().alias("text_key"), "text")
     return named.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long, class_id long, histogram binary")
@@ -190,6 +191,7 @@ def columns_of(docs: DataFrame, size: int, threshold: int, counts: np.ndarray) -
                 place = np.arange(len(keys)) - first[row]
                 chosen = order[place < (n - needed(n, threshold) + 1)[row]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[chosen].view(np.int64)), pa.array(ids[row[chosen]]), pa.array(n[row[chosen]], pa.int64())], names=["token", "class_id", "n"])
+        tb.trim()
 
     return docs.select("text").mapInArrow(make, "token long, class_id long, n long")
 
@@ -377,6 +379,7 @@ def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(own), block.key[0])), pa.array(np.full(len(own), block.key[1], dtype=np.int32)), pa.array(block.ids[own]), pa.array(block.n[own]), pa.array(block.component[own])],
                     names=["token", "cell", "class_id", "n", "component"])
+        tb.trim()
 
     found = dealt(columns, classes, "histogram").mapInArrow(screen, "token long, cell int, class_id long, n long, component long")
     return found.distinct()
@@ -400,6 +403,8 @@ def product(columns: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 many, size = [], 0
         if many:
             yield links_batch(block_links(many, threshold))
+        del many
+        tb.trim()
 
     return dealt(columns, sets, "keys").mapInArrow(multiply, "a long, b long")
 

@@ -72,6 +72,7 @@ def keep_rows(docs: DataFrame, prepare: Callable[[], Callable[[np.ndarray, np.nd
             flags = [judge(data, offsets) for _, _, data, offsets in tb.slices(batch.column(place), 1 << 20)]
             if flags:
                 yield batch.filter(pa.array(np.concatenate(flags)))
+        tb.trim()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -335,6 +335,7 @@ def featured(rows: DataFrame, matcher: Matcher) -> DataFrame:
             for row, end, data, offsets in tb.slices(batch.column(1)):
                 x = features(shared.value, data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
+        tb.trim()
 
     return rows.select("label", "text").mapInArrow(compute, "label int, x array<double>")
 

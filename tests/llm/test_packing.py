@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from corpusloom.llm import packing, tokens
 from corpusloom.llm import textbytes as tb
@@ -33,8 +34,9 @@ def test_plan_places_every_piece():
         check_bins(bins, capacity)
 
 
-def test_unit_tokenizer_equals_the_library():
-    encoder = tokens.UnitTokenizer(packing.tokenizer_path())
+@pytest.mark.parametrize("other_encoder", [False, True])
+def test_unit_tokenizer_equals_the_library(other_encoder):
+    encoder = tokens.UnitTokenizer(packing.tokenizer_path(), other_encoder)
     draw = random.Random(2)
     bits = ["a", "b", " ", "\n", "\t", "é", "'s", "1", "!", " ", "  ", " the", " ", "<|endoftext|>", "日"]
     texts = ["", *("".join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for _ in range(800))]
