@@ -45,12 +45,15 @@ def bm25(terms: DataFrame, query_terms: DataFrame, key: str = "id") -> DataFrame
 
 
 def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id") -> DataFrame:
-    """query_id, key, score: cosine of tf-idf vectors with idf = ln((N+1)/(df+1)) + 1."""
-    size = lengths(terms, key)
-    n = size.agg(F.count("*").alias("N"))
+    """query_id, key, score: cosine of tf-idf vectors with idf = ln((N+1)/(df+1)) + 1.
+
+    A document's length divides its weights and its norm alike, so counts serve for both. The terms meet their idf
+    in one shuffle; norms and products are sums over that.
+    """
+    n = terms.select(key).distinct().agg(F.count("*").alias("N"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
-    weighted = terms.join(idf, "term").join(size, key).select(key, "term", (F.col("tf") / F.col("dl") * F.col("idf")).alias("w"))
+    weighted = terms.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = query_terms.withColumn("ql", F.sum("qf").over(Window.partitionBy("query_id")))
     unseen = n.select((F.log(F.col("N") + 1) + 1).alias("idf0"))
