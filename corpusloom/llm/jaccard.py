@@ -60,6 +60,9 @@ ORDERS = 8
 #: Cells of a tile; a class counts as ROW_CELLS at least, so a tile has at most TILE / ROW_CELLS classes or so.
 TILE = 1 << 20
 ROW_CELLS = 512
+#: Bits of a piece of the bitmap that finds wanted rows, and most bits in it (16 MB).
+PIECE = 1 << 16
+MOST_BITS = 1 << 27
 #: Open pairs of a block above which its whole product is made.
 FEW_PAIRS = 20_000
 
@@ -196,24 +199,61 @@ def columns_of(docs: DataFrame, size: int, threshold: int, counts: np.ndarray) -
     return docs.select("text").mapInArrow(make, "token long, class_id long, n long")
 
 
+def row_name() -> Column:
+    return F.xxhash64("doc_id", "text_key")
+
+
+def bitmap(names: DataFrame, bits: int) -> np.ndarray:
+    """Which of ``bits`` (a power of two, PIECE or more) the names of the rows fall on; the result has a bounded size."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            marks[batch.column(0).to_numpy() & (bits - 1)] = True
+        used = np.flatnonzero(marks.reshape(-1, PIECE).any(axis=1))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(marks[k * PIECE : (k + 1) * PIECE]).tobytes() for k in used.tolist()], pa.binary())], names=["piece", "marks"])
+
+    def join(table: pa.Table) -> pa.Table:
+        every = np.bitwise_or.reduce([np.frombuffer(b.as_py(), np.uint8) for b in table.column("marks")])
+        return pa.table({"piece": table.column("piece").slice(0, 1), "marks": pa.array([every.tobytes()], pa.binary())})
+
+    out = np.zeros((bits // PIECE, PIECE // 8), dtype=np.uint8)
+    for r in names.select(row_name().alias("h")).mapInArrow(mark, "piece int, marks binary").groupBy("piece").applyInArrow(join, "piece int, marks binary").collect():
+        out[r.piece] = np.frombuffer(r.marks, np.uint8)
+    return out.reshape(-1)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """class_id and sorted set (uint64 bytes) of the wanted (class_id, doc_id, text_key) rows, each class once."""
-    names = wanted.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__wanted"), F.col("class_id").alias("__class"))
+    """class_id and sorted set (uint64 bytes) of the wanted (class_id, doc_id, text_key) rows, each class once.
+
+    Texts that a bitmap of the wanted rows excludes are left where they are; where it would be more than MOST_BITS,
+    texts meet the wanted rows by name instead.
+    """
+    count = wanted.count()
+    bits = 1 << max(PIECE.bit_length() - 1, (32 * count).bit_length())
+    rows = docs.select("doc_id", "text", text_key().alias("text_key")).select("text", row_name().alias("h"))
+    shared = None
+    if count * 4 <= MOST_BITS:
+        shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, min(bits, MOST_BITS)))
+    else:
+        names = wanted.select(row_name().alias("name")).distinct()
+        rows = rows.join(names, F.col("h") == F.col("name"), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column(1).to_numpy()
+            if shared is not None:
+                marks = shared.value
+                at = batch.column(1).to_numpy() & (8 * len(marks) - 1)
+                batch = batch.filter(pa.array((marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             for row, end, data, offsets in tb.slices(batch.column(0), 1 << 20):
                 keys, first = shingles(data, offsets, size)
                 ids = set_id(keys, first)
-                own = np.flatnonzero(ids == asked[row:end])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([keys[first[i] : first[i + 1]].tobytes() for i in own.tolist()], pa.binary())], names=["class_id", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([keys[first[i] : first[i + 1]].tobytes() for i in range(end - row)], pa.binary())], names=["class_id", "keys"])
+        tb.trim()
 
-    keyed = docs.select("doc_id", "text", text_key().alias("__key"))
-    rows = keyed.join(names, (F.col("__key") == F.col("__wanted")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    # repeated rows meet here: the join has dealt them by these columns
-    once = rows.groupBy("__key", "__id", "__class").agg(F.first("text").alias("text"))
-    return once.select("text", "__class").mapInArrow(make, "class_id long, keys binary")
+    found = rows.mapInArrow(make, "class_id long, keys binary").join(wanted.select(F.col("class_id").alias("c")), F.col("class_id") == F.col("c"), "left_semi")
+    return found.groupBy("class_id").agg(F.first("keys").alias("keys"))
 
 
 def within_sizes(threshold: int, a: str = "n_a", b: str = "n_b"):
@@ -357,7 +397,7 @@ def dealt(columns: DataFrame, held: DataFrame, value: str) -> DataFrame:
 
 
 def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """The rows of the columns whose class has, in its column, an open pair that the histograms do not exclude."""
+    """Columns of the classes that open pairs within a column join which the histograms do not exclude; token names the cluster."""
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in grouped(batches):
@@ -367,17 +407,23 @@ def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFram
             held = [np.frombuffer(v, "<u4" if n > 65535 else "<u2") for v, n in zip(block.values, block.n.tolist(), strict=True)]
             cells = min(map(len, held))
             table = np.stack([h.reshape(-1, cells).sum(axis=0, dtype=np.int64) for h in held])
-            stay = np.zeros(len(block.ids), dtype=bool)
+            links = []
             step = max(1, (1 << 21) // cells)
             for i in range(0, len(p), step):
                 a, b = p[i : i + step], q[i : i + step]
                 ok = (100 + threshold) * np.minimum(table[a], table[b]).sum(axis=1) >= threshold * (block.n[a] + block.n[b])
-                stay[a[ok]] = True
-                stay[b[ok]] = True
-            own = np.flatnonzero(stay)
-            if len(own):
+                if ok.any():
+                    links.append((a[ok], b[ok]))
+            if links:
+                p, q = (np.concatenate(x) for x in zip(*links, strict=True))
+                label = clusters(len(block.ids), p, q)
+                own = np.flatnonzero(np.bincount(np.concatenate([p, q]), minlength=len(label)))
+                order = own[np.lexsort([block.ids[own], label[own]])]
+                first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+                # a cluster is named by its members, so that columns with the same give it once
+                name = set_id(block.ids[order].view(np.uint64), np.append(first, len(order)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), block.key[0])), pa.array(np.full(len(own), block.key[1], dtype=np.int32)), pa.array(block.ids[own]), pa.array(block.n[own]), pa.array(block.component[own])],
+                    [pa.array(np.repeat(name, np.diff(np.append(first, len(order))))), pa.array(np.full(len(order), block.key[1], dtype=np.int32)), pa.array(block.ids[order]), pa.array(block.n[order]), pa.array(block.component[order])],
                     names=["token", "cell", "class_id", "n", "component"])
         tb.trim()
 
@@ -385,6 +431,18 @@ def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return found.distinct()
 
 
+def clusters(rows: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least row that each row is joined to by the pairs."""
+    label = np.arange(rows)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, p, label[q])
+        np.minimum.at(label, q, label[p])
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def product(columns: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """(a, b) of a spanning forest of the links between components in each block; see block_links."""
 
