@@ -19,7 +19,7 @@ has 1,001 entries at any input size.
 Defined cases: null and empty texts have no feature, and their digests equal each
 other and nothing else (likeness 1 and 0); a text with no window of full length is one
 feature; texts of any length are read whole; repeated rows are digested each, in the order of
-doc_id and text; null doc_ids come first; other columns are ignored.
+doc_id and text; null doc_ids come first, and ids that are no integers go in the order of their type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import textbytes as tb
-from corpusloom.llm.shared import shuffle_partitions
+from corpusloom.llm.shared import shuffle_partitions, written
 
 WINDOW = 64
 NEIGHBOURS = 16
@@ -237,7 +238,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__k"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if docs.schema["doc_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
+        keyed = rows.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    else:  # ids of another type are numbered in their order
+        numbers = written(rows.select("doc_id").distinct().orderBy(F.asc_nulls_first("doc_id")).withColumn("__k", F.monotonically_increasing_id()), "fingerprint-ids")
+        keyed = rows.join(numbers.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text", "__k")
     ids = keyed.select(F.col("__k").cast("double").alias("k"))
     splits = sorted(set(ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     array = "array(" + ",".join(f"{x!r}D" for x in splits) + ")" if splits else "cast(array() as array<double>)"
@@ -285,5 +291,5 @@ def edited_fingerprints(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
              pa.array([likeness(a, b) for a, b in zip(own, other, strict=True)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(own, after, strict=True)], pa.float64())],
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = to_arrow_type(docs.schema["doc_id"].dataType)
     return with_next(docs).mapInArrow(make, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
