@@ -20,7 +20,6 @@ NEUTRAL = "The extracted paper text does not provide sufficient evidence to supp
 TITLE_STOP = ("the", "and", "for", "with", "from", "into", "using", "novel", "architecture", "model", "language", "understanding", "sequence", "paper")
 RELEASED = ("code", "checkpoint", "github", "repository", "open-source")
 DENIED = ("not", "no ", "without", "missing", "absent")
-FUSED = ("comparative", "multi_element", "synthesis")
 
 
 def references(text: Column, kind: str) -> Column:
