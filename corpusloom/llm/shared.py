@@ -13,12 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm import textbytes as tb
 
 
+#: Bytes of an Arrow batch between the engine and Python, about. Both sides hold a batch whole, in each running task.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for Arrow batches to BATCH_BYTES; a lower one, or one given in other units, stays."""
+    size = spark.conf.get(BATCH_SETTING).rstrip("b")
+    if size.isdigit() and int(size) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    bound_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -65,6 +79,7 @@ def keep_rows(docs: DataFrame, prepare: Callable[[], Callable[[np.ndarray, np.nd
     It gets the UTF-8 bytes and offsets of a run of texts (nulls are empty). A text goes to Python once, as its column.
     """
     place = docs.columns.index("text")
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = prepare()
