@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 
 import numpy as np
 
 from corpusloom.llm import textbytes as tb
 
 #: Units held by a worker before the memo starts anew.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 1_000_000
+#: Bytes of new units that are encoded as one string, about.
+JOINED = 1 << 15
 #: ASCII white space other than blank and newline, and the bytes that begin any wider one.
 ODD = np.zeros(256, dtype=bool)
 ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
@@ -29,6 +32,7 @@ class UnitTokenizer:
 
     def __init__(self, path: str, other_encoder: bool = False) -> None:
         """``other_encoder``: units by the quicker encoder of the same vocabulary, if its file stands beside; ids are equal."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,13 +42,12 @@ class UnitTokenizer:
         plain = spec.get("normalizer") is None and spec.get("post_processor") is None
         stage = spec.get("pre_tokenizer") or {}
         self.by_unit = plain and stage.get("type") == "ByteLevel" and not stage.get("add_prefix_space") and stage.get("use_regex", True)
+        self.bytes_of = self._lengths() if self.by_unit else None
         self.fast = self._ranks(path) if self.by_unit and other_encoder else None
         self.clear()
 
     def _ranks(self, path: str):
         """The same vocabulary in the quicker encoder, where its file stands beside the other; ids are equal."""
-        import os
-
         other = os.path.splitext(path)[0] + ".tiktoken"
         try:
             import tiktoken
@@ -63,10 +66,50 @@ class UnitTokenizer:
         self.first = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
+    def _lengths(self) -> np.ndarray:
+        """Bytes that each id stands for: a character of a byte-level token is a byte."""
+        out = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=np.int64)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            out[k] = len(token)
+        return out
+
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has.
+
+        Units that begin with a blank and end with none are put together: their pre-tokens end where they end, and the
+        bytes that the ids stand for tell the units apart. Others, and strings where that fails, are encoded one by one.
+        """
         if self.fast is not None:
-            return [self.fast.encode_ordinary(u) for u in units]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            lists = [np.array(self.fast.encode_ordinary(u.decode()), dtype=np.uint32) for u in units]
+            return np.concatenate(lists), np.array([len(x) for x in lists])
+        joins = [u[0] in (32, 10) and u[-1] not in (32, 10) for u in units]
+        lists: list = [None] * len(units)
+        groups: list[list[int]] = [[]]
+        size = 0
+        for k, ok in enumerate(joins):
+            if ok:
+                if size > JOINED:
+                    groups.append([])
+                    size = 0
+                groups[-1].append(k)
+                size += len(units[k])
+        alone = [k for k, ok in enumerate(joins) if not ok]
+        groups = [g for g in groups if g]
+        strings = [b"".join(units[k] for k in g).decode() for g in groups]
+        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, dtype=np.uint32)
+            ends = np.cumsum([len(units[k]) for k in group])
+            reach = np.cumsum(self.bytes_of[ids])
+            cut = np.searchsorted(reach, ends)
+            if len(reach) == 0 or reach[-1] != ends[-1] or not (reach[cut] == ends).all():
+                alone += group
+                continue
+            first = np.concatenate([[0], cut[:-1] + 1])
+            for k, a, b in zip(group, first.tolist(), (cut + 1).tolist(), strict=True):
+                lists[k] = ids[a:b]
+        for k, encoding in zip(alone, self.tokenizer.encode_batch_fast([units[k].decode() for k in alone], add_special_tokens=False), strict=True):
+            lists[k] = np.array(encoding.ids, dtype=np.uint32)
+        return np.concatenate(lists), np.array([len(x) for x in lists])
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -128,11 +171,9 @@ class UnitTokenizer:
         if not known.all():
             new = np.flatnonzero(~known)
             raw = data.tobytes()
-            units = [raw[starts[k] : ends[k]].decode() for k in at[new].tolist()]
-            encoded = self.encode_units(units)
-            sizes = np.array([len(x) for x in encoded])
+            ids, sizes = self.encode_units([raw[starts[k] : ends[k]] for k in at[new].tolist()])
             slots[new] = len(self.first) - 1 + np.arange(len(new))
-            self.ids = np.concatenate([self.ids, np.array([i for x in encoded for i in x], dtype=np.uint32)])
+            self.ids = np.concatenate([self.ids, ids])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.hashes = np.insert(self.hashes, spot[new], kinds[new])
             self.slots = np.insert(self.slots, spot[new], slots[new])
