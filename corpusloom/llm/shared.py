@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import textbytes as tb
@@ -73,10 +74,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def keep_rows(docs: DataFrame, prepare: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+def forget(shared: Broadcast) -> None:
+    """In a task: drops the loaded value of a broadcast, which a worker would keep for later tasks; the next use loads it again."""
+    vars(shared).pop("_value", None)
+
+
+def keep_rows(docs: DataFrame, prepare: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], shared: Broadcast | None = None) -> DataFrame:
     """The rows of docs, with all columns, for which the function that ``prepare`` makes in a task says so.
 
     It gets the UTF-8 bytes and offsets of a run of texts (nulls are empty). A text goes to Python once, as its column.
+    ``shared`` is what the function reads; a worker keeps it no longer than the task.
     """
     place = docs.columns.index("text")
     bound_batches(docs.sparkSession)
@@ -87,6 +94,9 @@ def keep_rows(docs: DataFrame, prepare: Callable[[], Callable[[np.ndarray, np.nd
             flags = [judge(data, offsets) for _, _, data, offsets in tb.slices(batch.column(place), 1 << 20)]
             if flags:
                 yield batch.filter(pa.array(np.concatenate(flags)))
+        del judge
+        if shared is not None:
+            forget(shared)
         tb.trim()
 
     return docs.mapInArrow(run, docs.schema)

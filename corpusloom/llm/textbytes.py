@@ -22,6 +22,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def trim() -> None:
     """Gives freed memory back to the system at a task's end: a worker lives on, and the next task's peak adds to what it keeps."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # no glibc
         ctypes.CDLL(None).malloc_trim(0)

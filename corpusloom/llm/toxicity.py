@@ -21,7 +21,7 @@ learned from; repeated rows are scored one by one; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -247,7 +247,9 @@ def refuted(texts: DataFrame, matcher: Matcher) -> np.ndarray:
 
     base = texts.filter("text is not null").select(F.col("label").cast("int").alias("label"), "text").distinct()
     kinds = base.mapInArrow(found, "label int, h long").groupBy("h").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
-    return np.sort(np.array([r.h for r in kinds.filter(F.col("t") < MIN_PRECISION * F.col("n")).select("h").collect()], dtype=np.int64).view(np.uint64))
+    lost = kinds.filter(F.col("t") < MIN_PRECISION * F.col("n")).select("h").collect()
+    shared.destroy()
+    return np.sort(np.array([r.h for r in lost], dtype=np.int64).view(np.uint64))
 
 
 def quote_places(data: np.ndarray) -> np.ndarray:
@@ -326,8 +328,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     return beta[:-1], float(beta[-1])
 
 
-def featured(rows: DataFrame, matcher: Matcher) -> DataFrame:
-    """The rows' label and features."""
+def featured(rows: DataFrame, matcher: Matcher) -> list:
+    """The rows' label and features, of a bounded number of rows."""
     shared = rows.sparkSession.sparkContext.broadcast(matcher)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +339,9 @@ def featured(rows: DataFrame, matcher: Matcher) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
         tb.trim()
 
-    return rows.select("label", "text").mapInArrow(compute, "label int, x array<double>")
+    out = rows.select("label", "text").mapInArrow(compute, "label int, x array<double>").collect()
+    shared.destroy()
+    return out
 
 
 def train(labelled: DataFrame) -> Model:
@@ -357,7 +361,7 @@ def train(labelled: DataFrame) -> Model:
         if row.t in (0, row.n) or not (words or stems):
             return Model(matcher, np.zeros(FEATURES), float("nan"), rate, words, stems)
         matcher.blocked = refuted(learning, matcher)
-        fitted = featured(sample.filter("pmod(__h, 3) = 0"), matcher).collect()
+        fitted = featured(sample.filter("pmod(__h, 3) = 0"), matcher)
     finally:
         sample.unpersist()
     if len({r.label for r in fitted}) < 2:
@@ -410,4 +414,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda: lambda data, offsets: scores(shared.value, data, offsets) < threshold)
+
+    def prepare() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        model = shared.value
+        return lambda data, offsets: scores(model, data, offsets) < threshold
+
+    return keep_rows(docs, prepare, shared)
