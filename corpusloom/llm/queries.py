@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, fingerprints, jaccard, langid, packing, secrets, substrings, toxicity, urlfilter, warc
+from corpusloom.llm import compaction, decontaminate, fingerprints, jaccard, langid, packing, secrets, substrings, toxicity, urlfilter, warc
 from corpusloom.llm.shared import load
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
+def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compacted(load(spark, sf_dir, "clicks"))
+
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity, "op11_compaction": op11_compaction}
 
 ORACLES: dict[str, str] = {"op4_urlfilter": urlfilter.ORACLE}
