@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import compaction, decontaminate, fingerprints, jaccard, langid, packing, secrets, substrings, toxicity, urlfilter, warc
+from corpusloom.llm import bpe, compaction, decontaminate, fingerprints, jaccard, langid, packing, secrets, substrings, toxicity, urlfilter, warc
 from corpusloom.llm.shared import load
 
 
@@ -62,6 +62,12 @@ def op11_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compacted(load(spark, sf_dir, "clicks"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity, "op11_compaction": op11_compaction}
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = bpe.decode(bpe.encode(load(spark, sf_dir, "documents")))
+    n_tokens = F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens")
+    return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity, "op11_compaction": op11_compaction, "op12_bpe": op12_bpe}
 
 ORACLES: dict[str, str] = {"op4_urlfilter": urlfilter.ORACLE}
