@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, compaction, decontaminate, fingerprints, jaccard, langid, packing, secrets, substrings, toxicity, urlfilter, warc
+from corpusloom.llm import bpe, compaction, decontaminate, fingerprints, jaccard, langid, packing, runs, secrets, substrings, toxicity, urlfilter, warc
 from corpusloom.llm.shared import load
 
 
@@ -68,6 +68,30 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity, "op11_compaction": op11_compaction, "op12_bpe": op12_bpe}
+#: The text of every tenth document, by its doc_id, becomes periodic from some word on.
+PERIODIC = """
+transform(array(filter(split(coalesce(text, ''), '[\\\\x09-\\\\x0D\\\\x20]+'), w -> w <> '')), ws -> array_join(transform(ws, (w, i) ->
+  CASE WHEN i < g % size(ws) THEN w
+  ELSE ws[CAST(g % size(ws) + (i - g % size(ws)) % (1 + (size(ws) - g % size(ws)) DIV (3 + g % 8)) AS INT)] END), ' '))[0]
+"""
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    numbered = docs.select("doc_id", "text", (h % 10 == 0).alias("chosen"), F.floor(h / 10).alias("g"))
+    return numbered.select("doc_id", F.when(F.col("chosen"), F.expr(PERIODIC)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(made_periodic(load(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.short")
+    exponent = F.expr("1000 * best.length DIV -best.short").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", (-F.col("best.back")).alias("start"), length.alias("length"), period.alias("period"), exponent, "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_warc": op2_warc, "op3_langid": op3_langid, "op4_urlfilter": op4_urlfilter, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_secrets": op7_secrets, "op8_fingerprints": op8_fingerprints, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity, "op11_compaction": op11_compaction, "op12_bpe": op12_bpe, "op13_runs": op13_runs}
 
 ORACLES: dict[str, str] = {"op4_urlfilter": urlfilter.ORACLE}
