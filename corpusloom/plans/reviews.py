@@ -79,7 +79,11 @@ BOUND = "(^|[^\\p{L}\\p{N}_])"
 def bounded(pattern: str) -> str:
     """A pattern whose word edges are told without the engine's own."""
     body = pattern.removeprefix("(?i)").removeprefix("\\b").removesuffix("\\b")
-    return f"(?i){BOUND}{body}($|[^\\p{{L}}\\p{{N}}_])"
+    after = "($|[^\\p{L}\\p{N}_])"
+    if "(%|" in body:  # the edge after a percent sign is a word character
+        head, _, tail = body.partition("(%|")
+        return f"(?i){BOUND}{head}(%[\\p{{L}}\\p{{N}}_]|({tail}{after})"
+    return f"(?i){BOUND}{body}{after}"
 
 
 ORACLES = {
