@@ -71,3 +71,27 @@ def caption_noise(c: Column) -> Column:
 def variables(c: Column) -> Column:
     """Greek letters and single Latin letters, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"[α-ω]|\b[a-zA-Z]\b"), F.lit(0))))
+
+
+# What begins a section's title, the operators of a display formula, and what no formula holds or begins with.
+SECTION_TITLE = r"(?i)^(\d+\.?\s+[A-Z]|[IVX]+\.?\s+[A-Z]|Abstract|Introduction|Methods|Results|Discussion|Conclusion|References)"
+STRONG_OPERATORS = "[=≈≤≥∫∑∏∝→∈]"
+ADDRESS = r"(?i)(https?://|www\.|doi:|arxiv:|github\.com|\.pdf)"
+CAPTION_START = r"(?i)^\s*(Figure|Fig|Table|Appendix|Algorithm|Listing)\b"
+
+
+def count_of(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def section_title(c: Column) -> Column:
+    """At most 100 characters that begin with a number, a Roman number or a usual heading."""
+    held = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return (F.length(held) <= 100) & held.rlike(SECTION_TITLE)
+
+
+def is_display_equation(c: Column) -> Column:
+    """8 to 300 characters with a strong operator and six words at most; no address, citation, caption or ``id=``, no closing bracket in front."""
+    held = F.regexp_replace(c, r"^\s+|\s+$", "")
+    odd = held.rlike(ADDRESS) | held.rlike(r"^\[\d+\]") | held.rlike(CAPTION_START) | F.lower(held).rlike("id ?=") | F.startswith(held, F.lit(")"))
+    return F.length(held).between(8, 300) & ~odd & held.rlike(STRONG_OPERATORS) & (count_of(held, r"\b[a-zA-Z]{2,}\b") <= 6)

@@ -225,20 +225,12 @@ def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-def range_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes on one page that meet: page by brand, sides by key, size and price; every pair once."""
-    box = load(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("x0"), (F.col("p_partkey") % 100 + F.col("p_size") % 5).alias("x1"), (F.col("p_size") * 10).alias("y0"), (F.col("p_size") * 10 + 15).alias("y1"))
-    other = box.select(*[F.col(n).alias("b_" + n) for n in box.columns])
-    met = box.join(other, (F.col("p_brand") == F.col("b_p_brand")) & (F.col("id") < F.col("b_id")) & (F.col("x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("x1")) & (F.col("y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("y1")))
-    return met.select("id", "b_id")
-
-
 QUERIES = {
     "sliding_chunks": sliding_chunks, "word_chunks": word_chunks, "paragraphs": paragraphs, "chunk_rank": chunk_rank, "keywords_per_chunk": keywords_per_chunk, "content_kinds": content_kinds,
     "table_structure": table_structure, "response_quality": response_quality, "number_grounding": number_grounding, "nearest_element": nearest_element, "unknown_refs": unknown_refs,
     "evidence_top": evidence_top, "signal_groups": signal_groups, "specific_counts": specific_counts, "key_figure_dedup": key_figure_dedup, "section_merge": section_merge,
     "pairwise_compare": pairwise_compare, "title_score": title_score, "context_window_turns": context_window, "chat_stats": chat_stats, "execution_plan": execution_plan, "quiz_grade": quiz_grade,
-    "ttl_cache": ttl_cache, "rolling_usage": rolling_usage, "carry_forward": carry_forward, "gaps_islands": gaps_islands, "range_join_bbox": range_join_bbox,
+    "ttl_cache": ttl_cache, "rolling_usage": rolling_usage, "carry_forward": carry_forward, "gaps_islands": gaps_islands,
 }
 
 WORDS_SQL = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
@@ -303,6 +295,4 @@ ORACLES = {
     "carry_forward": "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events",
     "gaps_islands": """WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM m) SELECT user_id, island, count(*) AS n, min(event_id) AS first_event FROM i GROUP BY ALL""",
-    "range_join_bbox": """WITH b AS (SELECT p_brand, p_partkey AS id, p_partkey % 100 AS x0, p_partkey % 100 + p_size % 5 AS x1, p_size * 10 AS y0, p_size * 10 + 15 AS y1 FROM part)
-        SELECT a.id, b.id AS b_id FROM b a JOIN b ON a.p_brand = b.p_brand AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics, answers, assembly, documents, graphs, questions, records, relational, relevance, reviews, search, streams, views
+from corpusloom.plans import analytics, answers, assembly, documents, graphs, layout, questions, records, relational, relevance, reviews, search, streams, views
 
-MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams, answers, questions, reviews, views, assembly]
+MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams, answers, questions, reviews, views, assembly, layout]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
