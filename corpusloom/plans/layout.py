@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import layout as lay
+from corpusloom.operators.suppression import suppressed
 from corpusloom.sources.tables import load
 
 WIDTH, HEIGHT = 552, 792
@@ -99,6 +100,20 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.filter(F.col("kind").isin("image", "heading")).select("page", "block", "kind", "image_no", "heading_no")
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, place, body, confidence): the lines of up to 300 characters, once by a reader that takes all and, with a digit or sign, once by a stricter one."""
+    lines = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.length("body") <= 300)
+    loose = lines.select("id", (F.col("line") * 2).alias("place"), "body", F.lit(0.7).alias("confidence"))
+    strict = lines.filter(F.col("body").rlike("[0-9%=|]")).select("id", (F.col("line") * 2 + 1).alias("place"), "body", F.lit(0.95).alias("confidence"))
+    return loose.unionByName(strict)
+
+
+def equation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that no surer or earlier kept one is like."""
+    kept = suppressed(candidates(spark, sf_dir), ["id"], "body", "confidence", "place")
+    return kept.select("id", "place", "confidence", F.md5("body").alias("body_md5"))
+
+
 def range_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes on one page that meet: page by brand, sides by key, size and price; every pair once."""
     x0, y0 = F.col("p_partkey") % 100, F.col("p_size") * 10
@@ -107,7 +122,7 @@ def range_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.filter("id < r_id").select("id", F.col("r_id").alias("b_id"))
 
 
-QUERIES = {"table_cells": table_cells, "table_markdown": table_markdown, "figure_crops": figure_crops, "crop_matches": crop_matches, "element_scan": element_scan, "page_numbers": page_numbers, "range_join_bbox": range_join_bbox}
+QUERIES = {"table_cells": table_cells, "table_markdown": table_markdown, "figure_crops": figure_crops, "crop_matches": crop_matches, "element_scan": element_scan, "page_numbers": page_numbers, "equation_dedup": equation_dedup, "range_join_bbox": range_join_bbox}
 
 SET_SQL = """tx AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l0 AS (SELECT id, unnest(ls) AS body, unnest(range(0, len(ls))) AS line FROM tx),
@@ -172,6 +187,12 @@ ORACLES = {
         SELECT doc, sheet, line, crop_sheet, crop_line FROM r WHERE k = 1""",
     "element_scan": f"WITH {SCAN_SQL}",
     "page_numbers": f"WITH {BLOCKS_SQL} SELECT page, block, kind, image_no, heading_no FROM (SELECT *, count(*) FILTER (kind = 'image') OVER o AS image_no, count(*) FILTER (kind = 'heading') OVER o AS heading_no FROM bl WINDOW o AS (ORDER BY page, block ROWS UNBOUNDED PRECEDING)) WHERE kind IN ('image', 'heading')",
+    "equation_dedup": """WITH RECURSIVE ln AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM documents),
+        c AS (SELECT id, CAST(line * 2 AS INTEGER) AS place, body, 0.7::DOUBLE AS confidence FROM ln WHERE length(body) <= 300 UNION ALL SELECT id, CAST(line * 2 + 1 AS INTEGER), body, 0.95 FROM ln WHERE length(body) <= 300 AND regexp_matches(body, '[0-9%=|]')),
+        n AS (SELECT *, regexp_replace(lower(body), '\\s+', '', 'g') AS norm, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, place) AS k FROM c),
+        g(id, k, keep, kept) AS (SELECT id, k, true, [norm] FROM n WHERE k = 1 UNION ALL SELECT id, k, keep, CASE WHEN keep THEN list_append(kept, norm) ELSE kept END FROM
+          (SELECT n.id, n.k, n.norm, g.kept, len(list_filter(g.kept, lambda s: s = n.norm OR (length(s) > 10 AND length(n.norm) > 10 AND len(list_filter(list_zip(string_split(s, ''), string_split(n.norm, '')), lambda p: p[1] = p[2])) / greatest(length(s), length(n.norm)) > 0.9))) = 0 AS keep FROM g JOIN n ON n.id = g.id AND n.k = g.k + 1))
+        SELECT n.id, n.place, n.confidence, md5(n.body) AS body_md5 FROM g JOIN n USING (id, k) WHERE keep""",
     "range_join_bbox": """WITH b AS (SELECT p_brand, p_partkey AS id, p_partkey % 100 AS x0, p_partkey % 100 + p_size % 5 AS x1, p_size * 10 AS y0, p_size * 10 + 15 AS y1 FROM part)
         SELECT a.id, b.id AS b_id FROM b a JOIN b ON a.p_brand = b.p_brand AND a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1""",
 }
