@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.folders import shared_folder
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            if context.master.partition("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
 
-            configured = tempfile.mkdtemp(prefix="corpusloom-")
-        context.setCheckpointDir(configured)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,12 +7,13 @@ rows it emitted, through a memory sink locally or a Parquet sink in the shared f
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.folders import new_folder
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the events in a Parquet file or folder."""
@@ -52,18 +53,24 @@ def with_users(events: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def drained(plan: DataFrame, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs the stream over what is there now and returns the rows it gave out."""
+    """Runs the stream over what is there now and returns the rows it gave out, from files in the shared folder.
+
+    In complete mode each batch writes the whole result to a folder of its own, and the last one is read.
+    """
     spark = plan.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = plan.writeStream.outputMode(mode).trigger(availableNow=True)
+    folder = new_folder(spark, "stream")
+    writer = plan.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}-state")
     if sink is not None:
         writer.foreachBatch(sink).start().awaitTermination()
         return spark.createDataFrame([], plan.schema)
-    if configured and mode == "append":
-        folder = f"{configured.rstrip('/')}/{name}"
-        writer.format("parquet").option("checkpointLocation", f"{folder}-state").start(folder).awaitTermination()
+    if mode == "append":
+        writer.format("parquet").start(folder).awaitTermination()
         return spark.read.schema(plan.schema).parquet(folder)
-    query = writer.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return spark.table(name)
+    last = []
+
+    def whole(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")  # a batch that runs again replaces itself
+        last[:] = [number]
+
+    writer.foreachBatch(whole).start().awaitTermination()
+    return spark.read.schema(plan.schema).parquet(f"{folder}/batch-{last[0]}") if last else spark.createDataFrame([], plan.schema)
