@@ -4,7 +4,7 @@ A rank file gives the bytes of each token; a pair of tokens may be merged when t
 together are a token, whose id is the pair's rank. Inside each Spark task the words
 (matches of the pre-token pattern) not met before go to one DuckDB query: its rows are a
 word's tokens by position, each with its right neighbour and what the two would merge
-to, and each step of a recursive query contracts the leftmost pair of the least rank in
+to (looked up in the merge table where one of them is new), and each step of a recursive query contracts the leftmost pair of the least rank in
 every word, until no word has a pair left. Decoding joins ids with the token bytes and
 puts them together in order of position.
 
@@ -23,6 +23,7 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +37,33 @@ LONG = 256
 #: Rows that a recursive query may make, about; tokens of one decoding query.
 QUERY_ROWS, DECODE_TOKENS = 1_000_000, 1 << 18
 #: What a task's memo may hold before it starts anew, and the longest unit that stays in it.
-MEMO_BYTES, MEMO_UNIT = 24 << 20, 96
+MEMO_BYTES, MEMO_UNIT = 96 << 20, 96
 #: What an entry of the memo takes besides its characters, about.
 ENTRY_BYTES = 200
 #: A blank inside a run of white space, not its last place before a word: there a text cannot be cut.
-UNCUT = re.compile(r"\s (?:\s|$)")
+UNCUT = re.compile(r" (?:(?=\s)(?<=\s )|$(?<=\s ))")
 
 CONTRACT = """
 WITH RECURSIVE state(step, w, p, l, r, merged) AS (
-  SELECT 0, s.w, s.p, s.l, s.r, m.id FROM start s LEFT JOIN merges m ON s.l = m.l AND s.r = m.r
+  SELECT 0, s.w, s.p, s.l, s.r, m.id FROM start s LEFT JOIN merges m ON s.l * 4294967296 + s.r = m.pair
   UNION ALL
-  SELECT n.step, n.w, n.p, n.l, n.r, m.id
+  SELECT n.step, n.w, n.p, n.l, n.r, CASE WHEN n.pair IS NULL THEN n.merged ELSE m.id END
   FROM (
-    SELECT s.step + 1 AS step, s.w, CASE WHEN s.p > h.p THEN s.p - 1 ELSE s.p END AS p,
-           CASE WHEN s.p = h.p + 1 THEN h.id ELSE s.l END AS l, CASE WHEN s.p = h.p - 1 THEN h.id ELSE s.r END AS r
+    SELECT s.step + 1 AS step, s.w, CASE WHEN s.p > h.p THEN s.p - 1 ELSE s.p END AS p, s.merged,
+           CASE WHEN s.p = h.p + 1 THEN h.id ELSE s.l END AS l, CASE WHEN s.p = h.p - 1 THEN h.id ELSE s.r END AS r,
+           CASE WHEN s.p = h.p + 1 THEN h.id * 4294967296 + s.r WHEN s.p = h.p - 1 THEN s.l * 4294967296 + h.id END AS pair
     FROM state s JOIN (
-      SELECT w, CAST(min(merged * 65536 + p) % 65536 AS INTEGER) AS p, CAST(min(merged * 65536 + p) // 65536 AS BIGINT) AS id
-      FROM state WHERE merged IS NOT NULL GROUP BY w
+      SELECT w, CAST(best & 65535 AS INTEGER) AS p, best >> 16 AS id
+      FROM (SELECT w, min(merged * 65536 + p) AS best FROM state WHERE merged IS NOT NULL GROUP BY w)
     ) h ON s.w = h.w
     WHERE s.p <> h.p
-  ) n LEFT JOIN merges m ON n.l = m.l AND n.r = m.r
+  ) n LEFT JOIN merges m ON n.pair = m.pair
 )
 SELECT s.w, s.l FROM state s JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) e ON s.w = e.w AND s.step = e.step
 ORDER BY s.w, s.p
 """
 
-DECODE = "SELECT d.doc, string_agg(v.chars, '' ORDER BY d.place) AS chars FROM tokens d JOIN vocabulary v ON d.id = v.id GROUP BY d.doc ORDER BY d.doc"
+DECODE = "SELECT d.doc, array_to_string(list(v.chars ORDER BY d.place), '') AS chars FROM tokens d JOIN vocabulary v ON d.id = v.id GROUP BY d.doc"
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -93,10 +95,10 @@ class Codec:
         self.known[list(self.ranks.values())] = True
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         splits = [(self.ranks[t[:i]], self.ranks[t[i:]], k) for t, k in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        left, right, merged = (pa.array(c, pa.int64()) for c in zip(*splits, strict=True)) if splits else (pa.array([], pa.int64()),) * 3
+        pairs = pa.array([a << 32 | b for a, b, _ in splits], pa.int64())
         self.merges = {(a, b): k for a, b, k in splits}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        self.load("merges", pa.table({"l": left, "r": right, "id": merged}))
+        self.load("merges", pa.table({"pair": pairs, "id": pa.array([k for _, _, k in splits], pa.int64())}))
         # a byte is the character of its number, so that text functions can put bytes together
         self.load("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "chars": [t.decode("latin-1") for t in self.ranks]}))
         self.clear()
@@ -162,11 +164,14 @@ class Codec:
         return np.array([t for t in token if t >= 0], dtype="<u4").tobytes()
 
     def encode_units(self, units: list[str]) -> list[bytes]:
-        """The ids of texts, each matched by the pattern and contracted word by word."""
-        matches = [[w.encode() for w in self.pattern.findall(u)] for u in units]
+        """The ids of texts, each matched by the pattern (letters alone are one match) and contracted word by word."""
+        find = self.pattern.findall
+        raw = [u.encode() for u in units]
+        matches = {i: [w.encode() for w in find(u)] for i, u in enumerate(units) if not (u[1:].isalpha() and (u[0] == " " or u[0].isalpha()))}
+        alone = [w for i, w in enumerate(raw) if i not in matches]
         ids: dict[bytes, bytes] = {}
         rest: list[bytes] = []
-        for w in dict.fromkeys(w for m in matches for w in m):
+        for w in dict.fromkeys(chain(alone, *matches.values())):
             if (k := self.ranks.get(w)) is not None:
                 ids[w] = k.to_bytes(4, "little")
             elif len(w) > LONG:
@@ -174,14 +179,15 @@ class Codec:
             else:
                 rest.append(w)
         ids.update(zip(rest, self.contract(rest), strict=True) if rest else ())
-        return [b"".join(map(ids.__getitem__, m)) for m in matches]
+        return [b"".join(map(ids.__getitem__, matches[i])) if i in matches else ids[w] for i, w in enumerate(raw)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Texts are cut before blanks where the pattern cuts them too, and units met before are known."""
         out: list[bytes | None] = [None] * len(texts)
         cut = {i: t.split(" ") for i, t in enumerate(texts) if not UNCUT.search(t)}
-        new_first = {p[0] for p in cut.values()} - self.first.keys()
-        new_later = {u for p in cut.values() for u in p[1:]} - self.later.keys()
+        starts = {i: p.pop(0) for i, p in cut.items()}
+        new_first = set(starts.values()) - self.first.keys()
+        new_later = set().union(*cut.values()) - self.later.keys()
         keys = [*new_first, *new_later]
         whole = [i for i in range(len(texts)) if i not in cut]
         found = self.encode_units([*new_first, *(f" {u}" for u in new_later), *(texts[i] for i in whole)])
@@ -191,8 +197,8 @@ class Codec:
         for i, ids in zip(whole, found[len(keys) :], strict=True):
             out[i] = ids
         for i, parts in cut.items():
-            out[i] = self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
-        self.held += sum(len(k) + len(v) + ENTRY_BYTES for k, v in zip(keys, found, strict=False))
+            out[i] = self.first[starts[i]] + b"".join(map(self.later.__getitem__, parts))
+        self.held += sum(map(len, keys)) + sum(map(len, found[: len(keys)])) + len(keys) * ENTRY_BYTES
         if self.held > MEMO_BYTES:
             self.clear()
         else:
