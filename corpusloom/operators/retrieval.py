@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import mathx
+from corpusloom.functions.automaton import term_hits
 from corpusloom.operators.bibliometrics import ranked_prefix
 
 K1 = 1.5
@@ -104,23 +105,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-#: Strings looked for in one pass over the documents.
-NEEDLES = 4096
-
-
 def held_terms(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k best (id, body) documents of each (query_id, words): a point for each word that the body holds, two for the first two side by side.
 
-    Every distinct word and pair is looked for once, in blocks of at most NEEDLES broadcast strings.
+    All distinct words and pairs are looked for in one pass over the documents.
     """
     pair = F.when(F.size("words") > 1, F.array_join(F.slice("words", 1, 2), " "))
     every = asked.select("query_id", F.explode(F.concat(F.transform("words", lambda w: F.struct(w.alias("needle"), F.lit(1).alias("points"))), F.when(pair.isNotNull(), F.array(F.struct(pair.alias("needle"), F.lit(2).alias("points")))).otherwise(F.array().cast("array<struct<needle:string,points:int>>")))).alias("s")).select("query_id", "s.*")
-    needles = every.select("needle").distinct()
-    blocks = max(1, -(-needles.count() // NEEDLES))
-    found = None
-    for i in range(blocks):
-        own = needles.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i).withColumnRenamed("needle", "held")
-        hits = docs.join(F.broadcast(own), F.contains("body", "held")).select("id", "held")
-        found = hits if found is None else found.unionByName(hits)
+    found = term_hits(docs, "id", "body", every).withColumnRenamed("needle", "held")
     scored = found.join(every, found.held == every.needle).groupBy("query_id", "id").agg(F.sum("points").cast("int").alias("score"), F.max(F.when(F.col("points") == 1, 1)).alias("any"))
     return ranked_prefix(scored.filter("any = 1").select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k)

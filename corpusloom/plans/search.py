@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text
 from corpusloom.operators import retrieval as r
+from corpusloom.operators.coverage import coverage
+from corpusloom.plans.works import DOCS_SQL, works_docs
 from corpusloom.sources.tables import load
 
 
@@ -82,7 +84,18 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_queries"), F.round(F.avg("hit"), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-QUERIES = {"bm25_topk": bm25_topk, "tfidf_cosine_topk": tfidf_topk, "minmax_pool": minmax_pool, "rrf_fuse": rrf_fuse, "multi_query_rrf": multi_query_rrf,
+def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the titles of the ten best documents of each benchmark item cover its words: the first two side by side must be found, those of six letters or more should."""
+    titles = works_docs(spark, sf_dir).select("id", "title", "source")
+    retrieved = bm25_topk(spark, sf_dir).join(titles, "id").select(F.col("query_id").alias("topic"), "rank", "title", "source")
+    words = F.split(F.lower("text"), r"\s+")
+    items = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic"), words.alias("words"))
+    must = items.select("topic", F.lit("must").alias("tier"), F.array_join(F.slice("words", 1, 2), " ").alias("keyword"))
+    should = items.select("topic", F.lit("should").alias("tier"), F.explode(F.array_distinct(F.filter("words", lambda w: F.length(w) >= 6))).alias("keyword"))
+    return coverage(retrieved, must.unionByName(should))
+
+
+QUERIES = {"keyword_recall": keyword_recall, "bm25_topk": bm25_topk, "tfidf_cosine_topk": tfidf_topk, "minmax_pool": minmax_pool, "rrf_fuse": rrf_fuse, "multi_query_rrf": multi_query_rrf,
            "hybrid_blend": hybrid_blend, "vector_topk": vector_topk, "recall_mrr": recall_mrr}
 
 TERMS = """
@@ -124,6 +137,13 @@ ORACLES = {
           CASE WHEN max(c) OVER w - min(c) OVER w < 1e-9 THEN 0.5 ELSE (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-9) END AS y FROM p WINDOW w AS (PARTITION BY query_id)),
         f AS (SELECT query_id, id, round(0.55 * x + 0.45 * y, 5) AS score FROM m)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 5""",
+    "keyword_recall": f"""{ONE}, {DOCS_SQL}, re AS (SELECT query_id AS topic, rank, title, source FROM bk JOIN docs USING (id)), it AS (SELECT item_id AS topic, regexp_split_to_array(lower(text), '\\s+') AS ws FROM benchmark),
+        kw AS (SELECT topic, 'must' AS tier, array_to_string(ws[1:2], ' ') AS keyword FROM it UNION ALL SELECT topic, 'should', unnest(list_distinct(list_filter(ws, lambda w: length(w) >= 6))) FROM it),
+        fi AS (SELECT kw.topic, tier, keyword, min(rank) AS first FROM kw LEFT JOIN re ON re.topic = kw.topic AND contains(trim(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' '), trim(regexp_replace(lower(keyword), '[^a-z0-9 ]', '', 'g'), ' ')) GROUP BY ALL),
+        by_topic AS (SELECT topic, {', '.join(f"count(*) FILTER (tier = '{t}') AS {t}_n, count(first) FILTER (tier = '{t}') AS {t}_found, coalesce(sum(1.0 / first) FILTER (tier = '{t}'), 0) AS {t}_rr" for t in ('must', 'should'))} FROM fi GROUP BY topic),
+        si AS (SELECT topic, count(*) AS n_retrieved FROM re GROUP BY topic), so AS (SELECT topic, count(DISTINCT trim(s, ' ')) AS n_sources FROM (SELECT topic, unnest(string_split(source, ',')) AS s FROM re) WHERE trim(s, ' ') <> '' GROUP BY topic)
+        SELECT topic, coalesce(n_retrieved, 0) AS n_retrieved, coalesce(n_sources, 0) AS n_sources, {', '.join(f"{t}_n, {t}_found, round(coalesce(100.0 * {t}_found / nullif({t}_n, 0), 100.0), 1) AS {t}_recall, round(coalesce({t}_rr / nullif({t}_n, 0), 0.0), 3) AS {t}_mrr" for t in ('must', 'should'))},
+          round(coalesce(100.0 * (must_found + should_found) / nullif(must_n + should_n, 0), 100.0), 1) AS total_recall FROM by_topic LEFT JOIN si USING (topic) LEFT JOIN so USING (topic)""",
     "vector_topk": f"WITH {VEC} SELECT query_id, id, score, rank FROM vk",
     "recall_mrr": f"""WITH {VEC}, j AS (SELECT query_id, max(CAST(label = query_label AS INT)) AS hit, min(CASE WHEN label = query_label THEN rank END) AS first FROM vk WHERE id <> query_id GROUP BY query_id)
         SELECT count(*) AS n_queries, round(avg(hit), 6) AS recall, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM j""",
