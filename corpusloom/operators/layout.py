@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import cleaning
-from corpusloom.operators.resolution import checkpointed
+from corpusloom.operators.scans import numbered
 
 #: Points between two rows of words, between two columns, and the grid of the spatial join.
 ROW_GAP, COLUMN_GAP, CELL = 8, 4.0, 128
@@ -156,28 +156,6 @@ def crop_matches(figures: DataFrame, crops: DataFrame) -> DataFrame:
     return asked.join(same, ["page", "numbers"], "left").join(first, "page", "left").select("id", F.coalesce("same", "first").alias("crop_id"))
 
 
-def numbered(rows: DataFrame, within: str, order: list[str], counters: dict[str, Column]) -> DataFrame:
-    """Running numbers in order: for each counter, how many rows of the same ``within`` up to and with this one meet its condition.
-
-    Rows are dealt by ranges of (within, order), so that a value with many rows is split, and counted by range. A value
-    that reaches over several ranges adds what its earlier ranges counted; there are fewer of those than ranges, so the
-    sums are broadcast. Conditions that are null do not count; the order has to be a total one.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flagged = rows.withColumns({f"is_{k}": F.coalesce(c, F.lit(False)).cast("long") for k, c in counters.items()})
-    # a checkpoint, so that ranges stay what they were counted as
-    dealt = checkpointed(flagged.repartitionByRange(parts, within, *order).withColumn("range", F.spark_partition_id()))
-    own = Window.partitionBy("range", within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = dealt.withColumns({k: F.sum(f"is_{k}").over(own) for k in counters})
-    sums = dealt.groupBy(within, "range").agg(*[F.sum(f"is_{k}").alias(f"n_{k}") for k in counters])
-    spread = sums.groupBy(within).agg(F.collect_list(F.struct("range", *[f"n_{k}" for k in counters])).alias("sums")).filter(F.size("sums") > 1)
-    spread = spread.withColumnRenamed(within, "wide")
-    joined = counted.join(F.broadcast(spread), F.col(within).eqNullSafe(F.col("wide")), "left")
-    zero = F.lit(0).cast("long")
-    before = lambda k: F.coalesce(F.aggregate(F.filter("sums", lambda s: s["range"] < F.col("range")), zero, lambda a, s: a + s[f"n_{k}"]), zero)
-    return joined.withColumns({k: F.col(k) + before(k) for k in counters}).drop("sums", "wide", "range", *[f"is_{k}" for k in counters])
-
-
 #: What begins a figure's caption, the helper blocks of an equation, and what is none by itself.
 FIGURE_CAPTION = r"(?i)^\s*(Figure|Fig\.)\s*\d+"
 HELPER = r"^([NXYij\s]+$|[∑∏∫]+$|pθ\([^)]*\)$|pη\([^)]*\)$)"

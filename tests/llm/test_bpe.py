@@ -67,7 +67,7 @@ def test_memo_is_bounded_and_changes_nothing(own, library, monkeypatch):
     for k in range(30):
         text = " ".join(f"w{k}x{i}" for i in range(20)) + " " + "z" * 150
         assert listed(own.encode([text])[0]) == library.encode_ordinary(text)
-        assert own.held <= 4000 + 21 * 300 and "z" * 150 not in own.later
+        assert own.held <= 4000 + 42 * 300 and "z" * 150 not in own.later
 
 
 def test_unknown_ids_are_refused(own):
