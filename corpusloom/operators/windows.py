@@ -35,6 +35,7 @@ aggregate(
 KEPT = """aggregate(reverse(s.open), named_struct('open', CAST(array() AS ARRAY<INT>), 'n', 0, 'full', false),
   (k, i) -> CASE WHEN k.full OR (k.n + sizes[i] > {overlap} AND size(k.open) > 0) THEN named_struct('open', k.open, 'n', k.n, 'full', true)
             ELSE named_struct('open', concat(array(i), k.open), 'n', k.n + sizes[i], 'full', false) END)"""
+NONE_KEPT = "named_struct('open', CAST(array() AS ARRAY<INT>), 'n', 0)"
 
 
 def word_count(c_: Column) -> Column:
@@ -71,7 +72,7 @@ def sections(paged: DataFrame) -> DataFrame:
 def custom(docs: DataFrame, target: int = 900, overlap: int = 150, drop_references: bool = True) -> DataFrame:
     """(id, chunk_no, chunk_id, chunk): windows of about ``target`` words of whole paragraphs of one section of one page.
 
-    A window begins with the last paragraphs of the one before that have ``overlap`` words together, one at least. A paragraph of more than one and a half
+    A window begins with the last paragraphs of the one before that have ``overlap`` words together, one at least (none if there is no overlap). A paragraph of more than one and a half
     windows is cut into windows of words. Chunks are numbered from 1 through the document, and their id names page and section.
     """
     parts = sections(pages(docs))
@@ -79,7 +80,8 @@ def custom(docs: DataFrame, target: int = 900, overlap: int = 150, drop_referenc
         parts = parts.filter(F.lower(F.trim("title")) != "references")
     paras = F.filter(F.transform(F.split("body", r"\n\s*\n+"), stripped), lambda p: p != "")
     sized = parts.select("id", "page_no", "page", "section_no", "title", paras.alias("paras")).withColumn("sizes", F.transform("paras", word_count))
-    fold = FOLD.format(target=target, kept=KEPT.format(overlap=overlap))
+    kept = KEPT.format(overlap=overlap) if overlap > 0 else NONE_KEPT
+    fold = FOLD.format(target=target, kept=kept)
     windows = sized.select("id", "page_no", "page", "section_no", "title", "paras", F.posexplode(F.expr(fold)).alias("k", "members"))
     own = F.filter(F.split(F.get("paras", -1 - F.col("members")[0]), r"\s+"), lambda w: w != "")
     step = max(1, target - overlap)

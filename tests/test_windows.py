@@ -16,8 +16,8 @@ def plain_windows(paras, target, overlap):
             continue
         if now and sum(map(count, now)) + count(p) > target:
             chunks.append("\n\n".join(now))
-            kept = now[-1:]
-            for q in reversed(now[:-1]):
+            kept = now[-1:] if overlap > 0 else []
+            for q in reversed(now[:-1] if overlap > 0 else []):
                 if sum(map(count, kept)) + count(q) > overlap:
                     break
                 kept.insert(0, q)
@@ -62,8 +62,6 @@ def test_custom_windows(spark):
     rows = [(k, t) for k, t in enumerate(texts(random.Random(5)))] + [(1000, None), (1001, ""), (1002, "one")]
     docs = spark.createDataFrame(rows, "id int, text string").repartition(4)
     for target, overlap, drop in ((10, 4, True), (6, 0, False)):
-        if overlap == 0:
-            continue
         got = {}
         for r in sorted(w.custom(docs, target, overlap, drop).collect(), key=lambda r: (r.id, r.chunk_no)):
             got.setdefault(r.id, []).append((r.chunk_id, r.chunk))
