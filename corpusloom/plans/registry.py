@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import analytics, answers, assembly, documents, graphs, layout, levels, questions, records, relational, relevance, reviews, search, streams, views, windows
+from corpusloom.plans import analytics, answers, assembly, documents, extraction, graphs, layout, levels, questions, records, relational, relevance, reviews, search, streams, views, windows
 
-MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams, answers, questions, reviews, views, assembly, layout, levels, windows]
+MODULES = [analytics, search, records, graphs, documents, relational, relevance, streams, answers, questions, reviews, views, assembly, layout, levels, windows, extraction]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
