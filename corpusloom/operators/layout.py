@@ -93,14 +93,14 @@ def table_markdown(cells: DataFrame, key: list[str]) -> DataFrame:
 
 
 def box_pairs(left: DataFrame, right: DataFrame, key: list[str], cell: int = CELL) -> DataFrame:
-    """Pairs of boxes of one key whose insides meet, each once.
+    """Pairs of boxes of one key that meet, each once: on both axes each begins before the other ends.
 
     Both sides have the key, ``id``, ``x0``, ``y0``, ``x1`` and ``y1``; the right one's come out with the prefix ``r_``. Boxes are
     dealt to all cells of a grid that they touch and meet there; a pair is told by the cell of its overlap's upper left
-    corner alone. Boxes without an inside meet nothing.
+    corner alone. A line within a box meets it, one on its edge does not; a box that ends before it begins meets nothing.
     """
     def dealt(boxes: DataFrame, prefix: str) -> DataFrame:
-        named = boxes.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))).select(*key, *[F.col(c).alias(prefix + c) for c in boxes.columns if c not in key])
+        named = boxes.filter((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).select(*key, *[F.col(c).alias(prefix + c) for c in boxes.columns if c not in key])
         along = lambda a: F.sequence(F.floor(F.col(f"{prefix}{a}0") / cell), F.floor(F.col(f"{prefix}{a}1") / cell))
         return named.withColumn("gx", F.explode(along("x"))).withColumn("gy", F.explode(along("y")))
 
