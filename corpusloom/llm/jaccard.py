@@ -63,8 +63,8 @@ ROW_CELLS = 512
 #: Bits of a piece of the bitmap that finds wanted rows, and most bits in it (16 MB).
 PIECE = 1 << 16
 MOST_BITS = 1 << 27
-#: Open pairs of a block above which its whole product is made.
-FEW_PAIRS = 20_000
+#: Open pairs of a block above which its whole product is made, and pairs that are looked at together.
+FEW_PAIRS, RUN = 20_000, 1 << 19
 
 MEMBER = np.ones(256, dtype=bool)
 MEMBER[[32, 9, 10, 11, 12, 13]] = False
@@ -401,23 +401,20 @@ def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFram
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in grouped(batches):
-            p, q = open_pairs(block, threshold)
-            if not len(p):
-                continue
             held = [np.frombuffer(v, "<u4" if n > 65535 else "<u2") for v, n in zip(block.values, block.n.tolist(), strict=True)]
             cells = min(map(len, held))
             table = np.stack([h.reshape(-1, cells).sum(axis=0, dtype=np.int64) for h in held])
-            links = []
             step = max(1, (1 << 21) // cells)
-            for i in range(0, len(p), step):
-                a, b = p[i : i + step], q[i : i + step]
-                ok = (100 + threshold) * np.minimum(table[a], table[b]).sum(axis=1) >= threshold * (block.n[a] + block.n[b])
-                if ok.any():
-                    links.append((a[ok], b[ok]))
-            if links:
-                p, q = (np.concatenate(x) for x in zip(*links, strict=True))
-                label = clusters(len(block.ids), p, q)
-                own = np.flatnonzero(np.bincount(np.concatenate([p, q]), minlength=len(label)))
+            label = np.arange(len(block.ids))
+            for p, q in open_pairs(block, threshold):
+                for i in range(0, len(p), step):
+                    a, b = p[i : i + step], q[i : i + step]
+                    ok = (100 + threshold) * np.minimum(table[a], table[b]).sum(axis=1) >= threshold * (block.n[a] + block.n[b])
+                    if ok.any():
+                        label = clusters(label, a[ok], b[ok])
+            joined = np.flatnonzero(label != np.arange(len(label)))
+            if len(joined):
+                own = np.flatnonzero(np.bincount(np.concatenate([joined, label[joined]]), minlength=len(label)))
                 order = own[np.lexsort([block.ids[own], label[own]])]
                 first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
                 # a cluster is named by its members, so that columns with the same give it once
@@ -431,9 +428,11 @@ def screened(columns: DataFrame, classes: DataFrame, threshold: int) -> DataFram
     return found.distinct()
 
 
-def clusters(rows: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The least row that each row is joined to by the pairs."""
-    label = np.arange(rows)
+def clusters(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least row that each row is joined to by the pairs, from such labels by earlier ones."""
+    label = label.copy()
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    p, q = np.concatenate([p, joined]), np.concatenate([q, label[joined]])
     while True:
         before = label.copy()
         np.minimum.at(label, p, label[q])
@@ -509,44 +508,63 @@ def links_batch(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
 
 
-def open_pairs(block: Block, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of different components, of sizes within the threshold, at least one in the block's lower size range and, in a block of two tiles, of different tiles."""
+def open_pairs(block: Block, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of different components, of sizes within the threshold, at least one in the block's lower size range and, in a block of two tiles, of different tiles.
+
+    They come in runs of about RUN pairs, so that a block's pairs are never held together.
+    """
     low = size_range(block.n, threshold) == block.key[1]
     rows = np.argsort(block.n, kind="stable")
     size = block.n[rows]
     # of a row's later partners only those near in size are looked at
     last = np.searchsorted(size, 100 * size // threshold, "right")
     count = np.maximum(0, last - np.arange(len(rows)) - 1)
-    p = np.repeat(np.arange(len(rows)), count)
-    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
-    p, q = rows[p], rows[q]
-    ok = (block.component[p] != block.component[q]) & (low[p] | low[q])
-    if block.key[2] != block.key[3]:
-        ok &= block.second[p] != block.second[q]
-    return p[ok], q[ok]
+    ends = np.cumsum(count)
+    begin = 0
+    while begin < len(rows):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - count[begin] + RUN, "right")))
+        own = count[begin:end]
+        p = np.repeat(np.arange(begin, end), own)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(own) - own, own)
+        p, q = rows[p], rows[q]
+        ok = (block.component[p] != block.component[q]) & (low[p] | low[q])
+        if block.key[2] != block.key[3]:
+            ok &= block.second[p] != block.second[q]
+        if ok.any():
+            yield p[ok], q[ok]
+        begin = end
 
 
 def block_links(blocks: list[Block], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """The links between components in the blocks, thinned to a spanning forest of them."""
     ids, component, n = (np.concatenate([getattr(b, k) for b in blocks]) for k in ("ids", "component", "n"))
     keys = [k for b in blocks for k in b.values]
-    pairs, first = [], 0
-    for b in blocks:
-        p, q = open_pairs(b, threshold)
-        pairs.append((p + first, q + first))
-        first += len(b.ids)
-    p, q = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
-    if not len(p):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(blocks) > 1:
+        pairs, first = [], 0
+        for b in blocks:
+            pairs += [(p + first, q + first) for p, q in open_pairs(b, threshold)]
+            first += len(b.ids)
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        p, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
         _, once = np.unique(np.column_stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]), axis=0, return_index=True)
-        p, q = p[once], q[once]
-    if len(p) <= FEW_PAIRS or len(blocks) > 1:
-        overlap = pair_overlaps(keys, n, p, q)
+        runs = iter([(p[once], q[once])])
     else:
-        overlap = block_overlaps(keys, n)[p, q].astype(np.int64)
-    link = 100 * overlap >= threshold * (n[p] + n[q] - overlap)
-    return forest(ids, component, p[link], q[link])
+        runs = open_pairs(blocks[0], threshold)
+    whole = None
+    kept_p = kept_q = np.zeros(0, np.int64)
+    for p, q in runs:
+        if whole is None and (len(blocks) > 1 or len(p) <= FEW_PAIRS):
+            overlap = pair_overlaps(keys, n, p, q)
+        else:
+            whole = block_overlaps(keys, n) if whole is None else whole
+            overlap = whole[p, q].astype(np.int64)
+        link = 100 * overlap >= threshold * (n[p] + n[q] - overlap)
+        if link.any():
+            p, q = np.concatenate([kept_p, p[link]]), np.concatenate([kept_q, q[link]])
+            tree = forest(component, p, q)
+            kept_p, kept_q = p[tree], q[tree]
+    return ids[kept_p], ids[kept_q]
 
 
 def pair_overlaps(keys: list[np.ndarray], n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -587,7 +605,8 @@ def block_overlaps(keys: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         mine = (number[code] >= at) & (number[code] < at + 1024)
         dense = np.zeros((rows, min(1024, len(frequent) - at)), dtype=np.float32)
         dense[row[mine], number[code[mine]] - at] = 1
-        out += dense @ dense.T
+        for i in range(0, rows, 512):
+            out[i : i + 512] += dense[i : i + 512] @ dense.T
     rare = (number[code] < 0) & (times[code] > 1)
     order = np.argsort(code[rare], kind="stable")
     held, kind = row[rare][order], code[rare][order]
@@ -597,7 +616,7 @@ def block_overlaps(keys: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         bounds = np.concatenate([[0], np.cumsum(count)])
         at = 0
         while at < len(held):
-            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 22), "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 20), "right")) - 1)
             own = count[at:end]
             partner = held[np.repeat(begin[at:end], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
             np.add.at(out.reshape(-1), np.repeat(held[at:end], own) * rows + partner, 1)
@@ -605,10 +624,8 @@ def block_overlaps(keys: list[np.ndarray], n: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(ids: np.ndarray, component: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links (rows p and q) those that join components not yet joined."""
-    if not len(p):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def forest(component: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Which of the links (rows p and q) join components not yet joined."""
     kinds, place = np.unique(component, return_inverse=True)
     place = place.reshape(-1)
     low, high = np.minimum(place[p], place[q]), np.maximum(place[p], place[q])
@@ -627,7 +644,7 @@ def forest(ids: np.ndarray, component: np.ndarray, p: np.ndarray, q: np.ndarray)
         if a != b:
             top[b] = a
             kept.append(k)
-    return ids[p[kept]], ids[q[kept]]
+    return kept
 
 
 def row_groups(docs: DataFrame, size: int, threshold: int) -> DataFrame:

@@ -17,8 +17,8 @@ import numpy as np
 
 from corpusloom.llm import textbytes as tb
 
-#: Units held by a worker before the memo starts anew.
-MEMO_UNITS = 1_000_000
+#: Units, and ids of units, held by a worker before the memo starts anew; a slice may add what it has.
+MEMO_UNITS, MEMO_IDS = 1_000_000, 4_000_000
 #: Bytes of new units that are encoded as one string, about.
 JOINED = 1 << 15
 #: ASCII white space other than blank and newline, and the bytes that begin any wider one.
@@ -159,7 +159,7 @@ class UnitTokenizer:
 
     def _places(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The memo slot of each unit, after encoding those not met before."""
-        if len(self.hashes) > MEMO_UNITS:
+        if len(self.hashes) > MEMO_UNITS or len(self.ids) > MEMO_IDS:
             self.clear()
         kinds, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         spot = np.searchsorted(self.hashes, kinds)

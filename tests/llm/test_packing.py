@@ -62,3 +62,15 @@ def test_pack_round_trip(spark):
     parts = sorted((r.piece, r.length, r.start) for r in out if r.doc_id == 102)
     assert all(n == packing.CAPACITY for p, n, _ in parts if p) and parts[0][1] <= packing.CAPACITY
     assert packing.pack(packing.pieces(docs.limit(0))).count() == 0
+
+
+def test_memo_is_bounded_by_its_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_IDS", 2000)
+    encoder = tokens.UnitTokenizer(packing.tokenizer_path())
+    draw = random.Random(4)
+    for _ in range(20):
+        text = "".join(chr(draw.randint(0x4E00, 0x9000)) for _ in range(700))  # no blanks: a unit of its own
+        data, offsets = np.frombuffer(text.encode(), dtype=np.uint8), np.array([0, len(text.encode())])
+        ids, _ = encoder.encode(data, offsets)
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.ids) <= 2000 + len(ids)
