@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,7 @@ from corpusloom.operators.bibliometrics import has_any
 # What each failed check leaves of the confidence, and the decision levels (confidence, issues).
 MULTIPLIERS = {"references": 0.8, "types": 0.7, "grounding": 0.6, "completeness": 0.9, "repetition": 0.95, "relevance": 0.4}
 LEVELS = {"strict": (0.95, 0), "moderate": (0.80, 2), "lenient": (0.60, 5)}
-# Patterns of questions with two parts, the first match wins.
+# Patterns of questions with parts, in order; the first match wins. {a} and {b} are the pattern's groups, {q} the question.
 COMPARATIVE = (
     (r"compare\s+(.+?)\s+(?:and|with|to)\s+(.+?)(?:\s|$)", "comparison"),
     (r"difference\s+(?:between\s+)?(.+?)\s+and\s+(.+?)(?:\s|$)", "difference"),
@@ -22,7 +23,25 @@ COMPARATIVE = (
     (r"(.+?)\s+vs\.?\s+(.+?)(?:\s|$)", "versus"),
     (r"how\s+(?:does|do)\s+(.+?)\s+(?:differ|compare)\s+(?:from|to|with)\s+(.+?)(?:\s|$)", "comparison"),
 )
-SEQUENTIAL = ((r"(.+?),\s*then\s+(.+)", "sequential"), (r"(.+?)\s+and\s+also\s+(.+)", "additive"), (r"(.+?)\s+as\s+well\s+as\s+(.+)", "additive"))
+SEQUENTIAL = (
+    (r"(.+?),\s*then\s+(.+)", "sequential"), (r"first\s+(.+?),\s*(?:then|and then|next)\s+(.+)", "sequential"),
+    (r"(.+?)\s+and\s+also\s+(.+)", "additive"), (r"(.+?)\s+as\s+well\s+as\s+(.+)", "additive"),
+)
+COMPARE_STEPS = (("What is {a}?", "retrieval", 1, ""), ("What is {b}?", "retrieval", 1, ""), ("Compare {a} and {b}", "synthesis", 2, "0,1"))
+SEQUENCE_STEPS = (("{a}", "retrieval", 1, ""), ("{b}", "retrieval", 2, "0"))
+REFERENCE = (
+    (r"(?:table|tbl)\s+(\d+)\s+and\s+(?:equation|eq)\s+(\d+)", "table_equation",
+     (("Show table {a}", "table_retrieval", 1, ""), ("Show equation {b}", "equation_retrieval", 1, ""), ("Relate the results from table {a} to equation {b}", "synthesis", 2, "0,1"))),
+    (r"(?:figure|fig)\s+(\d+)\s+and\s+(?:table|tbl)\s+(\d+)", "figure_table",
+     (("Show figure {a}", "figure_retrieval", 1, ""), ("Show table {b}", "table_retrieval", 1, ""), ("How do figure {a} and table {b} relate?", "synthesis", 2, "0,1"))),
+    (r"(?:equation|eq)\s+(\d+)\s+and\s+(?:equation|eq)\s+(\d+)", "equation_equation",
+     (("Show equation {a}", "equation_retrieval", 1, ""), ("Show equation {b}", "equation_retrieval", 1, ""), ("What is the relationship between equation {a} and equation {b}?", "synthesis", 2, "0,1"))),
+    (r"results?\s+(?:of|from)\s+(?:table|tbl)\s+(\d+)", "table_results", (("Show table {a} with all details", "table_retrieval", 1, ""),)),
+    (r"(?:using|based on)\s+(?:equation|eq)\s+(\d+)", "equation_based", (("Show equation {a}", "equation_retrieval", 1, ""), ("{q}", "synthesis", 2, "0"))),
+)
+SIMPLE_STEPS = (("{q}", "simple", 1, ""),)
+#: (pattern, type, steps) of all of them.
+PARTED = tuple((p, t, COMPARE_STEPS) for p, t in COMPARATIVE) + REFERENCE + tuple((p, t, SEQUENCE_STEPS) for p, t in SEQUENTIAL)
 
 
 def relevance(query: Column, context: Column) -> Column:
@@ -49,22 +68,49 @@ def repeated(c: Column) -> Column:
     return F.size(long) > F.size(F.array_distinct(long))
 
 
+def filled(template: str, parts: dict[str, Column]) -> Column:
+    """A template with columns for its names in braces."""
+    pieces = [x for x in re.split(r"(\{\w\})", template) if x]
+    return F.concat(*[parts[x[1]] if re.fullmatch(r"\{\w\}", x) else F.lit(x) for x in pieces])
+
+
 def decomposed(rows: DataFrame, key: str, query: str) -> DataFrame:
-    """(key, step, sub_query, kind, priority, depends): a query's sub-queries; a simple one is itself."""
+    """(key, type, step, sub_query, kind, priority, depends): a question's sub-questions, by the first pattern that it holds; a simple one is itself."""
     low = F.lower(F.trim(query))
-    empty = F.lit(None).cast("struct<kind:string,a:string,b:string>")
-    rules = [(p, k, "cmp") for p, k in COMPARATIVE] + [(p, k, "seq") for p, k in SEQUENTIAL]
-    found = empty
-    for pattern, kind, family in reversed(rules):
-        found = F.when(low.rlike(pattern), F.struct(F.lit(f"{family}:{kind}").alias("kind"), F.trim(F.regexp_extract(low, pattern, 1)).alias("a"), F.trim(F.regexp_extract(low, pattern, 2)).alias("b"))).otherwise(found)
-    marked = rows.select(key, F.col(query).alias("__query"), found.alias("m"))
-    step = lambda q, k, p, d: F.struct(q.alias("sub_query"), F.lit(k).alias("kind"), F.lit(p).alias("priority"), F.lit(d).alias("depends"))
-    compare = F.array(step(F.concat(F.lit("What is "), "m.a", F.lit("?")), "retrieval", 1, ""), step(F.concat(F.lit("What is "), "m.b", F.lit("?")), "retrieval", 1, ""),
-                      step(F.concat(F.lit("Compare "), "m.a", F.lit(" and "), "m.b"), "synthesis", 2, "0,1"))
-    chain = F.array(step(F.col("m.a"), "retrieval", 1, ""), step(F.col("m.b"), "retrieval", 2, "0"))
-    simple = F.array(step(F.col("__query"), "simple", 1, ""))
-    steps = F.when(F.col("m").isNull(), simple).when(F.startswith("m.kind", F.lit("cmp")), compare).otherwise(chain)
-    return marked.select(key, F.posexplode(steps).alias("step", "s")).select(key, "step", "s.sub_query", "s.kind", "s.priority", "s.depends")
+    chosen = F.lit(None).cast("int")
+    for i, (pattern, _, _) in reversed(list(enumerate(PARTED))):
+        chosen = F.when(low.rlike(pattern), i).otherwise(chosen)
+    marked = rows.select(key, F.col(query).alias("__q"), low.alias("__low"), chosen.alias("__rule"))
+    steps = lambda made, parts: F.array(*[F.struct(filled(t, parts).alias("sub_query"), F.lit(k).alias("kind"), F.lit(p).alias("priority"), F.lit(d).alias("depends")) for t, k, p, d in made])
+    out, kind = steps(SIMPLE_STEPS, {"q": F.col("__q")}), F.lit("simple")
+    for i, (pattern, name, made) in enumerate(PARTED):
+        group = lambda g, pattern=pattern: F.trim(F.regexp_extract("__low", pattern, g))
+        parts = {"q": F.col("__q"), "a": group(1), **({"b": group(2)} if "{b}" in str(made) else {})}
+        out, kind = F.when(F.col("__rule") == i, steps(made, parts)).otherwise(out), F.when(F.col("__rule") == i, name).otherwise(kind)
+    return marked.select(key, kind.alias("type"), F.posexplode(out).alias("step", "s")).select(key, "type", "step", "s.sub_query", "s.kind", "s.priority", "s.depends")
+
+
+#: Types of questions whose answers are fused.
+FUSED = ("comparison", "difference", "relation", "synthesis")
+
+
+def uses_fusion(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*FUSED), F.lit(False))
+
+
+def execution_batches(steps: DataFrame, key: str) -> DataFrame:
+    """(key, step, batch): by priority and then step, a step runs if all it depends on has run before; the batches are the priorities that something runs in, from 0.
+
+    A step that depends on a missing one, itself or a later one has no batch.
+    """
+    deps = F.transform(F.filter(F.split("depends", ","), lambda d: d != ""), lambda d: d.cast("int"))
+    lists = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("priority", "step", deps.alias("deps")))).alias("steps"))
+    none = F.array().cast("array<struct<priority:int,step:int>>")
+    ran = F.aggregate("steps", none, lambda done, s: F.when(F.forall(s["deps"], lambda d: F.exists(done, lambda x: x["step"] == d)), F.concat(done, F.array(F.struct(s["priority"].alias("priority"), s["step"].alias("step"))))).otherwise(done))
+    placed = lists.select(key, F.explode("steps.step").alias("step"), ran.alias("ran"))
+    own = F.filter("ran", lambda x: x["step"] == F.col("step"))
+    batch = F.array_position(F.array_distinct("ran.priority"), F.get(own, F.lit(0))["priority"]) - 1
+    return placed.select(key, "step", batch.cast("int").alias("batch"))
 
 
 def capped_confidence(stated: Column, generic: Column, specific: Column) -> Column:
@@ -77,8 +123,6 @@ def capped_confidence(stated: Column, generic: Column, specific: Column) -> Colu
 
 def enforced(raw: Column, vocabulary: tuple[str, ...], fallback: str) -> Column:
     """The vocabulary's entry: exact without case, else the first with most shared words of three letters, two at least."""
-    import re
-
     low = F.lower(text.collapse_space(raw))
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\b\w{3,}\b"), F.lit(0)))
     scores = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in sorted(set(re.findall(r"\b\w{3,}\b", v.lower())))]))) for v in vocabulary]

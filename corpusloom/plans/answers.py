@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ def validate_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_texts(spark, sf_dir)
-    asked = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("compare alpha and beta "), "query")).when(F.col("query_id") % 3 == 1, F.concat(F.lit("load it, then "), "query")).otherwise(F.lit("plain question"))
-    return a.decomposed(rows.withColumn("q", asked), "query_id", "q")
+    """The sub-questions of every question and the batch that each can run in."""
+    steps = a.decomposed(query_texts(spark, sf_dir), "query_id", "query")
+    return steps.join(a.execution_batches(steps, "query_id"), ["query_id", "step"])
 
 
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,13 @@ QUERIES = {"validate_response": validate_response, "decomposition": decompositio
            "source_spread": source_spread, "verdicts": verdicts, "page_fallback": page_fallback}
 
 
+def steps_sql(made: tuple, pattern: str) -> str:
+    """A list of steps with the pattern's groups in place of the names in braces."""
+    parts = {"q": "query", "a": f"trim(regexp_extract(low, '{pattern}', 1), ' ')", "b": f"trim(regexp_extract(low, '{pattern}', 2), ' ')"}
+    text = lambda t: " || ".join(parts[x[1]] if re.fullmatch(r"\{\w\}", x) else f"'{x}'" for x in re.split(r"(\{\w\})", t) if x)
+    return "[" + ", ".join(f"{{'sub_query': {text(t)}, 'kind': '{k}', 'priority': {p}, 'depends': '{d}'}}" for t, k, p, d in made) + "]"
+
+
 def _oracles() -> dict[str, str]:
     from corpusloom.plans.search import ONE
 
@@ -100,13 +109,10 @@ def _oracles() -> dict[str, str]:
             r AS (SELECT conv_id, turn, round(CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: contains(low, x))) / len(ws) ELSE 0.0 END, 6) AS relevance, len(list_filter(na, lambda x: NOT list_contains(nq, x))) > 3 AS g, length(trim(answer, ' ')) < 50 AS c FROM w),
             s AS (SELECT *, round((CASE WHEN g THEN 0.6 ELSE 1.0 END) * (CASE WHEN c THEN 0.9 ELSE 1.0 END) * (CASE WHEN relevance < 0.45 THEN 0.4 ELSE 1.0 END), 6) AS conf, CAST(g AS INT) + CAST(c AS INT) + CAST(relevance < 0.45 AS INT) AS issues FROM r)
             SELECT conv_id, turn, relevance, conf AS confidence, issues, {level('strict')}, {level('moderate')}, {level('lenient')} FROM s""",
-        "decomposition": f"""WITH {QUERY_SQL}, z AS (SELECT query_id, lower(query) AS low FROM qs) SELECT query_id, unnest([0, 1, 2]) AS step, unnest(['What is alpha?', 'What is beta?', 'Compare alpha and beta']) AS sub_query, unnest(['retrieval', 'retrieval', 'synthesis']) AS kind,
-              unnest([1, 1, 2]) AS priority, unnest(['', '', '0,1']) AS depends FROM z WHERE query_id % 3 = 0
-            UNION ALL SELECT query_id, unnest([0, 1]), unnest(['load it', trim(split_part(low, chr(10), 1), ' ')]), unnest(['retrieval', 'retrieval']), unnest([1, 2]), unnest(['', '0']) FROM z WHERE query_id % 3 = 1 AND NOT contains(low, 'compare ')
-            UNION ALL SELECT query_id, unnest([0, 1, 2]), unnest(['What is ' || regexp_extract('load it, then ' || low, 'compare\\s+(.+?)\\s+(?:and|with|to)\\s+(.+?)(?:\\s|$)', 1) || '?', 'What is ' || regexp_extract('load it, then ' || low, 'compare\\s+(.+?)\\s+(?:and|with|to)\\s+(.+?)(?:\\s|$)', 2) || '?',
-              'Compare ' || regexp_extract('load it, then ' || low, 'compare\\s+(.+?)\\s+(?:and|with|to)\\s+(.+?)(?:\\s|$)', 1) || ' and ' || regexp_extract('load it, then ' || low, 'compare\\s+(.+?)\\s+(?:and|with|to)\\s+(.+?)(?:\\s|$)', 2)]),
-              unnest(['retrieval', 'retrieval', 'synthesis']), unnest([1, 1, 2]), unnest(['', '', '0,1']) FROM z WHERE query_id % 3 = 1 AND contains(low, 'compare ')
-            UNION ALL SELECT query_id, 0, 'plain question', 'simple', 1, '' FROM z WHERE query_id % 3 = 2""",
+        "decomposition": f"""WITH {QUERY_SQL}, l AS (SELECT query_id, query, trim(lower(query), ' ') AS low FROM qs), m AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(low, '{p}') THEN {i}" for i, (p, _, _) in enumerate(a.PARTED))} END AS rule FROM l),
+            s AS (SELECT query_id, CASE {' '.join(f"WHEN rule = {i} THEN '{t}'" for i, (_, t, _) in enumerate(a.PARTED))} ELSE 'simple' END AS type, CASE {' '.join(f"WHEN rule = {i} THEN {steps_sql(made, p)}" for i, (p, _, made) in enumerate(a.PARTED))} ELSE {steps_sql(a.SIMPLE_STEPS, '')} END AS ss FROM m),
+            e AS (SELECT query_id, type, unnest(ss) AS s, CAST(unnest(range(0, len(ss))) AS INTEGER) AS step FROM s)
+            SELECT query_id, type, step, s.sub_query, s.kind, s.priority, s.depends, CASE WHEN s.depends = '' THEN 0 ELSE 1 END AS batch FROM e""",
         "lexical_search": f"""{ONE}, s AS (SELECT query_id, id, round(score + CASE WHEN id % 4 = 2 THEN 0.15 ELSE 0 END + 0.05 + CASE WHEN id % 10 = query_id % 10 THEN 0.25 ELSE 0 END + CASE WHEN id % 4 <> 0 THEN 0.02 ELSE 0 END, 6) AS score FROM bm)
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""",
         "context_blocks": f"""WITH {TURNS_SQL}, n AS (SELECT conv_id, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM turns)

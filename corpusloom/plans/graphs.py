@@ -89,11 +89,18 @@ def seed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts that share the query's id, reranked; the six best of each query."""
+    """Contexts that share two words side by side with a query, reranked; those with a comma count as facts. The six best of each query."""
     queries = query_texts(spark, sf_dir)
     items = load(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("context"))
-    pairs = queries.join(items, queries.query_id % 10 == items.item_id % 10)
-    scored = pairs.select("query_id", "item_id", F.round(g.overlap_rerank(F.col("query"), F.col("context"), F.lit(0.0), F.col("item_id") % 2 == 0), 6).alias("score"))
+
+    def side_by_side(rows: DataFrame, key: str, body: str) -> DataFrame:
+        words = F.filter(F.split(F.lower(body), r"\s+"), lambda w: w != "")
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return rows.select(key, F.explode(F.array_distinct(pairs)).alias("pair")).filter("pair is not null")
+
+    met = side_by_side(queries, "query_id", "query").join(side_by_side(items, "item_id", "context"), "pair").select("query_id", "item_id").distinct()
+    pairs = met.join(queries, "query_id").join(items, "item_id")
+    scored = pairs.select("query_id", "item_id", F.round(g.overlap_rerank(F.col("query"), F.col("context"), F.lit(0.0), F.contains("context", F.lit(","))), 6).alias("score"))
     from corpusloom.operators.bibliometrics import ranked_prefix
 
     return ranked_prefix(scored, ["query_id"], [F.desc("score"), F.col("item_id")], 6)
@@ -118,9 +125,9 @@ ORACLES = {
           list_filter(regexp_extract_all(query, '\\b[a-zA-Z][a-zA-Z0-9\\-]{{3,}}\\b'), lambda w: lower(w) NOT IN ({', '.join(repr(x) for x in g.SEED_STOP)}))) AS ws FROM qs),
         e AS (SELECT query_id, unnest(ws) AS seed, unnest(range(0, len(ws))) AS p FROM l), f AS (SELECT query_id, min_by(seed, p) AS seed, min(p) AS p FROM e GROUP BY query_id, lower(seed)),
         n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS INT) AS pos, seed FROM f) SELECT query_id, pos, seed FROM n WHERE pos < 12""",
-    "jaccard_bigram_rerank": f"""WITH {QUERY_SQL}, t AS (SELECT query_id, {SPACE.format(c='query')} AS q FROM qs), i AS (SELECT item_id, {SPACE.format(c='text')} AS c FROM benchmark),
-        b AS (SELECT *, list_distinct(list_transform(range(1, len(q)), lambda k: q[k] || ' ' || q[k + 1])) AS qb, list_distinct(list_transform(range(1, len(c)), lambda k: c[k] || ' ' || c[k + 1])) AS cb FROM t JOIN i ON query_id % 10 = item_id % 10),
+    "jaccard_bigram_rerank": f"""WITH {QUERY_SQL}, t AS (SELECT query_id, {SPACE.format(c='query')} AS q FROM qs), i AS (SELECT item_id, contains(text, ',') AS fact, {SPACE.format(c='text')} AS c FROM benchmark),
+        b AS (SELECT *, list_distinct(list_transform(range(1, len(q)), lambda k: q[k] || ' ' || q[k + 1])) AS qb, list_distinct(list_transform(range(1, len(c)), lambda k: c[k] || ' ' || c[k + 1])) AS cb FROM t, i),
         s AS (SELECT query_id, item_id, round(0.6 * len(list_intersect(list_distinct(q), list_distinct(c))) / greatest(len(list_distinct(list_concat(q, c))), 1)
-          + 0.4 * (CASE WHEN len(q) > 1 THEN len(list_intersect(qb, cb)) / greatest(len(list_distinct(list_concat(qb, cb))), 1) ELSE 0 END) + CASE WHEN item_id % 2 = 0 THEN 0.05 ELSE 0 END, 6) AS score FROM b)
+          + 0.4 * (CASE WHEN len(q) > 1 THEN len(list_intersect(qb, cb)) / greatest(len(list_distinct(list_concat(qb, cb))), 1) ELSE 0 END) + CASE WHEN fact THEN 0.05 ELSE 0 END, 6) AS score FROM b WHERE len(list_intersect(qb, cb)) > 0)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 6""",
 }

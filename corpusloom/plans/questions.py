@@ -88,9 +88,9 @@ def citation_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document by the strict equation test; the size of their beginnings with commands for letters, and how many lines are one half twice."""
+    """Lines of every document by the strict equation test; their size as the side of a formula with commands for letters, and how many lines are one half twice."""
     lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    shaped = lines.select("doc_id", "line", F.concat(F.substring("line", 1, 24), F.lit(" = α + β")).alias("e"))
+    shaped = lines.select("doc_id", "line", F.concat("line", F.lit(" = α + β")).alias("e"))
     return shaped.groupBy("doc_id").agg(F.count_if(a.strict_equation(F.col("line"))).alias("n_strict"), F.count_if(a.strict_equation(F.col("e"))).alias("n_shaped"), F.sum(F.length(a.to_commands(F.col("e")))).alias("size"),
                                         F.count_if(a.collapsed_double(F.col("line")) != F.col("line")).alias("n_halved"))
 
@@ -201,7 +201,7 @@ ORACLES = {
     "citation_strings": """WITH k AS (SELECT p_brand, p_size, CASE WHEN contains(upper(p_type), 'BRASS') THEN 'Table' WHEN contains(upper(p_type), 'STEEL') THEN 'Figure' WHEN contains(upper(p_type), 'TIN') THEN 'Equation' END AS kind FROM part),
         c AS (SELECT p_brand, CASE WHEN kind IS NOT NULL THEN concat('(Source: ', kind, ' ', p_size, ')') WHEN p_size < 40 THEN concat('(Source: Page ', p_size, ')') END AS c FROM k)
         SELECT p_brand, string_agg(DISTINCT c, '; ' ORDER BY c) AS citations, count(*) AS n FROM c WHERE c IS NOT NULL GROUP BY p_brand""",
-    "equation_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT *, substr(line, 1, 24) || ' = α + β' AS e FROM l)
+    "equation_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT *, line || ' = α + β' AS e FROM l)
         SELECT doc_id, count(*) FILTER ({strict_sql('line')}) AS n_strict, count(*) FILTER ({strict_sql('e')}) AS n_shaped, CAST(sum(length(CASE WHEN contains(e, chr(92)) THEN e ELSE trim({COMMANDS}, ' ') END)) AS BIGINT) AS size,
           count(*) FILTER (length(line) >= 2 AND length(line) % 2 = 0 AND substr(line, 1, length(line) // 2) = substr(line, length(line) // 2 + 1)) AS n_halved FROM s GROUP BY doc_id""",
 }
