@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import latex
 from corpusloom.operators import layout as lay
 from corpusloom.operators.suppression import suppressed
 from corpusloom.sources.tables import load
@@ -114,6 +115,13 @@ def equation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("id", "place", "confidence", F.md5("body").alias("body_md5"))
 
 
+def document_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between double dollar signs in each document, made fit for display, with its brackets balanced."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = latex.formulas(docs).filter("block")
+    return found.select("id", "k", F.md5("latex").alias("latex_md5"), F.md5(latex.for_display(F.col("latex"))).alias("display_md5"), F.md5(latex.balanced(F.col("latex"))).alias("balanced_md5"))
+
+
 def range_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes on one page that meet: page by brand, sides by key, size and price; every pair once."""
     x0, y0 = F.col("p_partkey") % 100, F.col("p_size") * 10
@@ -122,7 +130,7 @@ def range_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.filter("id < r_id").select("id", F.col("r_id").alias("b_id"))
 
 
-QUERIES = {"table_cells": table_cells, "table_markdown": table_markdown, "figure_crops": figure_crops, "crop_matches": crop_matches, "element_scan": element_scan, "page_numbers": page_numbers, "equation_dedup": equation_dedup, "range_join_bbox": range_join_bbox}
+QUERIES = {"table_cells": table_cells, "table_markdown": table_markdown, "figure_crops": figure_crops, "crop_matches": crop_matches, "element_scan": element_scan, "page_numbers": page_numbers, "equation_dedup": equation_dedup, "document_formulas": document_formulas, "range_join_bbox": range_join_bbox}
 
 SET_SQL = """tx AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l0 AS (SELECT id, unnest(ls) AS body, unnest(range(0, len(ls))) AS line FROM tx),
@@ -174,7 +182,22 @@ SELECT fi.doc, fi.page, fi.block, fi.element, CASE WHEN fi.element = 'table' THE
 FROM fi LEFT JOIN nu h ON h.doc = fi.doc AND h.element = 'section' AND h.section_no = fi.s"""
 DIGITS_SQL = "array_to_string(list_sort(list_distinct(regexp_extract_all(caption, '\\d+'))), ',')"
 
+def display_sql(c: str) -> str:
+    for pattern, new in latex.DISPLAY:
+        c = f"regexp_replace({c}, '{pattern}', '{new}', 'g')".replace("\x00\x01", "\\x00\\x01")
+    return f"trim({c}, ' ')"
+
+
+def balanced_sql(c: str, left: str, right: str, cut: bool) -> str:
+    lacking = f"((length({c}) - length(replace({c}, '{left}', ''))) - (length({c}) - length(replace({c}, '{right}', ''))))"
+    fewer = f"substr({c}, 1, length({c}) - least(-{lacking}, length(regexp_extract({c}, '(\\{right}*)$', 1))))" if cut else c
+    return f"CASE WHEN {lacking} < 0 THEN {fewer} ELSE {c} || repeat('{right}', {lacking}) END"
+
+
 ORACLES = {
+    "document_formulas": f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, '{latex.BLOCK}', 1) AS ls FROM documents), f AS (SELECT id, unnest(ls) AS raw, CAST(unnest(range(0, len(ls))) AS INTEGER) AS k FROM d), s AS (SELECT id, k, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS x FROM f),
+        a AS (SELECT *, {balanced_sql('x', '{', '}', True)} AS y FROM s WHERE length(x) > 2), b AS (SELECT *, {balanced_sql('y', '(', ')', True)} AS z FROM a)
+        SELECT id, k, md5(x) AS latex_md5, md5({display_sql('x')}) AS display_md5, md5({balanced_sql('z', '[', ']', False)}) AS balanced_md5 FROM b""",
     "table_cells": f"WITH {CELLS_SQL} SELECT * FROM cells",
     "table_markdown": f"""WITH {CELLS_SQL}, n AS (SELECT id, page, max(col) AS n FROM cells GROUP BY ALL), wd AS (SELECT id, page, col, greatest(max(length(cell)), 3) AS w FROM cells GROUP BY ALL),
         grid AS (SELECT n.id, n.page, r.row, c.col FROM n JOIN (SELECT DISTINCT id, page, row FROM cells) r USING (id, page), LATERAL (SELECT unnest(range(0, n + 1)) AS col) c),
