@@ -109,7 +109,20 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, compression:
         own.drop("__class").mapInArrow(render, "value string").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
-HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
+#: A header line with its continuations.
+HEADER = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*([^\r\n]*(?:\r\n[ \t][^\r\n]*)*)\r\n")
+
+
+def header_at(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
+    """The header fields from ``at`` on and where the block after them begins; None if a line comes first that is neither header nor blank.
+
+    The next magic is such a line, so that no line is looked at for more than one magic and hostile payloads cost no more than others.
+    """
+    fields: dict[bytes, bytes] = {}
+    while (m := HEADER.match(data, at)) is not None:
+        fields[m[1].lower()] = m[2]
+        at = m.end()
+    return (fields, at + 2) if data[at : at + 2] == b"\r\n" else None
 
 
 def candidates(data: bytes) -> list[tuple[int, int, dict[bytes, bytes], int]]:
@@ -117,12 +130,10 @@ def candidates(data: bytes) -> list[tuple[int, int, dict[bytes, bytes], int]]:
     out = []
     at = data.find(MAGIC)
     while at >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end >= 0:
-            fields = {k.lower(): v for k, v in HEADER.findall(data, at + len(MAGIC), end + 2)}
-            length = fields.get(b"content-length", b"")
+        if (header := header_at(data, at + len(MAGIC))) is not None:
+            fields, body = header
+            length = fields.get(b"content-length", b"").strip()
             if length.isdigit():
-                body = end + 4
                 after = body + int(length) + len(END)
                 if after <= len(data) and data[after - 4 : after] == b"\r\n\r\n":
                     out.append((at, after, fields, body))

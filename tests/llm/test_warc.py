@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from corpusloom.llm import warc
@@ -43,3 +45,30 @@ def test_chain_crosses_blocks(spark, monkeypatch):
     back = warc.round_trip(spark.createDataFrame(rows, SCHEMA).coalesce(1))
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back.collect()]
     assert sorted(got, key=str) == expected(rows)
+
+
+@pytest.mark.parametrize("bait", [b"WARC/1.0\r\nA: b\r\n", b"WARC/1.0\r\n", b"A: b\r\n", b"WARC/1.0\r\nContent-Length: 9999999999\r\n\r\n", b"WARC/1.0\r\nContent-Length: 7\r\n"])
+def test_hostile_payloads_cost_no_more_than_others(bait):
+    payload = (bait * (10_000_000 // len(bait))).decode()
+    data = (warc.record(1, "u", payload, warc.digest(payload.encode()), None) + warc.END + warc.record(2, "u", "x", warc.digest(b"x"), None) + warc.END).encode()
+    began = time.process_time()
+    found = warc.candidates(data)
+    assert time.process_time() - began < 5
+    first = next(c for c in found if c[0] == 0)
+    assert data[first[3] : first[1] - 4] == payload.encode()
+    second = next(c for c in found if c[0] == first[1])
+    assert second[1] == len(data)
+
+
+def test_hostile_payloads_round_trip(spark):
+    rows = [(k, "u", bait * 3000, None) for k, bait in enumerate(["WARC/1.0\r\nA: b\r\n", "WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n", "WARC/1.0\r\nA:\r\n folded\r\n"])]
+    back = warc.round_trip(spark.createDataFrame(rows, SCHEMA))
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back.collect()]
+    assert sorted(got, key=str) == expected(rows)
+
+
+def test_foreign_headers():
+    block = b"WARC/1.0\r\nWARC-Type: response\r\nX_odd.1:v\r\nLong: a\r\n  b\r\nContent-Length: 3 \r\n\r\nabc\r\n\r\n"
+    ((place, after, fields, body),) = warc.candidates(block)
+    assert (place, after, block[body : after - 4], fields[b"long"], fields[b"x_odd.1"]) == (0, len(block), b"abc", b"a\r\n  b", b"v")
+    assert warc.candidates(block.replace(b"Long: a", b"no header")) == []
