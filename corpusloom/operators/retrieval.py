@@ -45,22 +45,25 @@ def bm25(terms: DataFrame, query_terms: DataFrame, key: str = "id") -> DataFrame
     return scored.join(query_terms, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score"))
 
 
-def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id") -> DataFrame:
+def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id", pool: DataFrame | None = None) -> DataFrame:
     """query_id, key, score: cosine of tf-idf vectors with idf = ln((N+1)/(df+1)) + 1.
 
     A document's length divides its weights and its norm alike, so counts serve for both. The terms meet their idf
-    in one shuffle; norms and products are sums over that.
+    in one shuffle; norms and products are sums over that. With a ``pool`` of (query_id, key) pairs only those are
+    scored: document frequencies are of all documents, but only terms of documents in the pool are weighted.
     """
     n = terms.select(key).distinct().agg(F.count("*").alias("N"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
-    weighted = terms.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    wanted = terms if pool is None else terms.join(pool.select(key).distinct(), key, "left_semi")
+    weighted = wanted.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = query_terms.withColumn("ql", F.sum("qf").over(Window.partitionBy("query_id")))
     unseen = n.select((F.log(F.col("N") + 1) + 1).alias("idf0"))
     qw = asked.join(idf, "term", "left").crossJoin(F.broadcast(unseen)).select("query_id", "term", (F.col("qf") / F.col("ql") * F.coalesce("idf", "idf0")).alias("qw"))
     qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weighted.join(qw, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("d"))
+    met = weighted.join(qw, "term") if pool is None else weighted.join(pool.select("query_id", key).distinct(), key).join(qw, ["query_id", "term"])
+    dots = met.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("d"))
     return dots.join(norms, key).join(qnorm, "query_id").select("query_id", key, F.round(mathx.clamp(F.col("d") / (F.col("norm") * F.col("qnorm")), 0.0, 1.0), 6).alias("score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text
 from corpusloom.operators import retrieval as r
 from corpusloom.operators.coverage import coverage
+from corpusloom.operators.resolution import checkpointed
 from corpusloom.plans.works import DOCS_SQL, works_docs
 from corpusloom.sources.tables import load
 
@@ -56,8 +57,9 @@ def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.55 of scaled BM25 and 0.45 of scaled tf-idf over the BM25 pool."""
-    pool = r.min_max(bm25_topk(spark, sf_dir), "score", "lexical").select("query_id", "id", "lexical")
-    cosine = r.tfidf_cosine(doc_terms(spark, sf_dir), query_terms(spark, sf_dir))
+    # ten rows a query, read three times
+    pool = checkpointed(r.min_max(bm25_topk(spark, sf_dir), "score", "lexical").select("query_id", "id", "lexical"))
+    cosine = r.tfidf_cosine(doc_terms(spark, sf_dir), query_terms(spark, sf_dir), pool=pool)
     both = r.min_max(pool.join(cosine, ["query_id", "id"], "left").na.fill(0.0, ["score"]), "score", "semantic")
     return r.topk(both.select("query_id", "id", F.round(0.55 * F.col("lexical") + 0.45 * F.col("semantic"), 5).alias("score")), 5)
 
