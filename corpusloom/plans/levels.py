@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import expansion as x
+from corpusloom.operators.bibliometrics import ranked_prefix
 from corpusloom.operators.fallback import Times, answer_levels
+from corpusloom.operators.landmarks import landmarks
 from corpusloom.operators.scans import asof
 from corpusloom.sources.tables import load, load_events
 
@@ -47,10 +49,27 @@ def similar_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "rank", F.md5("expansion").alias("expansion_md5"), "value")
 
 
-QUERIES = {"fallback_levels": fallback_levels, "asof_changes": asof_changes, "similar_successes": similar_successes}
+def topic_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curated documents of each question's first word: by the first words of titles, the five longest documents of each."""
+    docs = load(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("place"), F.split("text", "\n")[0].alias("title"), F.length("text").alias("size"))
+    first = lambda c: F.lower(F.trim(F.split(c, " ")[0]))
+    keyed = docs.select("place", "title", "size", first("title").alias("key")).filter("key <> ''")
+    records = ranked_prefix(keyed, ["key"], [F.desc("size"), F.col("place")], 5).select("key", "place", "title", F.round(F.length("title") / 1000, 6).alias("score"))
+    turns = load(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("topic_id"), F.split("text", " ")[0].alias("topic"))
+    found = landmarks(turns, records)
+    return found.select("topic_id", "id", F.md5("title").alias("title_md5"), "citations")
+
+
+QUERIES = {"topic_landmarks": topic_landmarks, "fallback_levels": fallback_levels, "asof_changes": asof_changes, "similar_successes": similar_successes}
 
 _UNTIL = "tm + CAST(round(least(greatest(value * 10, {0}), {1}) * 1000000) AS BIGINT)"
 ORACLES = {
+    "topic_landmarks": """WITH d AS (SELECT doc_id AS place, string_split(text, chr(10))[1] AS title, length(text) AS size FROM documents WHERE text IS NOT NULL), k AS (SELECT *, lower(trim(string_split(title, ' ')[1], ' ')) AS key FROM d),
+        r AS (SELECT key, place, title, round(length(title) / 1000, 6) AS score FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY size DESC, place) <= 5), ks AS (SELECT key, min(place) AS place FROM r GROUP BY key),
+        t AS (SELECT conv_id * 100 + turn AS topic_id, lower(trim(coalesce(string_split(text, ' ')[1], ''), ' ')) AS name FROM conversations WHERE role = 'user'), n AS (SELECT DISTINCT name FROM t),
+        b AS (SELECT name, first(key ORDER BY CAST(key <> name AS INT), place) AS key FROM n JOIN ks ON contains(key, name) OR contains(name, key) GROUP BY name),
+        l AS (SELECT topic_id, t.name, title, score, row_number() OVER (PARTITION BY topic_id ORDER BY place) AS i FROM t JOIN b ON t.name = b.name JOIN r ON r.key = b.key)
+        SELECT topic_id, 'local-' || replace(name, ' ', '-') || '-' || i AS id, md5(title) AS title_md5, CAST(floor(2000 * score + 1000) AS BIGINT) AS citations FROM l""",
     "fallback_levels": f"""WITH e AS (SELECT event_id, user_id AS key, epoch_us(ts) AS tm, event_type AS t, value FROM events),
         r AS (SELECT event_id, key, tm, event_id * 2 AS place, t, NULL::BIGINT AS mem, NULL::BIGINT AS disk_at, NULL::INT AS version, NULL::BIGINT AS fail, NULL::BIGINT AS pause FROM e WHERE t IN ('view', 'click')
           UNION ALL SELECT NULL, key, tm, event_id * 2, t, tm, NULL, NULL, NULL, NULL FROM e WHERE t = 'signup'

@@ -5,6 +5,7 @@ import re
 
 from corpusloom.functions.automaton import term_hits
 from corpusloom.operators.coverage import coverage, keyword_ranks
+from corpusloom.operators.landmarks import landmarks, topic_keys
 
 
 def test_term_hits(spark):
@@ -51,3 +52,24 @@ def test_coverage(spark):
     for topic, row in want.items():
         assert {c: got[topic][c] for c in row} == row
     assert keyword_ranks(r, k).count() == len(keywords)
+
+
+def test_landmarks(spark):
+    records = [("graph neural networks", 1, "GCN", 1.2), ("transformers", 2, "Attention", 1.5), ("graph", 3, "Graphs", None), ("transformers", 4, "BERT", 1.0)]
+    topics = [(1, " Transformers "), (2, "vision transformers today"), (3, "neural"), (4, "graph"), (5, "cooking"), (6, None), (7, "graph neural networks at scale")]
+    r = spark.createDataFrame(records, "key string, place int, title string, score double")
+    t = spark.createDataFrame(topics, "topic_id int, topic string")
+    places: dict = {}
+    for key, place, _, _ in records:
+        places.setdefault(key, place)
+    want = {}
+    for k, topic in topics:
+        name = (topic or "").lower().strip()
+        key = name if name in places else next((x for x in places if name in x or x in name), None)
+        if key is not None:
+            want[k] = (name, key)
+    keys = r.groupBy("key").agg({"place": "min"}).withColumnRenamed("min(place)", "place")
+    assert {x.topic_id: (x.name, x.key) for x in topic_keys(t, keys).collect()} == want
+    got = sorted((x.topic_id, x.id, x.title, x.citations) for x in landmarks(t, r).collect())
+    assert [g for g in got if g[0] == 1] == [(1, "local-transformers-1", "Attention", 4000), (1, "local-transformers-2", "BERT", 3000)]
+    assert [g[3] for g in got if g[0] == 4] == [3000]
