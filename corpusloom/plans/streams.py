@@ -71,7 +71,7 @@ def paged(spark: SparkSession, sf_dir: str) -> str:
 
 
 def cursor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record that the cursors lead to, with the page it came on, read by a stream in batches of four pages."""
+    """Every record that the cursors lead to, with the page it came on, read by a stream in batches of four pages at first."""
     spark.dataSource.register(CursorSource)
     stream = spark.readStream.format("cursor_records").option("client", "corpusloom.sources.cursor.FolderClient").option("location", paged(spark, sf_dir)).option("per_page", 50).option("batch_pages", 4).load()
     folder = new_folder(spark, "stream")

@@ -1,8 +1,9 @@
 """A stream over a provider that gives its records page by page behind cursors.
 
 The offset is the cursor itself, so a query that starts again from its checkpoint asks
-for the next page and none twice. To find the end of a batch the driver follows cursors only;
-each page of the batch is a partition that a task fetches. A client class named by the option ``client``
+for the next page and none twice. To find the end of a batch the driver follows cursors only, each once;
+the pages of the batch are dealt in runs to partitions that tasks fetch. While pages are left a batch has twice as many as
+the one before, up to a bound, so that a long backlog takes few batches. A client class named by the option ``client``
 talks to the provider: ``Client(options).next_cursor(cursor)`` gives the cursor after a page (None after the last) and
 ``records(cursor)`` its records; both must give the same for the same cursor.
 """
@@ -17,15 +18,19 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SCHEMA = "id long, title string, cursor string, page long"
 FIRST = "*"
+#: Pages that a batch grows to, and runs of pages that one is dealt in.
+MOST_PAGES, MOST_RUNS = 8192, 64
 
 
-class CursorPage(InputPartition):
-    def __init__(self, cursor: str, page: int) -> None:
-        self.cursor, self.page = cursor, page
+class CursorPages(InputPartition):
+    """A run of (cursor, page)."""
+
+    def __init__(self, pages: list[tuple[str, int]]) -> None:
+        self.pages = pages
 
 
 class CursorReader(DataSourceStreamReader):
-    """Options: ``client``; ``max_records`` and ``per_page`` bound how many pages are asked for in all, ``batch_pages`` how many in a batch."""
+    """Options: ``client``; ``max_records`` and ``per_page`` bound how many pages are asked for in all, ``batch_pages`` how many in the first batch."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
@@ -34,6 +39,7 @@ class CursorReader(DataSourceStreamReader):
         limit = int(options.get("max_records", 0))
         self.most = -(-limit // per_page) if limit else None
         self.at: dict | None = None
+        self.walked: list[dict] = []
 
     def client(self):
         module, _, name = self.options["client"].rpartition(".")
@@ -51,24 +57,27 @@ class CursorReader(DataSourceStreamReader):
             yield at
 
     def latestOffset(self) -> dict:
-        """The offset ``batch_pages`` pages after the last one given out. A new reader begins at the first and goes on past what a checkpoint has."""
+        """The offset a batch after the last one given out; the next batch is twice as large. A new reader begins at the first and goes on past what a checkpoint has."""
         last = self.at or self.initialOffset()
-        for last in self.walk(last, self.batch):
-            pass
-        self.at = last
-        return last
-
-    def partitions(self, start: dict, end: dict) -> list[CursorPage]:
-        out, at = [], start
-        for after in self.walk(start, max(0, end["page"] - start["page"])):
-            out.append(CursorPage(at["cursor"], at["page"]))
-            at = after
-        self.at = max(self.at or at, at, key=lambda o: o["page"])
-        return out
-
-    def read(self, partition: CursorPage) -> Iterator[tuple]:
-        for r in self.client().records(partition.cursor):
-            yield (r["id"], r.get("title"), partition.cursor, partition.page)
+        self.walked = [last, *self.walk(last, self.batch)]
+        if len(self.walked) > self.batch:
+            self.batch = max(self.batch, min(2 * self.batch, MOST_PAGES))
+        self.at = self.walked[-1]
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[CursorPages]:
+        n = max(0, end["page"] - start["page"])
+        steps = self.walked if n and self.walked and self.walked[0] == start and self.walked[-1] == end else [start, *self.walk(start, n)]
+        self.at = max(self.at or steps[-1], steps[-1], key=lambda o: o["page"])
+        pages = [(o["cursor"], o["page"]) for o in steps[:-1]]
+        size = max(1, -(-len(pages) // MOST_RUNS))
+        return [CursorPages(pages[i : i + size]) for i in range(0, len(pages), size)]
+
+    def read(self, partition: CursorPages) -> Iterator[tuple]:
+        client = self.client()
+        for cursor, page in partition.pages:
+            for r in client.records(cursor):
+                yield (r["id"], r.get("title"), cursor, page)
 
 
 class CursorSource(DataSource):

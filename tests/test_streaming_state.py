@@ -115,3 +115,19 @@ def test_cursor_stream_bounds_and_empty_provider(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert spark.read.schema(SCHEMA).parquet(out).count() == want
+
+
+def test_cursor_stream_takes_few_batches_of_runs(tmp_path):
+    from corpusloom.sources.cursor import CursorReader
+
+    provider(tmp_path / "pages", 3000, 10)
+    reader = CursorReader({"client": "corpusloom.sources.cursor.FolderClient", "location": str(tmp_path / "pages"), "per_page": "10", "batch_pages": "4"})
+    at, batches, read = reader.initialOffset(), 0, []
+    while at["cursor"] is not None:
+        start, at = at, reader.latestOffset()
+        runs = reader.partitions(start, at)
+        read += [(r[0], r[3]) for run in runs for r in reader.read(run)]
+        assert len(runs) <= 64
+        batches += 1
+    assert read == [(i, i // 10) for i in range(3000)]
+    assert batches == 7  # 4, 8, ... 256 pages; batches of four would be 75
