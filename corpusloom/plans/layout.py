@@ -126,7 +126,7 @@ def range_join_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes on one page that meet: page by brand, sides by key, size and price; every pair once."""
     x0, y0 = F.col("p_partkey") % 100, F.col("p_size") * 10
     box = load(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("p_size") % 5).alias("x1"), (y0 + 15).alias("y1"))
-    met = lay.box_pairs(box, box, ["p_brand"], 16)
+    met = lay.equal_box_pairs(box, box, ["p_brand"], 16)
     return met.filter("id < r_id").select("id", F.col("r_id").alias("b_id"))
 
 
