@@ -7,11 +7,14 @@ enter the join, which the engine broadcasts where the query side is small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import mathx
 from corpusloom.functions.automaton import term_hits
+from corpusloom.operators.best import bm25_best, vector_best
 from corpusloom.operators.bibliometrics import ranked_prefix
 
 K1 = 1.5
@@ -45,6 +48,12 @@ def bm25(terms: DataFrame, query_terms: DataFrame, key: str = "id") -> DataFrame
     return scored.join(query_terms, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("qf")), 6).alias("score"))
 
 
+def bm25_topk(docs: DataFrame, tokens: Column, query_terms: DataFrame, k: int, bonus: Callable | None = None) -> DataFrame:
+    """query_id, id, score, rank: the k best of ``bm25`` over documents with a row for each integer ``id``, scored where they are read; see ``bm25_best``."""
+    found = bm25_best(docs, tokens, query_terms, k, K1, B, bonus)
+    return topk(found.select("query_id", "id", F.round("raw", 6).alias("score")), k)
+
+
 def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id", pool: DataFrame | None = None) -> DataFrame:
     """query_id, key, score: cosine of tf-idf vectors with idf = ln((N+1)/(df+1)) + 1.
 
@@ -94,18 +103,21 @@ QUERY_BLOCK = 4096
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact inner products of every query with every vector, in blocks of queries; k best each.
 
-    The query side's size is counted; each block of at most QUERY_BLOCK is broadcast and
-    the vectors are never shuffled: the limit by query is taken before the exchange.
+    The query side's size is counted; each block of about QUERY_BLOCK is broadcast and the vectors are never shuffled: each task gives
+    its k best of every query. Vectors with nulls, values that are not finite or another length meet one by one.
     """
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    out = None
+    sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("width")).first()
+    blocks, width = max(1, -(-sizes.n // QUERY_BLOCK)), max(1, sizes.width or 0)
+    even = lambda c: F.coalesce((F.size(c) == width) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < 1e30)), F.lit(False))
+    plain, asked = vectors.filter(even("embedding")), queries.filter(even("query"))
+    pairs = vectors.filter(~even("embedding")).crossJoin(queries.select("query_id", "query")).select("query_id", "id", "embedding", "query")
+    pairs = pairs.unionByName(plain.crossJoin(queries.filter(~even("query")).select("query_id", "query")).select("query_id", "id", "embedding", "query"))
+    scored = pairs.select("query_id", "id", mathx.dot(F.col("embedding"), F.col("query")).alias("raw"))
     for i in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = vectors.crossJoin(F.broadcast(own)).select("query_id", "id", F.round(mathx.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-        best = topk(scored, k)
-        out = best if out is None else out.unionByName(best)
-    return out
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found = vector_best(plain, own, k).select(F.col("query_id").cast(queries.schema["query_id"].dataType), F.col("id").cast(vectors.schema["id"].dataType), "raw")
+        scored = scored.unionByName(found)
+    return topk(scored.select("query_id", "id", F.round("raw", 6).alias("score")), k)
 
 
 def held_terms(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
