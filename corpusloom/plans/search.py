@@ -28,8 +28,12 @@ def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.term_rows(docs, "id", text.tokens_long("text"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.topk(r.bm25(doc_terms(spark, sf_dir), query_terms(spark, sf_dir)), 10)
+    return r.bm25_topk(texts(spark, sf_dir), text.tokens_long("text"), query_terms(spark, sf_dir), 10)
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = asked(spark, sf_dir).withColumn("w", F.split("query", " ")).withColumn("half", F.floor(F.size("w") / 2).cast("int"))
     halves = base.select("query_id", F.posexplode(F.array(F.slice("w", F.lit(1), F.col("half")), F.slice("w", F.col("half") + 1, F.size("w")))).alias("v", "words"))
     variants = halves.select((F.col("query_id") * 2 + F.col("v")).alias("query_id"), F.explode(text.tokens_long(F.array_join("words", " "))).alias("term"))
-    best = r.topk(r.bm25(doc_terms(spark, sf_dir), variants.groupBy("query_id", "term").agg(F.count("*").alias("qf"))), 10)
+    best = r.bm25_topk(texts(spark, sf_dir), text.tokens_long("text"), variants.groupBy("query_id", "term").agg(F.count("*").alias("qf")), 10)
     return r.rrf([best.withColumn("query_id", F.floor(F.col("query_id") / 2).cast("long"))], 5)
 
 
