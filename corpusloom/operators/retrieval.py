@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import mathx
-from corpusloom.functions.automaton import term_hits
-from corpusloom.operators.best import bm25_best, vector_best
+from corpusloom.operators.best import bm25_best, held_best, vector_best
 from corpusloom.operators.bibliometrics import ranked_prefix
 
 K1 = 1.5
@@ -123,10 +122,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def held_terms(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k best (id, body) documents of each (query_id, words): a point for each word that the body holds, two for the first two side by side.
 
-    All distinct words and pairs are looked for in one pass over the documents.
+    Both ids are integers. Words and pairs of a block of queries are looked for in one pass over the documents, which gives the k best of each task.
     """
-    pair = F.when(F.size("words") > 1, F.array_join(F.slice("words", 1, 2), " "))
-    every = asked.select("query_id", F.explode(F.concat(F.transform("words", lambda w: F.struct(w.alias("needle"), F.lit(1).alias("points"))), F.when(pair.isNotNull(), F.array(F.struct(pair.alias("needle"), F.lit(2).alias("points")))).otherwise(F.array().cast("array<struct<needle:string,points:int>>")))).alias("s")).select("query_id", "s.*")
-    found = term_hits(docs, "id", "body", every).withColumnRenamed("needle", "held")
-    scored = found.join(every, found.held == every.needle).groupBy("query_id", "id").agg(F.sum("points").cast("int").alias("score"), F.max(F.when(F.col("points") == 1, 1)).alias("any"))
-    return ranked_prefix(scored.filter("any = 1").select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.col("id")], k)
+    found = held_best(docs, asked, k)
+    return ranked_prefix(found.select("query_id", "id", F.col("raw").cast("int").alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
