@@ -8,7 +8,11 @@ hosts are documents, and lists tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import latex
@@ -17,24 +21,50 @@ from corpusloom.operators.suppression import suppressed
 from corpusloom.sources.tables import load
 
 WIDTH, HEIGHT = 552, 792
+#: Texts that are set at once.
+SLICE = 64
+
+
+WORDS = "id long, page long, line int, pos int, text string, bars boolean, x0 double, y0 double, x1 double, y1 double"
+LETTER = re.compile("[A-Za-z]")
+
+
+def word_boxes(body: str, drawn: bool) -> Iterator[tuple]:
+    """(page, line, pos, word, bars, x0, y0, x1, y1) of a text's words: of lines with cell bars, or of what is drawn, all without an ASCII letter."""
+    first = 0
+    for line, whole in enumerate(body.split("\n")):
+        bars, at = " | " in whole, 0
+        if bars or drawn:
+            for pos, word in enumerate(whole.split(" ")):
+                if word and not (drawn and LETTER.search(word)):
+                    row, x0 = first + at // 160, 36.0 + 3 * (at % 160)
+                    y0 = 36.0 + 12 * (row % 60)
+                    yield row // 60, line, pos, word, bars, x0, y0, x0 + 3 * len(word), y0 + 10
+                at += len(word) + 1
+        first += len(whole) // 160 + 1
+
+
+def set_words(spark: SparkSession, sf_dir: str, drawn: bool = False) -> DataFrame:
+    """(id, page, line, pos, text, bars, x0, y0, x1, y1): each word of lines with cell bars, or each word that is drawn, with its box; set where the text is read."""
+    kept = None if drawn else F.contains("text", F.lit(" | "))
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text").filter("text IS NOT NULL")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in WORDS.split(", ")]
+        kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), *[pa.float64()] * 4), strict=True))
+        for whole in batches:
+            for start in range(0, len(whole), SLICE):
+                part = whole.slice(start, SLICE)
+                rows = [(i, *box) for i, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for box in word_boxes(body, drawn)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-def set_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, page, line, pos, text, bars, x0, y0, x1, y1): each word of each document with its box; ``bars``: its line has cell bars."""
-    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("lines"))
-    lines = texts.select("id", F.posexplode("lines").alias("line", "body"))
-    above = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("first", F.coalesce(F.sum(F.expr("length(body) DIV 160 + 1")).over(above), F.lit(0)))
-    words = lines.select("id", "line", "first", F.contains("body", F.lit(" | ")).alias("bars"), F.posexplode(F.split("body", " ")).alias("pos", "text"))
-    left = Window.partitionBy("id", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    words = words.withColumn("at", F.coalesce(F.sum(F.length("text") + 1).over(left), F.lit(0))).filter("text <> ''")
-    words = words.withColumn("row", F.col("first") + F.expr("at DIV 160"))
-    x0, y0 = 36 + 3 * (F.col("at") % 160), 36 + 12 * (F.col("row") % 60)
-    return words.select("id", F.expr("row DIV 60").alias("page"), "line", "pos", "text", "bars", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 3 * F.length("text")).cast("double").alias("x1"), (y0 + 10).cast("double").alias("y1"))
+    found = (texts if kept is None else texts.filter(kept)).mapInArrow(run, WORDS)
+    return found.filter(~F.col("text").rlike(r"\p{L}")) if drawn else found
 
 
 def bar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = set_words(spark, sf_dir).filter("bars AND text <> '|'")
+    cells = set_words(spark, sf_dir).filter("text <> '|'")
     return cells.select("id", "page", (F.col("line") * 100_000 + F.col("pos")).alias("pos"), "text", "x0", "x1", F.col("y0").alias("top"))
 
 
@@ -50,14 +80,14 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def set_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_key, id, caption, box) of the part of each line with cell bars that stands on one page."""
-    lines = set_words(spark, sf_dir).filter("bars").groupBy("id", "page", "line")
+    lines = set_words(spark, sf_dir).groupBy("id", "page", "line")
     return lines.agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text")))["text"], " ").alias("caption"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     captions = set_lines(spark, sf_dir)
     named = captions.select(F.col("id").alias("doc"), "page", F.col("line").alias("id"), "x0", "y0", "x1", "y1")
-    drawn = set_words(spark, sf_dir).filter(~F.col("text").rlike(r"\p{L}")).select(F.col("id").alias("doc"), "page", (F.col("line") * 100_000 + F.col("pos")).alias("id"), "x0", "y0", "x1", "y1")
+    drawn = set_words(spark, sf_dir, drawn=True).select(F.col("id").alias("doc"), "page", (F.col("line") * 100_000 + F.col("pos")).alias("id"), "x0", "y0", "x1", "y1")
     pages = named.select("doc", "page", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height")).distinct()
     return lay.figure_crops(named, drawn, pages, ["doc", "page"])
 
