@@ -53,15 +53,20 @@ def bm25_topk(docs: DataFrame, tokens: Column, query_terms: DataFrame, k: int, b
     return topk(found.select("query_id", "id", F.round("raw", 6).alias("score")), k)
 
 
-def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id", pool: DataFrame | None = None) -> DataFrame:
+def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id", pool: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """query_id, key, score: cosine of tf-idf vectors with idf = ln((N+1)/(df+1)) + 1.
 
     A document's length divides its weights and its norm alike, so counts serve for both. The terms meet their idf
     in one shuffle; norms and products are sums over that. With a ``pool`` of (query_id, key) pairs only those are
-    scored: document frequencies are of all documents, but only terms of documents in the pool are weighted.
+    scored: document frequencies are of all documents, but only terms of documents in the pool are weighted. With ``corpus``, a row (key, tokens) for each document, those frequencies
+    are taken from its lists, added up before the shuffle, and ``terms`` needs no more than the documents to score.
     """
-    n = terms.select(key).distinct().agg(F.count("*").alias("N"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    if corpus is None:
+        n = terms.select(key).distinct().agg(F.count("*").alias("N"))
+        df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        n = corpus.filter("size(tokens) > 0").agg(F.count("*").alias("N"))
+        df = corpus.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
     wanted = terms if pool is None else terms.join(pool.select(key).distinct(), key, "left_semi")
     weighted = wanted.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))

@@ -63,7 +63,10 @@ def hybrid_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.55 of scaled BM25 and 0.45 of scaled tf-idf over the BM25 pool."""
     # ten rows a query, read three times
     pool = checkpointed(r.min_max(bm25_topk(spark, sf_dir), "score", "lexical").select("query_id", "id", "lexical"))
-    cosine = r.tfidf_cosine(doc_terms(spark, sf_dir), query_terms(spark, sf_dir), pool=pool)
+    docs, tokens = texts(spark, sf_dir), text.tokens_long("text")
+    # the pool has ten ids a query at most: only their texts become rows of terms
+    own = r.term_rows(docs.join(pool.select("id").distinct(), "id", "left_semi"), "id", tokens)
+    cosine = r.tfidf_cosine(own, query_terms(spark, sf_dir), pool=pool, corpus=docs.select("id", tokens.alias("tokens")))
     both = r.min_max(pool.join(cosine, ["query_id", "id"], "left").na.fill(0.0, ["score"]), "score", "semantic")
     return r.topk(both.select("query_id", "id", F.round(0.55 * F.col("lexical") + 0.45 * F.col("semantic"), 5).alias("score")), 5)
 
