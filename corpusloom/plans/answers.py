@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from corpusloom.operators import answers as a
 from corpusloom.operators import evidence as e
 from corpusloom.operators import querying as q
-from corpusloom.operators.bibliometrics import ranked_prefix
 from corpusloom.operators.expansion import TERM_STOP, query_terms
 from corpusloom.operators.retrieval import held_terms
 from corpusloom.plans.documents import CLAIM_SQL, TURNS_SQL, claims, turns
