@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import mathx
-from corpusloom.operators.best import bm25_best, held_best, vector_best
+from corpusloom.operators.best import bm25_best, held_best, tfidf_best, vector_best
 from corpusloom.operators.bibliometrics import ranked_prefix
 
 K1 = 1.5
@@ -80,6 +80,12 @@ def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id", pool
     return dots.join(norms, key).join(qnorm, "query_id").select("query_id", key, F.round(mathx.clamp(F.col("d") / (F.col("norm") * F.col("qnorm")), 0.0, 1.0), 6).alias("score"))
 
 
+def tfidf_topk(docs: DataFrame, tokens: Column, query_terms: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: the k best of ``tfidf_cosine`` over documents with a row for each integer ``id``, scored where they are read; see ``tfidf_best``."""
+    found = tfidf_best(docs, tokens, query_terms, k)
+    return topk(found.select("query_id", "id", F.round("raw", 6).alias("score")), k)
+
+
 def topk(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
     return ranked_prefix(scored, ["query_id"], [F.desc("score"), F.col(key)], k)
 

@@ -23,11 +23,6 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return r.term_rows(docs, "id", text.tokens_long("text"))
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -37,7 +32,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.topk(r.tfidf_cosine(doc_terms(spark, sf_dir), query_terms(spark, sf_dir)), 10)
+    return r.tfidf_topk(texts(spark, sf_dir), text.tokens_long("text"), query_terms(spark, sf_dir), 10)
 
 
 def minmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
