@@ -4,11 +4,14 @@ Similarity is by position: the share of places of the longer string where both h
 same character. Equal strings are settled first, by group; for the rest only pairs that
 share one of their first aligned segments meet, which loses none, and the greedy choice
 is made in rounds over those pairs: what has no undecided one before it is kept, and what
-a kept one is similar to goes.
+a kept one is similar to goes. Strings that one row holds as a list are decided in that row.
 """
 
 from __future__ import annotations
 
+from operator import eq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +51,8 @@ def suppressed(rows: DataFrame, key: list[str], text: str, confidence: str, plac
     Strings are compared in lower case without white space; equal ones are duplicates, and those of more than SHORT characters also
     when more than ``floor`` of their places are equal. A null text is an empty string.
     """
-    norm = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", "")
     order = F.struct((-F.col(confidence)).alias("less"), F.col(place).alias("pos"))
-    ranked = rows.select(*key, norm.alias("norm"), order.alias("place"))
+    ranked = rows.select(*key, compared(F.col(text)).alias("norm"), order.alias("place"))
     first = checkpointed(ranked.groupBy(*key, "norm").agg(F.min("place").alias("place")))
     pairs = checkpointed(similar_pairs(first, key, floor))
     dropped = first.select(*key, "place").limit(0)
@@ -66,3 +68,37 @@ def suppressed(rows: DataFrame, key: list[str], text: str, confidence: str, plac
         dropped = checkpointed(dropped.union(lost))
     kept = first.join(dropped, [*key, "place"], "left_anti").select(*key, F.col("place.pos").alias(place))
     return rows.join(kept, [*key, place], "left_semi")
+
+
+def unlike(norms: list[str], floor: float) -> list[int]:
+    """The numbers of the strings, in order, that are like none kept before them. Only strings with an equal one of those segments that ``similar_pairs`` explodes are compared."""
+    seen, by_segment, kept = set(), {}, []
+    for i, norm in enumerate(norms):
+        if norm in seen:
+            continue
+        seen.add(norm)
+        n = len(norm)
+        if n > SHORT:
+            segments = [(k, norm[k : k + SEGMENT]) for k in range(0, (int(n / floor * (1 - floor)) + 1) * SEGMENT, SEGMENT) if k + SEGMENT <= n]
+            near = {s for at in segments for s in by_segment.get(at, ()) if min(len(s), n) > floor * max(len(s), n)}
+            if any(sum(map(eq, s, norm)) / max(len(s), n) > floor for s in near):
+                continue
+            for at in segments:
+                by_segment.setdefault(at, []).append(norm)
+        kept.append(i)
+    return kept
+
+
+def suppressed_list(norms: Column, floor: float = 0.9) -> Column:
+    """The numbers of those strings of a list, in its order, that ``suppressed`` keeps: nothing is shuffled. Strings are as it compares them."""
+
+    @F.arrow_udf("array<int>")
+    def kept(lists: pa.Array) -> pa.Array:
+        return pa.array([unlike(own.as_py(), floor) if own.is_valid else None for own in lists], pa.list_(pa.int32()))
+
+    return kept(norms)
+
+
+def compared(text: Column) -> Column:
+    """Lower case without white space; a null text is an empty string."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", "")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import latex
 from corpusloom.operators import layout as lay
-from corpusloom.operators.suppression import suppressed
+from corpusloom.operators.suppression import compared, suppressed_list
 from corpusloom.sources.tables import load
 
 WIDTH, HEIGHT = 552, 792
@@ -132,17 +132,19 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, place, body, confidence): the lines of up to 300 characters, once by a reader that takes all and, with a digit or sign, once by a stricter one."""
-    lines = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.length("body") <= 300)
-    loose = lines.select("id", (F.col("line") * 2).alias("place"), "body", F.lit(0.7).alias("confidence"))
-    strict = lines.filter(F.col("body").rlike("[0-9%=|]")).select("id", (F.col("line") * 2 + 1).alias("place"), "body", F.lit(0.95).alias("confidence"))
-    return loose.unionByName(strict)
+    """(id, held) with the list of (confidence, place, body), the surest first, of each document: the lines of up to 300 characters, once by a reader that takes all and, with a digit or sign, once by a stricter one."""
+    read = lambda confidence, shift: F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.lit(confidence).alias("confidence"), (i * 2 + shift).alias("place"), line.alias("body")))
+    strict = F.filter(read(0.95, 1), lambda c: c["body"].rlike("[0-9%=|]"))
+    both = F.filter(F.concat(strict, read(0.7, 0)), lambda c: F.length(c["body"]) <= 300)
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), both.alias("held"))
 
 
 def equation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that no surer or earlier kept one is like."""
-    kept = suppressed(candidates(spark, sf_dir), ["id"], "body", "confidence", "place")
-    return kept.select("id", "place", "confidence", F.md5("body").alias("body_md5"))
+    held = candidates(spark, sf_dir)
+    kept = held.select("id", "held", F.explode(suppressed_list(F.transform("held", lambda c: compared(c["body"])))).alias("n"))
+    one = kept.select("id", F.get("held", F.col("n")).alias("c"))
+    return one.select("id", "c.place", "c.confidence", F.md5("c.body").alias("body_md5"))
 
 
 def document_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
