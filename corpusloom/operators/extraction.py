@@ -31,17 +31,33 @@ def kind_of(name: Column) -> Column:
     return out
 
 
-def entities(sentences: DataFrame) -> DataFrame:
-    """(pos, name, type) of sentences (id, pos, sentence): every capitalised run, without lone question and function words. pos is a struct of id, pos and number."""
+def mentions(sentences: DataFrame) -> DataFrame:
+    """(pos, name) of sentences (id, pos, sentence): every capitalised run, without lone question and function words. pos is a struct of id, pos and number."""
     found = sentences.select("id", "pos", F.posexplode(F.regexp_extract_all("sentence", F.lit(MENTION), F.lit(1))).alias("k", "name"))
-    kept = found.filter(~F.lower("name").isin(*SEED_STOP))
-    return kept.select(F.struct("id", "pos", "k").alias("pos"), "name", kind_of(F.col("name")).alias("type"))
+    return found.filter(~F.lower("name").isin(*SEED_STOP)).select(F.struct("id", "pos", "k").alias("pos"), "name")
+
+
+def entities(sentences: DataFrame) -> DataFrame:
+    """(pos, name, type) of every mention."""
+    return mentions(sentences).select("pos", "name", kind_of(F.col("name")).alias("type"))
+
+
+def end_mentions(sentences: DataFrame) -> DataFrame:
+    """``entities`` with only the first and the last mention of each name: first and last ones of any group of names are among them."""
+    ends = mentions(sentences).groupBy("name").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("pos"), "name", kind_of(F.col("name")).alias("type"))
 
 
 def relations(sentences: DataFrame) -> DataFrame:
     """(pos, head, head_type, relation, tail, tail_type, evidence): a capitalised run, up to three words, a verb, and what follows it without its article."""
-    part = lambda g: F.regexp_extract_all("sentence", F.lit(CLAIM), F.lit(g))
-    found = sentences.select("id", "pos", "sentence", part(2).alias("verbs"), part(3).alias("tails"), F.posexplode(part(1)).alias("k", "head"))
-    rows = found.select("id", "pos", "k", "head", F.col("verbs")[F.col("k")].alias("verb"), F.col("tails")[F.col("k")].alias("tail"), F.col("sentence").alias("evidence"))
+    found = sentences.select("id", "pos", "sentence", F.posexplode(F.regexp_extract_all("sentence", F.lit(CLAIM), F.lit(0))).alias("k", "claim"))
+    # a claim by itself has the parts that it has in its sentence: the sentence is searched once
+    part = lambda g: F.regexp_extract("claim", CLAIM, g)
+    rows = found.select("id", "pos", "k", part(1).alias("head"), part(2).alias("verb"), part(3).alias("tail"), F.col("sentence").alias("evidence"))
     rows = rows.filter(~F.lower("head").isin(*SEED_STOP) & ~F.lower("tail").isin(*SEED_STOP))
     return rows.select(F.struct("id", "pos", "k").alias("pos"), "head", kind_of(F.col("head")).alias("head_type"), text.relation_type("verb").alias("relation"), "tail", kind_of(F.col("tail")).alias("tail_type"), "evidence")
+
+
+def first_relations(sentences: DataFrame) -> DataFrame:
+    """(pos, head, relation, tail, evidence): ``relations`` with only the first of those that are equal."""
+    return relations(sentences).groupBy("head", "relation", "tail").agg(F.min("pos").alias("pos"), F.min_by("evidence", "pos").alias("evidence"))

@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import extraction as ex
 from corpusloom.operators import graphs as g
+from corpusloom.operators.resolution import checkpointed
 from corpusloom.plans.documents import SENT_SQL, sentences
 from corpusloom.plans.graphs import ENT_SQL
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and last mention of each name, taken from the texts once."""
+    return checkpointed(ex.end_mentions(sentences(spark, sf_dir)))
+
+
+def entities_of(found: DataFrame) -> DataFrame:
+    return g.canonical_entities(found, g.aliases(found))
+
+
+def relations_of(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.canonical_relations(ex.first_relations(sentences(spark, sf_dir)), g.aliases(found))
+
+
 def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct names of each kind in all documents, short forms under their full name, with the document that has them first."""
-    found = ex.entities(sentences(spark, sf_dir))
-    return g.canonical_entities(found, g.aliases(found)).select("name", "type", F.col("pos.id").alias("first_id"))
+    return entities_of(names(spark, sf_dir)).select("name", "type", F.col("pos.id").alias("first_id"))
 
 
 def text_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences(spark, sf_dir)
-    made = g.canonical_relations(ex.relations(rows), g.aliases(ex.entities(rows)))
+    made = relations_of(names(spark, sf_dir), spark, sf_dir)
     return made.select("head", "relation", "tail", F.md5("evidence").alias("evidence_md5"), F.col("pos.id").alias("first_id"))
 
 
 def text_incident(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that some relation has as an end."""
-    ends = text_relations(spark, sf_dir).select(F.col("head").alias("src"), F.col("tail").alias("dst"))
-    nodes = text_entities(spark, sf_dir).select(F.col("name").alias("id"), "type")
-    return g.incident(nodes.filter(g.keep_node(F.col("id"))), ends)
+    found = names(spark, sf_dir)
+    ends = relations_of(found, spark, sf_dir).select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+    nodes = entities_of(found).select(F.col("name").alias("id"), "type")
+    # the ends are read twice
+    return g.incident(nodes.filter(g.keep_node(F.col("id"))), checkpointed(ends))
 
 
 QUERIES = {"text_entities": text_entities, "text_relations": text_relations, "text_incident": text_incident}

@@ -27,3 +27,23 @@ def test_extraction_feeds_the_graph(spark):
     assert {(r.alias, r.canonical) for r in aliases.collect()} == {("rnn", "Recurrent Neural Network")}
     made = {(r.head, r.relation, r.tail) for r in g.canonical_relations(ex.relations(frame), aliases).collect()}
     assert made == {("Recurrent Neural Network", "IS", "model"), ("An RNN", "EXTENDS", "Perceptron")}  # a run with another word is another name
+
+
+def test_end_mentions_and_first_relations_give_the_same_graph(spark):
+    said = ["Recurrent Neural Network is a model", "RNN is a model", "Rapid Noise Net uses Perceptron", "RNN is a model", "(RNN is a model", "Deep (RNN) uses GLUE and so Deep is SQUAD; Rapid Noise Net is RNN"]
+    frame = spark.createDataFrame([(i, p, s) for i in range(3) for p, s in enumerate(said[i:])], "id long, pos long, sentence string")
+    every, ends = ex.entities(frame), ex.end_mentions(frame)
+    assert ends.count() < every.count()
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(g.aliases(ends)) == rows(g.aliases(every))
+    assert rows(g.canonical_entities(ends, g.aliases(ends))) == rows(g.canonical_entities(every, g.aliases(every)))
+    assert rows(g.canonical_relations(ex.first_relations(frame), g.aliases(ends))) == rows(g.canonical_relations(ex.relations(frame), g.aliases(every)))
+
+
+def test_text_incident_reads_the_texts_for_names_once(spark, tmp_path):
+    from corpusloom.plans import extraction
+
+    spark.createDataFrame([(1, "Recurrent Neural Network is a model. RNN uses GLUE."), (2, None)], "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    found = extraction.text_incident(spark, str(tmp_path))
+    assert sorted((r.id, r.type) for r in found.collect()) == [("GLUE", "Dataset"), ("Recurrent Neural Network", "Concept"), ("Recurrent Neural Network", "Model")]
+    assert "documents" not in found._jdf.queryExecution().executedPlan().toString()  # names and ends are tables by then
