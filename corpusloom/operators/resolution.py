@@ -6,6 +6,8 @@ join meets only titles that share one of their first tokens in rare-first order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +28,21 @@ def key_links(rows: DataFrame, key: str) -> DataFrame:
 
 
 def title_links(rows: DataFrame, tokens: str, threshold: float = 0.88) -> DataFrame:
-    """(a, b) of token sets at or above the Jaccard threshold, each distinct set once; lossless by prefix filter."""
-    sets = rows.filter(F.size(tokens) > 0).groupBy(F.array_sort(tokens).alias("tokens")).agg(F.min("id").alias("id"))
-    words = sets.select("id", F.explode("tokens").alias("t"))
+    """(a, b) of token sets at or above the Jaccard threshold, each distinct set once; lossless by prefix filter.
+
+    Sets meet by a word of their heads only if their sizes are in the same or a neighbouring band (a band is as wide as sizes of a pair can
+    differ), and if what stands after the word, their first one in common, is enough.
+    """
+    sets = checkpointed(rows.filter(F.size(tokens) > 0).groupBy(F.array_sort(tokens).alias("tokens")).agg(F.min("id").alias("id")))
+    words = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     often = words.groupBy("t").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    size = F.count("*").over(Window.partitionBy("id"))
-    head = words.join(often, "t").select("id", "t", place.alias("k"), size.alias("n")).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    other = head.select(F.col("id").alias("b"), "t", F.col("n").alias("m"))
-    near = head.join(other, "t").filter((F.col("id") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    band = F.floor(F.log("n") / (math.log(1 / threshold) * 1.000001)).cast("int")
+    head = words.join(often, "t").select("id", "t", place.alias("k"), "n", band.alias("band")).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    head = checkpointed(head)
+    other = head.select(F.col("id").alias("b"), "t", F.col("n").alias("m"), F.col("k").alias("l"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    enough = 1 + F.least(F.col("n") - F.col("k"), F.col("m") - F.col("l")) >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    near = head.join(other, ["t", "band"]).filter((F.col("id") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & enough).select(F.col("id").alias("a"), "b").distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     share = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return near.join(left, "a").join(right, "b").filter(share >= threshold).select("a", "b")

@@ -153,8 +153,14 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.key_links(dedup_rows(spark, sf_dir), "norm_title")
 
 
-def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and what links records: title words as they are, a digest of the rest. Every text is read once, titles of equal words meet by one key."""
     rows = dedup_rows(spark, sf_dir)
+    return res.checkpointed(rows.select("id", F.sha2("norm_title", 256).alias("norm_title"), "doi", "tokens", F.sha2("token_key", 256).alias("token_key")))
+
+
+def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_keys(spark, sf_dir)
     links = res.key_links(rows, "norm_title").union(res.key_links(rows, "doi")).union(res.key_links(rows, "token_key")).union(res.title_links(rows, "tokens")).distinct()
     return res.clusters(rows, links)
 

@@ -108,3 +108,28 @@ def test_limiter_and_cache(spark):
     day = lambda h: datetime.datetime(2024, 1, 1, h)
     entries = spark.createDataFrame([("a", day(1), 1), ("a", day(5), 2), ("b", day(6), 3), ("c", day(0), 4)], "key string, ts timestamp, seq int")
     assert [(x.key, x.seq) for x in records.cache_live(entries, "2024-01-01 07:00:00", 6.5 * 3600, 5).collect()] == [("b", 3), ("a", 2)]
+
+
+def test_title_links_equal_all_pairs(spark):
+    import random
+
+    draw = random.Random(11)
+    base = [[f"w{draw.randrange(60)}" for _ in range(n)] for n in (1, 2, 8, 9, 17, 30, 60) for _ in range(4)]
+    sets = [sorted({w if draw.random() > 0.03 else f"x{draw.randrange(9)}" for w in draw.choice(base)}) for _ in range(150)] + [[]]
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    first = {}
+    for i, words in enumerate(sets):
+        first.setdefault(tuple(words), i)
+    for threshold in (0.75, 0.88):
+        want = sorted((i, j) for a, i in first.items() for b, j in first.items() if i < j and a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= threshold)
+        assert sorted(map(tuple, res.title_links(frame, "tokens", threshold).collect())) == want and want
+
+
+def test_dedup_components_reads_the_texts_once(spark, tmp_path):
+    from corpusloom.plans import records
+
+    texts = [(1, "A fine title\nbody"), (2, "a fine Title!\nother"), (3, "More\nbody"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    found = records.dedup_components(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert "documents" not in found._jdf.queryExecution().executedPlan().toString()
