@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import mathx
-from corpusloom.operators.best import bm25_best, held_best, tfidf_best, vector_best
+from corpusloom.operators.best import bm25_best, held_best, lexical_best, vector_best
 from corpusloom.operators.bibliometrics import ranked_prefix
 
 K1 = 1.5
@@ -81,11 +81,17 @@ def tfidf_cosine(terms: DataFrame, query_terms: DataFrame, key: str = "id", pool
 
 
 def tfidf_topk(docs: DataFrame, tokens: Column, query_terms: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank: the k best of ``tfidf_cosine`` over documents with a row for each integer ``id``, scored where they are read; see ``tfidf_best``."""
-    found = tfidf_best(docs, tokens, query_terms, k)
+    """query_id, id, score, rank: the k best of ``tfidf_cosine`` over documents with a row for each integer ``id``, scored where they are read; see ``lexical_best``."""
+    found = lexical_best(docs, tokens, query_terms, k)
     return topk(found.select("query_id", "id", F.round("raw", 6).alias("score")), k)
 
 
+def both_topk(docs: DataFrame, tokens: Column, query_terms: DataFrame, k: int) -> DataFrame:
+    """kind, query_id, id, score, rank: the rows of ``bm25_topk`` as kind 0 and of ``tfidf_topk`` as kind 1, from the same passes over the texts."""
+    found = lexical_best(docs, tokens, query_terms, k, (K1, B))
+    return ranked_prefix(found.select("kind", "query_id", "id", F.round("raw", 6).alias("score")), ["kind", "query_id"], [F.desc("score"), F.col("id")], k)
+
+
 def topk(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
     return ranked_prefix(scored, ["query_id"], [F.desc("score"), F.col(key)], k)
 

@@ -42,7 +42,7 @@ def minmax_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 and tf-idf lists of one query, fused."""
-    return r.rrf([bm25_topk(spark, sf_dir), tfidf_topk(spark, sf_dir)], 5)
+    return r.rrf([r.both_topk(texts(spark, sf_dir), text.tokens_long("text"), query_terms(spark, sf_dir), 10)], 5)
 
 
 def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
